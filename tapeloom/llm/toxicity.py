@@ -33,7 +33,7 @@ MIN_DOCS = 3
 #: Weight of the squared length of the vectors in the loss.
 DECAY = 1e-6
 #: Bounds of the training sample: rows of labels 0 and 1, and bytes of one text.
-MAX_ROWS, MAX_TRAIN_BYTES = (4000, 2000), 8192
+MAX_ROWS, MAX_TRAIN_BYTES = (3000, 1500), 6000
 THRESHOLD = 0.3
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,9 +52,9 @@ def subwords(w: Words, words: np.ndarray | None = None) -> tuple[np.ndarray, np.
     marked[:n][inner] = w.data[_ranges(starts, ends - starts)]
     marked[first[:-1]], marked[first[1:] - 1] = 60, 62
     left = np.repeat(first[1:], size) - np.arange(n)
-    word = np.repeat(np.arange(len(starts)), size)
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), size)
     whole = (w.hashes if words is None else w.hashes[words]) >> np.uint64(64 - BUCKET_BITS)
-    buckets, owner = [whole.astype(np.int32)], [np.arange(len(starts))]
+    buckets, owner = [whole.astype(np.int32)], [np.arange(len(starts), dtype=np.int32)]
     code = marked[:n] | marked[1 : n + 1] << np.uint64(8)
     for g in range(3, max(GRAMS) + 1):
         code = code | marked[g - 1 : n + g - 1] << np.uint64(8 * (g - 1))
@@ -155,13 +155,17 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     n_sub = np.diff(sub0)
     pairs = np.unique(word.astype(np.int64) * len(y) + w.doc)
     texts_of = np.bincount(sub, np.repeat(np.bincount(pairs // len(y), minlength=len(one)), n_sub), buckets)
-    used, sub = np.unique(np.where(texts_of[sub] >= min_docs, sub, -1), return_inverse=True)
-    known = np.float32(used >= 0)
+    used = np.flatnonzero(texts_of >= min_docs)
+    place = np.zeros(buckets, dtype=np.int32)  # 0: without a vector
+    place[used] = np.arange(1, len(used) + 1)
+    sub = place[sub]
+    known = np.ones((len(used) + 1, 1), dtype=np.float32)
+    known[0] = 0
     edges, first, size = segments(w.counts)
     seg_of_word = np.repeat(np.arange(len(size)), size)
     doc_of_seg = np.repeat(np.arange(len(y)), np.diff(first))
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, init, (len(used), dim)).astype(np.float32) * known[:, None]
+    vectors = rng.normal(0, init, known.shape[:1] + (dim,)).astype(np.float32) * known
     soft = rng.normal(0, 1, (dim, 2)).astype(np.float32)
     bias = np.array([0.0, prior - np.log(max(1.0, len(size) / len(y)))], dtype=np.float32)
     # Average over subwords and words at once: how much a word counts in a segment.
@@ -180,9 +184,9 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         d_word = np.bincount(word, (g / size)[seg_of_word], len(one))
         margin = soft[:, 1] - soft[:, 0]
         per_sub = np.repeat(d_word / n_sub, n_sub)
-        d_vec = np.bincount(sub, per_sub, len(used))[:, None] * margin[None, :]
+        d_vec = np.bincount(sub, per_sub, len(known))[:, None] * margin[None, :]
         d_vec += decay * vectors
-        d_vec *= known[:, None]
+        d_vec *= known
         grads = (d_vec, np.stack([-d_soft, d_soft], axis=1), np.array([-g.sum(), g.sum()]))
         for param, grad, (m, v), lr in zip((vectors, soft, bias), grads, moments, rates, strict=True):
             m *= 0.9
@@ -191,7 +195,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             v += 0.01 * np.square(grad)
             param -= lr * lr_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weight = np.zeros(buckets, dtype=np.float32)
-    weight[used[known > 0]] = (vectors @ (soft[:, 1] - soft[:, 0]))[known > 0]
+    weight[used] = vectors[1:] @ (soft[:, 1] - soft[:, 0])
     return Model(weight, float(bias[1] - bias[0]))
 
 
@@ -214,8 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = known.where(F.col("__y") == y).dropDuplicates().orderBy(F.xxhash64("__key"), "__key").limit(2 * max_rows[y])
         ids = part if ids is None else ids.unionByName(part)
     found = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(ids), "__key").toArrow()
-    order = np.lexsort((np.asarray(found.column("__text").cast(pa.large_binary()).to_pylist(), dtype=object), found.column("__key").to_numpy()))
-    found = found.take(pa.array(order))
+    found = found.sort_by([("__key", "ascending"), ("__text", "ascending")])
     y = found.column("__y").to_numpy()
     take = np.sort(np.concatenate([np.flatnonzero(y == v)[: max_rows[v]] for v in (0, 1)]))
     return train(found.column("__text").combine_chunks().take(pa.array(take)) if len(take) else pa.array([], pa.string()), y[take])
