@@ -15,6 +15,11 @@ COMPARED_PUNCTUATION = "\"'`.,:;!?()[]{}<>|/\\-–—_=+*#"
 BYTE_UNITS = {"B": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30, "TiB": 2**40}
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def timestamp(seconds: Column) -> Column:
     """``HH:MM:SS.mmm``; milliseconds are rounded half to even, negative and null count as zero."""
     ms = F.greatest(F.coalesce(F.bround(seconds * 1000).cast("long"), F.lit(0)), F.lit(0))
@@ -73,13 +78,13 @@ def claims_text(text: Column) -> Column:
 
 def truth_text(note: Column) -> Column:
     """Verified truth of a note: comment lines dropped; null if it says UNVERIFIED anywhere."""
-    return F.when(note.contains("UNVERIFIED"), F.lit(None)).otherwise(F.trim(F.regexp_replace(note, r"(?m)^[ \t]*#.*(?:\R|\z)", "")))
+    return F.when(note.contains("UNVERIFIED"), F.lit(None)).otherwise(stripped(F.regexp_replace(note, r"(?m)^[ \t]*#.*(?:\R|\z)", "")))
 
 
 def first_paragraph(text: Column) -> Column:
     """The text up to the first blank line; null if that is blank."""
-    plain = F.trim(F.regexp_replace(text, r"\r\n?", "\n"))
-    return F.nullif(F.trim(F.get(F.split(plain, r"\n[ \t]*\n"), F.lit(0))), F.lit(""))
+    plain = stripped(F.regexp_replace(text, r"\r\n?", "\n"))
+    return F.nullif(stripped(F.get(F.split(plain, r"\n[ \t]*\n"), F.lit(0))), F.lit(""))
 
 
 def media_seconds(line: Column) -> Column:
