@@ -18,7 +18,7 @@ _EDGE = r"(?<![A-Za-z0-9_+/-])"
 _VALUE = r"[A-Za-z0-9_+/.=~-]"
 #: A value with a digit and a letter: what prose and placeholders have not.
 _MIXED = r"(?=[^\s\"']{0,200}[0-9])(?=[^\s\"']{0,200}[A-Za-z])"
-_NAMES = r"(?:[A-Za-z0-9]{1,40}[_-]){0,4}(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?token|access[_-]?key|private[_-]?key|key)"
+_NAMES = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?token|access[_-]?key|private[_-]?key|key)"
 #: Words before a hexadecimal run, on its line, that say it is a name of content.
 _CUE = r"(?:commit|integrity|sha1|sha256|sha384|sha512|digest|checksum|revision|etag|md5)"
 
@@ -39,8 +39,13 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("url-user", r"([a-z][a-z0-9+.-]{1,20}://)" + _MIXED + r"[A-Za-z0-9_-]{24,400}+(?=@)", "$1"),
     ("assigned-secret", r"(?i)((?<![A-Za-z0-9])" + _NAMES + r"[\"']?\s{0,4}[:=]\s{0,4}[\"']?)(?!\[REDACTED)" + _MIXED + _VALUE + "{8,4000}+", "$1"),
     ("api-key", _EDGE + r"sk-[A-Za-z0-9_-]{20,200}+", ""),
-    ("base64-blob", r"(?<![A-Za-z0-9_+/=-])(?!(?<=(?i:" + _CUE + r")[^\n]{0,24})[0-9a-fA-F]{40,2000}+(?![A-Za-z0-9+/_]))" + _MIXED + r"[A-Za-z0-9+/]{40,20000}+={0,2}", ""),
+    ("base64-blob", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9+/]{40})(?!(?<=(?i:" + _CUE + r")[^\n]{0,24})[0-9a-fA-F]{40,2000}+(?![A-Za-z0-9+/_]))" + _MIXED + r"[A-Za-z0-9+/]{40,20000}+={0,2}", ""),
 )
+#: Strings of which a text holds one at least where a rule can match (rules without an entry are always tried).
+NEEDS: dict[str, tuple[str, ...]] = {
+    "private-key": ("PRIVATE KEY",), "jwt": ("eyJ",), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "gitlab-token": ("glpat-",), "npm-token": ("npm_",), "hf-token": ("hf_",),
+    "google-key": ("AIza",), "slack-token": ("xox",), "stripe-key": ("_live_", "_test_"), "aws-key": ("AKIA", "ASIA"), "url-password": ("://",), "url-user": ("://",), "api-key": ("sk-",),
+}
 MARK = r"\[REDACTED:[a-z0-9-]+\]"
 #: Characters whose compatibility form can hide a credential.
 _CONFUSABLE = r"[\x{FF01}-\x{FF5E}\x{2100}-\x{214F}\x{1D400}-\x{1D7FF}\x{2460}-\x{24FF}\x{200B}-\x{200D}]"
@@ -49,10 +54,24 @@ _CONFUSABLE = r"[\x{FF01}-\x{FF5E}\x{2100}-\x{214F}\x{1D400}-\x{1D7FF}\x{2460}-\
 def redacted(text: Column) -> Column:
     """The text with marks for all values that a rule matches."""
     for kind, pattern, context in RULES:
-        text = F.regexp_replace(text, pattern, f"{context}[REDACTED:{kind}]")
+        text = _applied(text, kind, pattern, f"{context}[REDACTED:{kind}]")
     return text
 
 
+def _applied(text: Column, kind: str, pattern: str, mark: str) -> Column:
+    """One rule, tried only on texts that hold a string it needs; the text so far is computed once."""
+    if kind not in NEEDS:
+        return F.regexp_replace(text, pattern, mark)
+
+    def rule(x: Column) -> Column:
+        held = x.contains(NEEDS[kind][0])
+        for other in NEEDS[kind][1:]:
+            held = held | x.contains(other)
+        return F.when(held, F.regexp_replace(x, pattern, mark)).otherwise(x)
+
+    return F.get(F.transform(F.array(text), rule), F.lit(0))
+
+
 def mark_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(MARK)), F.lit(0))
 
