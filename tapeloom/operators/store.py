@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 KINDS_OF_MEDIA = [".mp4", ".mkv", ".webm", ".mov", ".m4v"]
 #: Manifest fields and the variant type that each must have.
 MANIFEST_FIELDS = {
-    "pipeline_version": "BIGINT", "distill_version": "STRING", "source_type": "STRING", "source_resolved_path": "STRING", "duration_sec": "NUMBER",
+    "pipeline_version": "BIGINT", "tool_version": "STRING", "source_type": "STRING", "source_resolved_path": "STRING", "duration_sec": "NUMBER",
     "options": "OBJECT", "frame_count": "BIGINT", "transcript_present": "BOOLEAN", "warning_count": "BIGINT", "frames": "ARRAY", "warnings": "ARRAY",
 }
 PROVENANCE_KEYS = ["title", "channel", "description", "upload_date", "canonical_url", "duration_sec", "processed_at"]

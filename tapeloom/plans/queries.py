@@ -522,7 +522,7 @@ def manifests_round_trip(spark, sf_dir):
 def manifest_problems(spark, sf_dir):
     k = F.col("c_custkey") % 6
     doc = F.concat(
-        F.lit('{"pipeline_version": '), F.when(k == 0, "true").otherwise("3"), F.lit(', "distill_version": "1", "source_type": "x", "source_resolved_path": "p", "duration_sec": 1.5, "options": {}, "transcript_present": true, "warning_count": 0, "warnings": [], "frame_count": '), F.when(k == 1, "2").otherwise("1"),
+        F.lit('{"pipeline_version": '), F.when(k == 0, "true").otherwise("3"), F.lit(', "tool_version": "1", "source_type": "x", "source_resolved_path": "p", "duration_sec": 1.5, "options": {}, "transcript_present": true, "warning_count": 0, "warnings": [], "frame_count": '), F.when(k == 1, "2").otherwise("1"),
         F.lit(', "frames": [{"relative_path": "'), F.when(k == 2, "/etc/x.png").otherwise("frames/frame_0001.png"), F.lit('"}]'), F.when(k == 3, "").otherwise(', "bundle_key": "b"'), F.when(k == 4, ', "provenance": {"author": 1}').otherwise(', "provenance": {"title": "t"}'), F.lit("}"),
     )
     return store.manifest_problem(b.table(spark, sf_dir, "customer").select("c_custkey", doc.alias("manifest_json"))).select("c_custkey", "problem")
