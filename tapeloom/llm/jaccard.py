@@ -2,16 +2,17 @@
 
 Texts of one shingle set are one class; all further work is on classes.
 
-1. A first pass counts shingles in a table of fixed size.  It only says which shingles
-   are common; those come last in the global order of shingles.
+1. A first pass counts all shingles, sent packed by hash, and finds the common ones.
+   They come last in the global order of shingles, the most common at the very end.
 2. A second pass gives each class its size, a parity bitmap, eight minimum hashes, and
    the first quarter of its set in the global order (its prefix): two sets that overlap
    by three quarters share a prefix element.
-3. Likely links come from equal minimum hashes, one for each class, and are verified;
-   their components are found.
+3. Likely links come from equal minimum hashes and are verified; their components are
+   found.
 4. Tiles of prefix elements bring together all other pairs: in a tile, in order of size,
-   only pairs within the size band of 3/4 and of different components are taken, so the
-   many pairs inside a group of copies never appear, while no link is lost.
+   only pairs within the size band of 3/4, of different components, and with the element
+   early enough in both prefixes are taken, so the many pairs inside a group of copies
+   never appear, while no link is lost.
 5. Every candidate is checked in two steps: bits in which the two bitmaps differ bound
    the overlap from above; what is left gets an exact intersection of sorted arrays.
 
@@ -34,11 +35,15 @@ from .pretokens import ranges
 from .storage import written
 
 SHINGLE = 5
-#: Counters of the table that tells common shingles, and of the filter of needed texts; fixed sizes.
-SKETCH_BITS, FILTER_BITS = 22, 25
+#: Bits of the filter of needed texts; texts that have a shingle if it is common; common shingles that are broadcast.
+FILTER_BITS, COMMON_FROM, MOST_COMMON = 25, 4, 1 << 22
+#: Shingles that a task holds before it sends them.
+HELD = 2_000_000
 MIN_HASHES = 8
 #: Prefix elements that one tile task takes, and members that one verifying group takes, about.
 TILE, STAR = 1_000_000, 64
+#: Pairs of two components that a tile gives at first.
+FEW = 4
 _ODD = [np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for i in range(1, MIN_HASHES + 1)]
 
 
@@ -93,27 +98,100 @@ def _slices(df: DataFrame, array: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     return np.concatenate([np.frombuffer(r.data, dtype=r.kind) for r in sorted(rows, key=lambda r: r.slice)]) if rows else np.zeros(0)
 
 
-def shingle_levels(docs: DataFrame, text: str) -> np.ndarray:
-    """For each counter, how many times (a power of two) the mean its shingles occur; 0 for all that are not common."""
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total, held, n = np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0
+def _code(h: np.ndarray, groups: int) -> np.ndarray:
+    """Group and 32 bits that stand for a shingle when it is counted; a clash only misplaces it in the order."""
+    return (h >> np.uint64(32)) % np.uint64(groups) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+
+def _squeezed(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit keys as differences, byte plane by byte plane."""
+    steps = np.diff(keys, prepend=keys[:1] * 0)
+    return pa.compress(steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+class Order:
+    """The global order: level of each common shingle (the logarithm of its texts), 0 for all others."""
+
+    def __init__(self, codes: np.ndarray, levels: np.ndarray, groups: int):
+        at = np.argsort(codes)
+        self.codes, self.levels, self.groups = codes[at], levels[at], groups
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), dtype=np.uint8)
+        if not len(self.codes):
+            return out
+        if not hasattr(self, "_first"):
+            self._first = np.zeros(1 << 24, dtype=bool)
+            self._first[(self.codes & np.uint64(0xFFFFFF)).astype(np.int64)] = True
+        maybe = np.flatnonzero(self._first[(h & np.uint64(0xFFFFFF)).astype(np.int64)])
+        code = _code(h[maybe], self.groups)
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        out[maybe] = np.where(self.codes[place] == code, self.levels[place], 0)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_first"}
+
+
+def shingle_order(docs: DataFrame, text: str, groups: int, most_common: int = MOST_COMMON) -> Order:
+    """Counts every shingle once a text and collects the common ones: those of four texts or more, or of so many that ``most_common`` hold."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, seen = [], 0, set()
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, _ = shingle_sets(part.column(0))
-                held.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                n += len(h)
-                if n > 1 << 22:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                h, first = shingle_sets(part.column(0))
+                new = np.ones(part.num_rows, dtype=bool)
+                for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    c = _class_of(h[a:b])
+                    new[d] = c not in seen
+                    if len(seen) < 1_000_000:
+                        seen.add(c)
+                held.append(_code(h[np.repeat(new, np.diff(first))], groups))
+                n += len(held[-1])
+                if n > HELD:
+                    yield _sent(np.concatenate(held))
                     held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        return total.astype(np.uint32)
+        if n:
+            yield _sent(np.concatenate(held))
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([_unsqueezed(d, n) for d, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]))
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        times = np.diff(np.append(first, len(keys)))
+        some = times >= COMMON_FROM
+        g = np.uint64(table.column("g")[0].as_py()) << np.uint64(32)
+        levels = np.floor(np.log2(times[some])).astype(np.uint8)
+        return pa.table({"codes": pa.array([(keys[first[some]].astype(np.uint64) | g).tobytes()], pa.binary()), "levels": pa.array([levels.tobytes()], pa.binary()), "sizes": pa.array([np.bincount(levels, minlength=64).tolist()], pa.list_(pa.int64()))})
+
+    sent = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(send, "g int, n int, keys binary")
+    counted = written(sent.groupBy("g").applyInArrow(count, "codes binary, levels binary, sizes array<bigint>"))
+    sizes = np.sum([np.zeros(64, dtype=np.int64), *(r.sizes for r in counted.select("sizes").collect())], axis=0)
+    above = np.cumsum(sizes[::-1])[::-1]
+    least = int(np.argmax(above <= most_common))
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for codes, levels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                levels = np.frombuffer(levels, dtype=np.uint8)
+                out.append((np.frombuffer(codes, dtype=np.uint64)[levels >= least].tobytes(), levels[levels >= least].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["codes", "levels"])
 
-    total = _slices(docs.select(F.col(f"`{text}`").cast("string").alias("text")), count, np.add)
-    if not len(total):
-        return np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    mean = max(1.0, float(total.mean(dtype=np.float64)))
-    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / mean))).astype(np.uint8)
+    rows = counted.select("codes", "levels").mapInArrow(most, "codes binary, levels binary").collect()
+    return Order(np.frombuffer(b"".join(r.codes for r in rows), dtype=np.uint64), np.frombuffer(b"".join(r.levels for r in rows), dtype=np.uint8), groups)
+
+
+def _sent(codes: np.ndarray) -> pa.RecordBatch:
+    codes = np.sort(codes)
+    g = (codes >> np.uint64(32)).astype(np.int32)
+    edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    spans = list(zip(edges.tolist(), np.append(edges[1:], len(g)).tolist(), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(g[edges]), pa.array([b - a for a, b in spans], pa.int32()), pa.array([_squeezed(codes[a:b].astype(np.uint32)) for a, b in spans], pa.binary())], names=["g", "n", "keys"])
 
 
 def parity_bitmap(h: np.ndarray) -> bytes:
@@ -148,23 +226,22 @@ def _text_key(t: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
 
 
-def features(docs: DataFrame, key: str, text: str, levels: np.ndarray) -> DataFrame:
+def features(docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
     """Per row key, class and size; per class and task also text key, minimum hashes, bitmap and prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        level = shared.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield _features(part, level, seen)
+                yield _features(part, shared.value, seen)
 
     return source.mapInArrow(run, f"key {kind}, class bigint, n int, text_key bigint, mins array<bigint>, bitmap binary, prefix binary")
 
 
-def _features(part: pa.RecordBatch, level: np.ndarray, seen: set[int]) -> pa.RecordBatch:
+def _features(part: pa.RecordBatch, order: Order, seen: set[int]) -> pa.RecordBatch:
     from .kernels import buffer_of
 
     h, first = shingle_sets(part.column(1))
@@ -175,8 +252,7 @@ def _features(part: pa.RecordBatch, level: np.ndarray, seen: set[int]) -> pa.Rec
     for k, odd in enumerate(_ODD):
         if len(full):
             mins[full, k] = np.minimum.reduceat(mix(h * odd), first[full]).astype(np.int64)
-    order = np.lexsort((h, level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-    ordered = h[order]
+    ordered = h[np.lexsort((h, order.level(h), doc))]
     p = prefix_size(n)
     raw, bounds = buffer_of(part.column(1))
     raw, bounds, lo = raw.tobytes(), bounds.tolist(), first.tolist()
@@ -202,24 +278,41 @@ def _features(part: pa.RecordBatch, level: np.ndarray, seen: set[int]) -> pa.Rec
 
 
 def likely_pairs(classes: DataFrame) -> DataFrame:
-    """For each class that shares a minimum hash with another, the pair with the least such class, most often met."""
-    each = classes.select("class", F.posexplode("mins").alias("k", "m"))
-    least = each.groupBy("k", "m").agg(F.min("class").alias("center"), F.max("class").alias("top")).where("center < top").select("k", "m", "center")
-    met = each.join(least, ["k", "m"]).where("class <> center").groupBy("class", "center").agg(F.countDistinct("k").alias("times"))
-    best = met.groupBy("class").agg(F.max_by("center", F.struct("times", "center")).alias("center"))
-    return best.select(F.col("class").alias("a"), F.col("center").alias("b"))
+    """Pairs of a class and one class of its size band that shares a minimum hash, another one for each hash.
+
+    Two bandings, half a band apart, so sets of like size meet in one of them.
+    """
+    step = float(np.log(4 / 3))
+    bands = F.array(*[F.struct(F.lit(i).alias("banding"), F.floor(F.log("n") / step + i / 2).alias("band")) for i in (0, 1)])
+    each = classes.select("class", F.inline(bands), "mins").select("class", "banding", "band", F.posexplode("mins").alias("k", "m"))
+    group = ["banding", "band", "k", "m"]
+    center = F.min_by("class", F.xxhash64("class", "k"))
+    least = each.groupBy(*group).agg(center.alias("center"), F.min("class").alias("low"), F.max("class").alias("top")).where("low < top").drop("low", "top")
+    return each.join(least, group).where("class <> center").select(F.col("class").alias("a"), F.col("center").alias("b")).distinct()
+
+
+def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds the components of both classes as ``ra`` and ``rb``."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    return pairs
 
 
-def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int) -> DataFrame:
-    """All pairs of classes of different components that share a prefix element and are in one size band."""
+def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, most: int | None = None) -> DataFrame:
+    """(a, b, more): pairs of classes of different components that share a prefix element and are in one size band.
+
+    With ``most``, a tile gives no more pairs than that of any two components; ``more``
+    tells that it left some out.
+    """
     known = classes.select("class", "n", "prefix").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "n", "prefix")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _deal(batch, tiles)
 
-    packed = known.mapInArrow(deal, "tile int, elements binary, own binary, class binary, root binary, n binary")
-    return packed.groupBy("tile").applyInArrow(_tile, "a bigint, b bigint").distinct()
+    packed = known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary")
+    found = packed.groupBy("tile").applyInArrow(lambda t: _tile(t, most), "a bigint, b bigint, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _deal(part: pa.RecordBatch, tiles: int) -> Iterator[pa.RecordBatch]:
@@ -229,14 +322,15 @@ def _deal(part: pa.RecordBatch, tiles: int) -> Iterator[pa.RecordBatch]:
     size = np.array([len(p) // 8 for p in prefixes], dtype=np.int64)
     element = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
     own = np.repeat(np.arange(len(c), dtype=np.int32), size)
+    place = (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
     tile = (element % np.uint64(tiles)).astype(np.int32)
     order = np.argsort(tile, kind="stable")
-    tile, element, own = tile[order], element[order], own[order]
+    tile, element, own, place = tile[order], element[order], own[order], place[order]
     edges = np.flatnonzero(np.diff(tile, prepend=-1))
-    rows: dict[str, list] = {k: [] for k in ("tile", "elements", "own", "class", "root", "n")}
+    rows: dict[str, list] = {k: [] for k in ("tile", "elements", "own", "place", "class", "root", "n")}
     for a, b in zip(edges.tolist(), np.append(edges[1:], len(tile)).tolist(), strict=True):
         rows_of, local = np.unique(own[a:b], return_inverse=True)
-        for k, v in zip(rows, (int(tile[a]), element[a:b].tobytes(), local.astype(np.int32).tobytes(), c[rows_of].astype(np.int64).tobytes(), root[rows_of].astype(np.int64).tobytes(), n[rows_of].astype(np.int32).tobytes()), strict=True):
+        for k, v in zip(rows, (int(tile[a]), element[a:b].tobytes(), local.astype(np.int32).tobytes(), place[a:b].tobytes(), c[rows_of].astype(np.int64).tobytes(), root[rows_of].astype(np.int64).tobytes(), n[rows_of].astype(np.int32).tobytes()), strict=True):
             rows[k].append(v)
         if len(rows["tile"]) >= 4096:
             yield _packed(rows)
@@ -249,37 +343,44 @@ def _packed(rows: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "tile" else pa.binary()) for k, v in rows.items()], names=list(rows))
 
 
-def _tile(table: pa.Table) -> pa.Table:
+def _tile(table: pa.Table, most: int | None) -> pa.Table:
     """Pairs of one tile, each once, the smaller class first."""
-    parts = [[np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()] for name, kind in (("elements", np.uint64), ("own", np.int32), ("class", np.int64), ("root", np.int64), ("n", np.int32))]
-    shift = np.cumsum([0, *(len(x) for x in parts[2][:-1])])
+    parts = [[np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()] for name, kind in (("elements", np.uint64), ("own", np.int32), ("place", np.int32), ("class", np.int64), ("root", np.int64), ("n", np.int32))]
+    shift = np.cumsum([0, *(len(x) for x in parts[3][:-1])])
     element = np.concatenate(parts[0])
     own = np.concatenate([x + s for x, s in zip(parts[1], shift, strict=True)])
-    c, root, n = (np.concatenate(x)[own] for x in parts[2:])
-    a, b = pairs_of_tile(element, c, root, n)
-    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+    place = np.concatenate(parts[2])
+    c, root, n = (np.concatenate(x)[own] for x in parts[3:])
+    a, b, more = pairs_of_tile(element, c, root, n, place, most)
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(more)})
+
 
+def pairs_of_tile(element: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that can link and whose first common element this can be.
 
-def pairs_of_tile(element: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    Sets of n and m elements that link share 3 (n + m) / 7 at least; if they share none
+    before places i and j, then n - i and m - j are bounds of what they share.
+    """
     order = np.lexsort((n, element))
-    element, c, root, n = element[order], c[order], root[order], n[order].astype(np.int64)
+    element, c, root, n, place = element[order], c[order], root[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    left = n - place
     first = np.flatnonzero(np.r_[True, element[1:] != element[:-1]]) if len(element) else np.zeros(0, dtype=np.int64)
     if not len(first):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return (*np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=bool))
     mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
     size = np.diff(np.append(first, len(element)))
-    found_a, found_b, held = [], [], 0
+    found: list[np.ndarray] = []  # rows: lesser and greater component, lesser and greater class, whether pairs were left out
+    held = 0
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal found_a, found_b, held
-        other = root[i] != root[j]
-        i, j = c[i[other]], c[j[other]]
-        found_a.append(np.minimum(i, j))
-        found_b.append(np.maximum(i, j))
+        nonlocal found, held
+        other = (root[i] != root[j]) & (7 * np.minimum(left[i], left[j]) >= 3 * (n[i] + n[j]))
+        i, j = i[other], j[other]
+        found.append(np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), np.zeros(len(i), dtype=np.int64)]))
         held += len(i)
-        if held > 2_000_000:
-            a, b = _distinct(found_a, found_b)
-            found_a, found_b, held = [a], [b], len(a) // 2
+        if held > 1_000_000:
+            found = [_distinct(found, most)]
+            held = found[0].shape[1] // 2
 
     short = mixed & (size <= 256)
     at = ranges(first[short], size[short])
@@ -301,18 +402,28 @@ def pairs_of_tile(element: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.nd
             j = own[(root[own] == large) | (own > i)]
             j = j[(4 * n[j] >= 3 * n[i]) & (4 * n[i] >= 3 * n[j])]
             add(np.full(len(j), i), j)
-    return _distinct(found_a, found_b)
-
-
-def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    x, y = np.concatenate(a), np.concatenate(b)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return x[new], y[new]
+    made = _distinct(found, most)
+    return made[2], made[3], made[4] > 0
+
+
+def _distinct(found: list[np.ndarray], most: int | None) -> np.ndarray:
+    """Each pair once, and of two components' pairs the first ``most``, which then say so."""
+    if not found:
+        return np.zeros((5, 0), dtype=np.int64)
+    x = np.concatenate(found, axis=1)
+    x = x[:, np.lexsort((-x[4], x[3], x[2], x[1], x[0]))]
+    new = np.ones(x.shape[1], dtype=bool)
+    new[1:] = (x[:4, 1:] != x[:4, :-1]).any(axis=0)
+    x = x[:, new]
+    if most is None or not x.shape[1]:
+        return x
+    begins = np.ones(x.shape[1], dtype=bool)
+    begins[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
+    start = np.flatnonzero(begins)
+    size = np.diff(np.append(start, x.shape[1]))
+    cut = np.maximum.reduceat(x[4], start) > 0
+    x[4] = np.repeat((size > most) | cut, size)
+    return x[:, np.arange(x.shape[1]) - np.repeat(start, size) < most]
 
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -425,18 +536,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     takes part with its text, but names a component only where no other key does (as
     null).  Rows with one key and different texts are rows of their own.
     """
-    levels = shingle_levels(docs, text)
-    table = written(features(docs, key, text, levels))
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = written(features(docs, key, text, shingle_order(docs, text, groups)))
     classes = table.where("prefix is not null").select("class", "n", "text_key", "mins", "bitmap", "prefix")
     size = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    tiles = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // TILE) + 1)
-
-    first = verified(written(possible(likely_pairs(classes), classes)), docs, text, classes)
-    roots = components(first)
-    rest = written(possible(written(tile_pairs(classes, roots, tiles)), classes))
-    if not rest.isEmpty():
-        more = verified(rest, docs, text, classes)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    tiles = max(groups, int(size // TILE) + 1)
+
+    roots = components(verified(written(possible(likely_pairs(classes), classes)), docs, text, classes))
+    for most in (FEW, None):
+        pairs = written(tile_pairs(classes, roots, tiles, most))
+        rest = written(possible(pairs, classes))
+        if not rest.isEmpty():
+            more = verified(rest, docs, text, classes)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        # Where nothing was left out, or all of it is one component by now, all pairs have been seen.
+        if with_roots(pairs.where("more"), roots).where("ra <> rb").isEmpty():
+            break
 
     rows = table.select("key", "class", F.col("n").cast("long").alias("n_shingles"))
     of_class = rows.where("class is not null").groupBy("class").agg(F.min("key").alias("least")).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -90,14 +90,33 @@ def test_tile_pairs_of_long_and_short_lists_agree():
     c = np.arange(600)
     root = np.where(rng.random(600) < 0.8, 0, c)
     n = rng.integers(10, 40, 600)
-    got = set(zip(*(x.tolist() for x in jaccard.pairs_of_tile(np.full(600, 7, dtype=np.uint64), c, root, n)), strict=True))
+    got = set(zip(*(x.tolist() for x in jaccard.pairs_of_tile(np.full(600, 7, dtype=np.uint64), c, root, n, np.zeros(600))[:2]), strict=True))
     want = {(i, j) for i in range(600) for j in range(i + 1, 600) if root[i] != root[j] and 4 * min(n[i], n[j]) >= 3 * max(n[i], n[j])}
     assert got == want
 
 
+def test_a_tile_that_leaves_pairs_out_says_so():
+    element, c, root = np.full(40, 1, dtype=np.uint64), np.arange(40), np.arange(40) % 2
+    a, b, more = jaccard.pairs_of_tile(element, c, root, np.full(40, 30), np.zeros(40), 3)
+    assert len(a) == 3 and more.all() and (root[a] != root[b]).all()
+    a, b, more = jaccard.pairs_of_tile(element[:3], c[:3], np.arange(3), np.full(3, 30), np.zeros(3), 3)
+    assert len(a) == 3 and not more.any()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101), (7, 7)]
     d = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.root for r in components.components(d).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100, 102: 100}
     assert components.components(d.limit(0)).count() == 0
+
+
+def test_common_shingles_come_last(spark):
+    d = spark.createDataFrame([(i, f"a b c d e own{i} x{i} y{i} z{i}") for i in range(20)], "doc_id long, text string")
+    for groups in (1, 7):
+        order = jaccard.shingle_order(d, "text", groups)
+        import pyarrow as pa
+
+        h, first = jaccard.shingle_sets(pa.array(["a b c d e own1 x1 y1 z1"]))
+        assert sorted(order.level(h).tolist()) == [0, 0, 0, 0, 4]
+    assert not len(jaccard.shingle_order(d, "text", 3, most_common=0).codes)
