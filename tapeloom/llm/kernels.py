@@ -125,13 +125,23 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.data)
-            p, inv = powers(_P, n + 1)
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-            self._hash = mix((total[self.ends] - total[self.starts]) * inv[self.starts])
+            # Some words at a time, so that powers and sums stay small for long texts.
+            at, parts = 0, []
+            while at < len(self.starts):
+                to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + CHUNK_BYTES, side="right")))
+                parts.append(self._hashes(at, to))
+                at = to
+            self._hash = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
         return self._hash
 
+    def _hashes(self, at: int, to: int) -> np.ndarray:
+        lo, hi = int(self.starts[at]), int(self.ends[to - 1])
+        n = hi - lo
+        p, inv = powers(_P, n + 1)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
+        return mix((total[self.ends[at:to] - lo] - total[self.starts[at:to] - lo]) * inv[self.starts[at:to] - lo])
+
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every window of ``length`` words inside one text."""
         h = self.hashes

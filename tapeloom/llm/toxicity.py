@@ -33,7 +33,9 @@ MIN_DOCS = 3
 #: Weight of the squared length of the vectors in the loss.
 DECAY = 1e-6
 #: Bounds of the training sample: rows of labels 0 and 1, and bytes of one text.
-MAX_ROWS, MAX_TRAIN_BYTES = (3000, 1500), 6000
+MAX_ROWS, MAX_TRAIN_BYTES = (2500, 1500), 5000
+#: Words whose subwords are in one array while training.
+WORDS = 10_000
 THRESHOLD = 0.3
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,14 +153,20 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         return Model(np.zeros(buckets, dtype=np.float32), prior)
     w = Words(texts, ALNUM, lower=True)
     _, one, word = np.unique(w.hashes, return_index=True, return_inverse=True)
-    sub, sub0 = subwords(w, one)
-    n_sub = np.diff(sub0)
     pairs = np.unique(word.astype(np.int64) * len(y) + w.doc)
-    texts_of = np.bincount(sub, np.repeat(np.bincount(pairs // len(y), minlength=len(one)), n_sub), buckets)
+    texts = np.bincount(pairs // len(y), minlength=len(one))
+    del pairs
+    # Subwords are kept, and later worked on, for some words at a time.
+    blocks, texts_of = [], np.zeros(buckets)
+    for at in range(0, len(one), WORDS):
+        sub, sub0 = subwords(w, one[at : at + WORDS])
+        n = np.diff(sub0)
+        texts_of += np.bincount(sub, np.repeat(texts[at : at + WORDS], n), buckets)
+        blocks.append((sub, sub0[:-1], n, slice(at, at + len(n))))
     used = np.flatnonzero(texts_of >= min_docs)
     place = np.zeros(buckets, dtype=np.int32)  # 0: without a vector
     place[used] = np.arange(1, len(used) + 1)
-    sub = place[sub]
+    blocks = [(place[sub], first_sub, n, own) for sub, first_sub, n, own in blocks]
     known = np.ones((len(used) + 1, 1), dtype=np.float32)
     known[0] = 0
     edges, first, size = segments(w.counts)
@@ -173,7 +181,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
     for step in range(1, epochs + 1):
         lr_now = 1 - (step - 1) / epochs
-        by_word = np.stack([np.add.reduceat(vectors[sub, k], sub0[:-1]) / n_sub for k in range(dim)], axis=1)
+        by_word = np.concatenate([np.stack([np.add.reduceat(vectors[sub, k], first_sub) / n for k in range(dim)], axis=1) for sub, first_sub, n, _ in blocks])
         bag = np.stack([np.bincount(seg_of_word, by_word[word, k] * share, len(size)) for k in range(dim)], axis=1)
         z = bag @ (soft[:, 1] - soft[:, 0]) + (bias[1] - bias[0])
         p = 1 / (1 + np.exp(-z))
@@ -183,8 +191,10 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         d_soft = bag.T @ g
         d_word = np.bincount(word, (g / size)[seg_of_word], len(one))
         margin = soft[:, 1] - soft[:, 0]
-        per_sub = np.repeat(d_word / n_sub, n_sub)
-        d_vec = np.bincount(sub, per_sub, len(known))[:, None] * margin[None, :]
+        d_sub = np.zeros(len(known))
+        for sub, _, n, own in blocks:
+            d_sub += np.bincount(sub, np.repeat(d_word[own] / n, n), len(known))
+        d_vec = d_sub[:, None] * margin[None, :]
         d_vec += decay * vectors
         d_vec *= known
         grads = (d_vec, np.stack([-d_soft, d_soft], axis=1), np.array([-g.sum(), g.sum()]))
@@ -215,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # Keys and labels only are ranked; a few times as many are asked for as are used, since long texts fall out.
     ids = None
     for y in (0, 1):
-        part = known.where(F.col("__y") == y).dropDuplicates().orderBy(F.xxhash64("__key"), "__key").limit(2 * max_rows[y])
+        part = known.where(F.col("__y") == y).dropDuplicates().orderBy(F.xxhash64("__key"), "__key").limit(max_rows[y] * 3 // 2)
         ids = part if ids is None else ids.unionByName(part)
     found = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(ids), "__key").toArrow()
     found = found.sort_by([("__key", "ascending"), ("__text", "ascending")])
