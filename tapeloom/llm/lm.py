@@ -3,9 +3,11 @@
 Words and word pairs of the training texts are counted by hash, in packed groups that
 grow with the corpus.  Every group builds its own slice of a Bloom filter: an n-gram of
 count c enters it with each of the levels 1 to 1 + floor(log2 c), and a count is read
-back by probing level after level until a probe misses.  The joined slices are broadcast;
-they take at most ``MAX_FILTER_BYTES``, since a slice whose entries do not fit leaves out
-its rarest levels (pairs first seen at such a level back off to the word alone).
+back by probing level after level until a probe misses.  The slices grow with the
+corpus and hold every n-gram.  While all of them together take at most ``MAX_FILTER_BYTES``
+they are broadcast; beyond that they stay where they are, as a table by group, and the
+words and pairs of each block of texts are sent, packed, to the groups that hold their
+slices.  The same slices are probed either way, so the scores are the same.
 
 The exact unigram base score needs no broadcast that grows: counts of the most common
 words are broadcast (at most ``COMMON``); occurrences of all others are sent, packed, to
@@ -27,8 +29,9 @@ from .storage import written
 
 START, END = np.uint64(0x51AB7E0C3D9F2468), np.uint64(0xE4D1B60F8C2A9735)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
+#: Most bytes of slices that are broadcast; more are probed in their groups.
 MAX_FILTER_BYTES = 96 << 20
-#: Bits an entry has, and may have at least before levels are left out.
+#: Bits an entry has, and may have at least where a slice is bounded before levels are left out.
 BITS, LEAST_BITS = 10, 8
 COMMON = 1 << 20
 #: Weight of the unigram in a pair's probability, as a count.
@@ -36,6 +39,8 @@ MU = 50.0
 LEVELS = 40
 #: Tokens whose counts a task holds before it sends them.
 HELD = 2_000_000
+#: Keys that a group looks up at once.
+ASKED = 1_000_000
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -78,18 +83,18 @@ def _masks(h: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarra
     return ((x >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64), bits
 
 
-def build_slice(h: np.ndarray, counts: np.ndarray, max_bytes: int) -> tuple[np.ndarray, int]:
-    """(the slice's words, least level that it holds)."""
+def build_slice(h: np.ndarray, counts: np.ndarray, max_bytes: int | None = None) -> tuple[np.ndarray, int]:
+    """(the slice's words, least level that it holds); without ``max_bytes`` all levels are held."""
     level = level_of(counts)
     least = 1
     while True:
         some = np.flatnonzero(level >= least)
         # Levels below the least are not entered: a probe starts there.
         entries = int((level[some] - least + 1).sum())
-        if entries * LEAST_BITS <= 8 * max_bytes or not len(some):
+        if max_bytes is None or entries * LEAST_BITS <= 8 * max_bytes or not len(some):
             break
         least += 1
-    words = max(1, min(entries * BITS, 8 * max_bytes) // 64)
+    words = max(1, (entries * BITS if max_bytes is None else min(entries * BITS, 8 * max_bytes)) // 64)
     table = np.zeros(words, dtype=np.uint64)
     for v in range(least, int(level.max(initial=0)) + 1):
         word, bits = _masks(h[level >= v], v, words)
@@ -145,11 +150,9 @@ def pair_key(h: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) % np.uint64(groups)).astype(np.int64), h & np.uint64(0xFFFFFFFF)
 
 
-def ngram_counts(docs: DataFrame, text: str, groups: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def ngram_counts(docs: DataFrame, text: str, groups: int) -> DataFrame:
     """One row a group and order: exact counts of words, and the group's filter slice."""
     source = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    # An eighth of the filter is for words.
-    shares = {1: max_filter_bytes // (8 * groups), 2: max_filter_bytes * 7 // (8 * groups)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, held = [], [], 0
@@ -175,7 +178,7 @@ def ngram_counts(docs: DataFrame, text: str, groups: int, max_filter_bytes: int
         keys, counts = keys[at], counts[at].astype(np.int64)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, counts = keys[first], np.add.reduceat(counts, first)
-        bits, least = build_slice(keys.astype(np.uint64), counts, shares[order])
+        bits, least = build_slice(keys.astype(np.uint64), counts)
         by_level = np.bincount(level_of(counts), minlength=LEVELS + 1)[: LEVELS + 1]
         return pa.table(
             {
@@ -216,10 +219,10 @@ def _grouped(order: int, g: np.ndarray, key: np.ndarray, count: np.ndarray) -> p
 
 @dataclass
 class Model:
-    """What is broadcast: both filters, the common words' exact counts, and four numbers."""
+    """What is broadcast: both filters where they fit, the common words' exact counts, and four numbers."""
 
-    words: Filter
-    pairs: Filter
+    words: Filter | None
+    pairs: Filter | None
     common: np.ndarray
     common_counts: np.ndarray
     groups: int
@@ -239,9 +242,10 @@ class Model:
         return np.where(self.common[at] == h, self.common_counts[at], -1)
 
 
-def load_model(counts: DataFrame, groups: int, common: int = COMMON) -> Model:
-    """Collects slices and common words (both of bounded size) of the written counts."""
-    stats = counts.select("order", "total", "levels").collect()
+def load_model(counts: DataFrame, groups: int, common: int = COMMON, max_filter_bytes: int = MAX_FILTER_BYTES) -> Model:
+    """Collects common words of the written counts, and the slices if all of them fit in ``max_filter_bytes``."""
+    stats = counts.select("order", "total", "levels", F.octet_length("bits").alias("size")).collect()
+    fits = sum(r.size for r in stats) <= max_filter_bytes
     levels = np.sum([r.levels for r in stats if r.order == 1], axis=0, dtype=np.int64) if stats else np.zeros(LEVELS + 1, dtype=np.int64)
     levels = np.broadcast_to(levels, (LEVELS + 1,))
     above = np.cumsum(levels[::-1])[::-1]
@@ -261,52 +265,111 @@ def load_model(counts: DataFrame, groups: int, common: int = COMMON) -> Model:
     values = np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(r.counts, dtype=np.int64) for r in rows)])
     at = np.argsort(keys)
     keys, values = keys[at], values[at]
-    made = {o: Filter([(r.g, r.bits, r.least) for r in counts.where(F.col("order") == o).select("g", "bits", "least").collect()], groups) for o in (1, 2)}
+    made = {o: Filter([(r.g, r.bits, r.least) for r in counts.where(F.col("order") == o).select("g", "bits", "least").collect()], groups) if fits else None for o in (1, 2)}
     end = values[keys == END]
     return Model(made[1], made[2], keys, values, groups, sum(r.total for r in stats if r.order == 1), int(levels.sum()), int(end[0]) if len(end) else 0)
 
 
-def score_slice(w: Words, m: Model, mu: float = MU) -> dict[str, np.ndarray]:
-    """Per text: tokens, known tokens and base score as far as common words go, and model score; and the other tokens."""
-    t, first = tokens_of(w)
-    unique, place = np.unique(t, return_inverse=True)
-    exact = m.exact(unique)
-    estimate = ESTIMATE[m.words.levels(word_group(unique, m.groups), unique)]
-    own = exact[place]
-    common = own >= 0
-    base = np.where(common, np.log10(np.maximum(own, 0) + 0.5), 0.0)
-    count = estimate[place]
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    run = np.r_[0, np.cumsum(x)]
+    return run[first[1:]] - run[first[:-1]]
+
+
+def _pair_scores(first: np.ndarray, count: np.ndarray, together: np.ndarray, texts: int, total: int, distinct: int, mu: float) -> np.ndarray:
+    """Model score of each text from the estimated counts of its tokens and of their pairs."""
     before = np.empty_like(count)
     before[1:] = count[:-1]
-    before[first[:-1]] = m.texts
-    together = ESTIMATE[m.pairs.levels(*pair_key(pairs_of(t, first), m.groups))]
-    single = (count + 0.5) / (m.total + 0.5 * (m.distinct + 1))
+    before[first[:-1]] = texts
+    single = (count + 0.5) / (total + 0.5 * (distinct + 1))
     p = (np.minimum(together, before) + mu * single) / (before + mu)
+    return _sums(np.log10(np.minimum(p, 1.0)), first)
 
-    def total(x: np.ndarray) -> np.ndarray:
-        run = np.r_[0, np.cumsum(x)]
-        return run[first[1:]] - run[first[:-1]]
 
+def score_slice(w: Words, m: Model, mu: float = MU) -> dict[str, np.ndarray | None]:
+    """Per text: tokens, known tokens and base score as far as common words go, and model score (none without filters); and the other tokens."""
+    t, first = tokens_of(w)
+    unique, place = np.unique(t, return_inverse=True)
+    own = m.exact(unique)[place]
+    common = own >= 0
+    base = np.where(common, np.log10(np.maximum(own, 0) + 0.5), 0.0)
+    made = None
+    if m.words is not None:
+        count = ESTIMATE[m.words.levels(word_group(unique, m.groups), unique)][place]
+        together = ESTIMATE[m.pairs.levels(*pair_key(pairs_of(t, first), m.groups))]
+        made = _pair_scores(first, count, together, m.texts, m.total, m.distinct, mu)
     rare = np.flatnonzero(~common)
     return {
-        "n_tokens": np.diff(first), "known": total(common & (own > 0)), "base": total(base), "score": total(np.log10(np.minimum(p, 1.0))),
+        "n_tokens": np.diff(first), "known": _sums(common & (own > 0), first), "base": _sums(base, first), "score": made,
         "rare": t[rare], "rare_text": np.searchsorted(first, rare, side="right") - 1,
     }
 
 
+def asked_of(t: np.ndarray, first: np.ndarray, groups: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order the block's different n-grams by group: (group, key, each token's place among them)."""
+    unique, place = np.unique(t, return_inverse=True)
+    g = word_group(unique, groups)
+    at = np.argsort(g, kind="stable")
+    back = np.empty_like(at)
+    back[at] = np.arange(len(at))
+    pg, pk = pair_key(pairs_of(t, first), groups)
+    pairs, pair_place = np.unique(pg.astype(np.uint64) << np.uint64(32) | pk, return_inverse=True)
+    return {1: (g[at], unique[at], back[place]), 2: ((pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32), pair_place)}
+
+
+def group_scores(made: DataFrame, counts: DataFrame, m: Model, mu: float) -> DataFrame:
+    """(row, score): the slices are probed in their groups, and levels come back to the blocks of texts."""
+    groups, texts, total, distinct = m.groups, m.texts, m.total, m.distinct
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = np.uint64 if right.num_rows and right.column("order")[0].as_py() == 1 else np.uint32
+        held = Filter([(0, bits, least) for bits, least in zip(left.column("bits").to_pylist(), left.column("least").to_pylist(), strict=True)], 1)
+        out, some, n = [], [], 0
+        keys = right.column("hashes")
+
+        def ask() -> None:
+            h = np.concatenate(some).astype(np.uint64)
+            levels = held.levels(np.zeros(len(h), dtype=np.int64), h).astype(np.uint8)
+            out.extend(x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in some])[:-1]))
+
+        for i in range(right.num_rows):
+            some.append(np.frombuffer(keys[i].as_py(), dtype=kind))
+            n += len(some[-1])
+            if n > ASKED:
+                ask()
+                some, n = [], 0
+        if some:
+            ask()
+        return pa.table({"block": right.column("block"), "order": right.column("order"), "g": right.column("g"), "levels": pa.array(out, pa.binary())})
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("row"), right.sort_by([("order", "ascending"), ("g", "ascending")])
+        t, first = tokens_of(Words(left.column("text"), NON_SPACE, lower=True))
+        order = right.column("order").to_numpy()
+        levels = right.column("levels").to_pylist()
+        estimate = {o: ESTIMATE[np.frombuffer(b"".join(levels[i] for i in np.flatnonzero(order == o)), dtype=np.uint8)[place]] for o, (_, _, place) in asked_of(t, first, groups).items()}
+        return pa.table({"row": left.column("row"), "score": _pair_scores(first, estimate[1], estimate[2], texts, total, distinct, mu)})
+
+    slices = counts.select("order", "g", "bits", "least")
+    asked = made.where("order > 0").select("order", "g", "block", "hashes")
+    levels = slices.groupBy("order", "g").cogroup(asked.groupBy("order", "g")).applyInArrow(probe, "block bigint, order int, g int, levels binary")
+    blocks = made.where("row is not null").select("block", "row", "text")
+    return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(finish, "row bigint, score double")
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: F.Column | None = None, mu: float = MU, groups: int | None = None, common: int = COMMON, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(key, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``) of each row.
 
     Learns from the rows where ``train`` holds (all by default).  A text's tokens are its
     words (A-Z lower-cased; other characters than space and U+0009 to U+000D) and one end
     token; a null or empty text has the end alone.  ``base_score`` is exact add-half
-    unigram log10 probability; ``score`` that of the pair model.  Repeated rows each count
+    unigram log10 probability; ``score`` that of the pair model, the same whether the
+    slices are broadcast or not (``max_filter_bytes``).  Repeated rows each count
     and are each scored; without training rows every token's base is 0.
     """
     spark = docs.sparkSession
     groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = written(ngram_counts(docs if train is None else docs.where(train), text, groups, max_filter_bytes))
-    model = load_model(counts, groups, common)
+    counts = written(ngram_counts(docs if train is None else docs.where(train), text, groups))
+    model = load_model(counts, groups, common, max_filter_bytes)
     shared = spark.sparkContext.broadcast(model)
     total, floor = model.total, model.floor
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -317,18 +380,19 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: F.Col
         for batch in batches:
             for part in chunks(batch, "text"):
                 s = score_slice(Words(part.column(2), NON_SPACE, lower=True), m, mu)
-                n = part.num_rows
-                yield _mixed(part.schema.field(1).type, part.column(0), part.column(1), s, n)
+                yield _mixed(part, s, m.words is None)
+                if m.words is None:
+                    yield from _asked(part, m.groups)
                 rare.append(s["rare"])
                 rows.append(part.column(0).to_numpy()[s["rare_text"]])
                 held += len(s["rare"])
                 if held > HELD // 2:
-                    yield _rare(part.schema.field(1).type, rare, rows, groups)
+                    yield _rare(part.schema, rare, rows, groups)
                     rare, rows, held = [], [], 0
         if held:
-            yield _rare(part.schema.field(1).type, rare, rows, groups)
+            yield _rare(part.schema, rare, rows, groups)
 
-    schema = f"row bigint, key {kind}, n_tokens bigint, known bigint, base double, score double, g int, hashes binary, rows binary"
+    schema = f"row bigint, key {kind}, n_tokens bigint, known bigint, base double, score double, g int, hashes binary, rows binary, order int, block bigint, text string"
     made = written(source.mapInArrow(run, schema))
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -344,24 +408,46 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: F.Col
         return pa.table({"row": unique, "more": np.bincount(place, np.log10(c + 0.5), len(unique)), "more_known": np.bincount(place, c > 0, len(unique)).astype(np.int64)})
 
     words = counts.where("order = 1").select("g", "keys", "counts")
-    rare = made.where("g is not null").select("g", "hashes", "rows")
+    rare = made.where("rows is not null").select("g", "hashes", "rows")
     back = words.groupBy("g").cogroup(rare.groupBy("g")).applyInArrow(sums, "row bigint, more double, more_known bigint")
     back = back.groupBy("row").agg(F.sum("more").alias("more"), F.sum("more_known").alias("more_known"))
     out = made.where("row is not null").select("row", "key", "n_tokens", "known", "base", "score").join(back, "row", "left")
+    if model.words is None:
+        out = out.drop("score").join(group_scores(made, counts, model, mu), "row")
     return out.select(
         F.col("key").alias(key), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score",
     )
 
 
-def _mixed(kind: pa.DataType, row: pa.Array, key: pa.Array, s: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
-    columns = [row, key, pa.array(s["n_tokens"].astype(np.int64)), pa.array(s["known"].astype(np.int64)), pa.array(s["base"].astype(np.float64)), pa.array(s["score"].astype(np.float64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["row", "key", "n_tokens", "known", "base", "score", "g", "hashes", "rows"])
+NAMES = ["row", "key", "n_tokens", "known", "base", "score", "g", "hashes", "rows", "order", "block", "text"]
+
 
+def _mixed(part: pa.RecordBatch, s: dict[str, np.ndarray | None], texts: bool) -> pa.RecordBatch:
+    """The rows of a slice; with their texts and block where the scores are still to come."""
+    n, row = part.num_rows, part.column(0)
+    made = pa.nulls(n, pa.float64()) if s["score"] is None else pa.array(s["score"].astype(np.float64))
+    columns = [row, part.column(1), pa.array(s["n_tokens"].astype(np.int64)), pa.array(s["known"].astype(np.int64)), pa.array(s["base"].astype(np.float64)), made, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())]
+    columns += [pa.array(np.full(n, row[0].as_py())), part.column(2)] if texts else [pa.nulls(n, pa.int64()), pa.nulls(n, part.schema.field(2).type)]
+    return pa.RecordBatch.from_arrays(columns, names=NAMES)
 
-def _rare(kind: pa.DataType, rare: list[np.ndarray], rows: list[np.ndarray], groups: int) -> pa.RecordBatch:
+
+def _packed(schema: pa.Schema, g: pa.Array, hashes: pa.Array, rows: pa.Array, order: int, block: pa.Array) -> pa.RecordBatch:
+    n = len(g)
+    columns = [pa.nulls(n, pa.int64()), pa.nulls(n, schema.field(1).type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), g, hashes, rows, pa.array(np.full(n, order, dtype=np.int32)), block, pa.nulls(n, schema.field(2).type)]
+    return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+
+def _rare(schema: pa.Schema, rare: list[np.ndarray], rows: list[np.ndarray], groups: int) -> pa.RecordBatch:
     h, row = np.concatenate(rare), np.concatenate(rows).astype(np.int64)
     packed = _grouped(0, word_group(h, groups), h, row)
-    n = packed.num_rows
-    columns = [pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), packed.column(1), packed.column(2), packed.column(3)]
-    return pa.RecordBatch.from_arrays(columns, names=["row", "key", "n_tokens", "known", "base", "score", "g", "hashes", "rows"])
+    return _packed(schema, packed.column(1), packed.column(2), packed.column(3), 0, pa.nulls(packed.num_rows, pa.int64()))
+
+
+def _asked(part: pa.RecordBatch, groups: int) -> Iterator[pa.RecordBatch]:
+    """The different words and pairs of a block of texts, packed for the groups that hold their slices."""
+    for order, (g, key, _) in asked_of(*tokens_of(Words(part.column(2), NON_SPACE, lower=True)), groups).items():
+        edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        stops = np.append(edges[1:], len(g))
+        keys = pa.array([key[a:b].tobytes() for a, b in zip(edges.tolist(), stops.tolist(), strict=True)], pa.binary())
+        yield _packed(part.schema, pa.array(g[edges].astype(np.int32)), keys, pa.nulls(len(edges), pa.binary()), order, pa.array(np.full(len(edges), part.column(0)[0].as_py())))

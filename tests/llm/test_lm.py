@@ -64,3 +64,12 @@ def test_empty_tables(spark):
     assert lm.score(d.limit(0)).count() == 0
     r = lm.score(d, train=d.doc_id < 0).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_slices_that_are_not_broadcast_lose_nothing(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "only once here"), (9004, "only once there")], "doc_id long, text string")).repartition(3)
+    d.cache()
+    whole, apart = ({r.doc_id: r.asDict() for r in lm.score(d, common=50, max_filter_bytes=n).collect()} for n in (1 << 30, 0))
+    assert whole.keys() == apart.keys()
+    for k, r in whole.items():
+        assert apart[k] == pytest.approx(r, rel=1e-9)
