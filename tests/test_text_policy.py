@@ -113,3 +113,23 @@ def test_fingerprints_and_keys(spark):
     assert one(spark, identity.anchor_offsets(F.col("n")), n=65536 * 9) == [65536 * i for i in range(9)]
     assert one(spark, identity.content_fingerprint(F.encode(F.lit("x"), "UTF-8"), F.col("n")), n=6 * 1024**3) is None
     assert one(spark, identity.options_json(F.create_map(F.lit("b"), F.lit("-0.0"), F.lit("a"), F.lit(None).cast("string"))), n=1) == '{"a":null,"b":"0.0"}'
+
+
+def test_long_values_go_whole(spark):
+    a = "aB3" * 10000
+    rows = {
+        "blob " + a + "== end": "blob [REDACTED:base64-blob] end",
+        "ey" + "J" + a + "." + a + "." + a: "[REDACTED:jwt]",
+        "glpat" + "-" + a: "[REDACTED:gitlab-token]",
+        "xox" + "b-" + a: "[REDACTED:slack-token]",
+        "sk_" + "live_" + a: "[REDACTED:stripe-key]",
+        "sk" + "-" + a: "[REDACTED:api-key]",
+        "Bearer" + " " + a + " x": "Bearer [REDACTED:oauth-token] x",
+        "to" + "ken: " + a: "token: [REDACTED:assigned-secret]",
+        "postgres://" + "u" * 300 + ":" + a + "@db": "postgres://" + "u" * 300 + ":[REDACTED:url-password]@db",
+        "https://" + a + "@db": "https://[REDACTED:url-user]@db",
+        "-----BEGIN RSA " + "PRIVATE KEY-----" + a + "-----END RSA " + "PRIVATE KEY-----": "[REDACTED:private-key]",
+    }
+    d = spark.createDataFrame([(k,) for k in rows], "text string")
+    for r in d.select("text", redaction.redacted(F.col("text")).alias("out"), redaction.redacted(redaction.redacted(F.col("text"))).alias("again")).collect():
+        assert (r.out, r.again) == (rows[r.text], rows[r.text])
