@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of one sample of a sampled fingerprint, samples between first and last, and the most a whole digest reads.
 SAMPLE_BYTES, INNER_SAMPLES, WHOLE_BYTES = 64 * 1024, 7, 5 * 1024**3
 
+#: Digests of cases that are packed in one row.
+BLOCK = 128
+
 
 def video_fingerprint(video: Column) -> Column:
     return F.sha2(video, 256)
@@ -57,8 +65,35 @@ def duplicate_sources(sources: DataFrame, fingerprint: str = "fingerprint", sour
 def corpus_digest(cases: DataFrame, label_digest: str, position: str, image: str, truth: str) -> DataFrame:
     """One digest over the label table's and then each case's image digest and truth, in corpus order.
 
-    Each case is reduced to a digest before the ordered ones are put together.
+    Cases are reduced to digests, dealt by ranges of position, sorted and packed in
+    their tasks; one task takes the blocks in turn.  A digest of one ordered stream is
+    made in order, but no task holds more than a batch of it.
     """
-    each = cases.select(F.struct(F.col(position).alias("at"), F.sha2(F.concat_ws("\x00", F.col(image), F.coalesce(F.col(truth), F.lit(""))), 256).alias("d")).alias("x"))
-    all_of = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"])
-    return each.agg(F.sha2(F.concat(F.lit(label_digest), F.lit(":"), F.array_join(all_of, ":")), 256).alias("digest"))
+    each = cases.select(F.col(position).alias("at"), F.sha2(F.concat_ws("\x00", F.col(image), F.coalesce(F.col(truth), F.lit(""))), 256).alias("d"))
+    blocks = each.repartitionByRange("at", "d").sortWithinPartitions("at", "d").select("d").mapInArrow(_packed, "part int, seq bigint, digests string")
+    head = cases.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("digests"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, between = None, b""
+        for batch in batches:
+            for digests in batch.column(2).to_pylist():
+                if digests is None:
+                    made = hashlib.sha256(f"{label_digest}:".encode())
+                else:
+                    made.update(between + digests.encode())
+                    between = b":"
+        if made is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([made.hexdigest()])], names=["digest"])
+
+    return head.unionByName(blocks).repartition(1).sortWithinPartitions("part", "seq").mapInArrow(fold, "digest string")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of a sorted partition in joined blocks, numbered in order."""
+    part, seq = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        d = batch.column(0).to_pylist()
+        made = [":".join(d[i : i + BLOCK]) for i in range(0, len(d), BLOCK)]
+        n = len(made)
+        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(made, pa.string())], names=["part", "seq", "digests"])
+        seq += n

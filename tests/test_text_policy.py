@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,14 @@ def test_long_values_go_whole(spark):
     d = spark.createDataFrame([(k,) for k in rows], "text string")
     for r in d.select("text", redaction.redacted(F.col("text")).alias("out"), redaction.redacted(redaction.redacted(F.col("text"))).alias("again")).collect():
         assert (r.out, r.again) == (rows[r.text], rows[r.text])
+
+
+def test_corpus_digest_is_folded_in_order_without_one_list(spark):
+    rows = [(i * 7919 % 5003, f"i{i}", None if i % 5 == 0 else f"t{i}") for i in range(3000)] + [(None, "n", "n"), (9, "twice", "a"), (9, "twice", "b")]
+    each = sorted(((k is not None, k or 0), hashlib.sha256(f"{i}\x00{t or ''}".encode()).hexdigest()) for k, i, t in rows)
+    d = spark.createDataFrame(rows, "at long, image string, truth string").repartition(5)
+    digest = lambda x: hashlib.sha256(("labels:" + ":".join(x)).encode()).hexdigest()
+    made = identity.corpus_digest(d, "labels", "at", "image", "truth")
+    assert [r.digest for r in made.collect()] == [digest([x for _, x in each])]
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.digest for r in identity.corpus_digest(d.limit(0), "labels", "at", "image", "truth").collect()] == [digest([])]
