@@ -31,13 +31,16 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group; of repeated rows of one id, one of each text that stays.
+    """Keeps one row of each group: that of least id (null last), then of least text hash.
 
-    Only ids that go are joined with the texts.
+    Rows are told apart by a number that is written with them, so repeated rows, equal
+    ids with different texts and null ids are rows of their own.
     """
-    found = jaccard.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")))
+    found = jaccard.near_duplicates(rows, key="__row")
+    ranked = rows.select("__row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("__row").alias("row")).alias("rank"))
+    kept = found.join(ranked, "__row").groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,5 +36,19 @@ def test_each_stage_keeps_what_its_rule_keeps(spark, sf_dir):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf_dir).collect()} == last
 
 
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [
+        (1, a), (1, a), (1, a),  # repeated rows
+        (2, b), (3, b + " more"), (3, c),  # one of two texts of id 3 is a near copy, the other is its only one
+        (None, d), (None, d), (None, a),  # null ids: a repeated text, and a copy of another id's
+        (4, None), (5, ""),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (4, None), (5, "")], key=str)
+
+
 def test_registered():
     assert "pipeline" in entry.queries() and sum(q.startswith("op") for q in entry.queries()) >= 10
