@@ -141,7 +141,7 @@ def progress_summary(events: DataFrame, weights: DataFrame, ended: bool) -> Data
 
 
 def batch_report(items: DataFrame, batch: str = "batch_id", stop_at_first: bool = False) -> DataFrame:
-    """Items, processed and errors of each batch (``batch_index`` from 1, ``code`` null if good), and errors by code.
+    """Items, processed, errors and first error of each batch (``batch_index`` from 1, ``code`` null if good).
 
     ``stop_at_first`` counts a batch's rows up to its first error.
     """
