@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .mapping import map_texts
-from .pretokens import Cache, Points, piece_hashes, ranges, spaced_pieces
+from .pretokens import Cache, Points, ranges, spaced_pieces
 
 #: Bytes up to which a piece is cut and merged in arrays of equal rows.
 LONG = 64
@@ -295,14 +295,7 @@ class Encoder:
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         p = Points(texts)
         starts, ends = spaced_pieces(p)
-        h = piece_hashes(p.points, starts, ends)
-        entry, new, inverse = self.cache.find(h)
-        if len(new):
-            raw = p.points.tobytes()
-            pieces = [raw[4 * a : 4 * b].decode("utf-32-le").encode("utf-8") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            added = self.cache.add(h[new], *self.encode_pieces(pieces))
-            entry[entry < 0] = added[inverse]
-        ids, size = self.cache.expand(entry)
+        ids, size = self.cache.encoded(p.data, p.at, starts, ends, self.encode_pieces)
         total = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
         return ids, np.diff(total[np.searchsorted(starts, p.offsets)])

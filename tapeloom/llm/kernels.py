@@ -4,9 +4,10 @@ An Arrow string column is one UTF-8 buffer plus offsets.  Words, word hashes and
 hashes of word windows come from a few numpy passes over that buffer, so no
 per-word Python objects are made.  All functions treat null as the empty text.
 
-Hashes are 64-bit polynomial hashes finished by a multiply-xor mix.  They stand
-for words and windows where only equality matters; two different strings of a
-corpus share one with a chance of about pairs / 2**64.
+Hashes are 64-bit.  A span of bytes is read eight at a time; every eight bytes are mixed
+with their place before they are summed, so no sum of powers is there to cancel out.
+They stand for words and windows where only equality matters; where a wrong match would
+change a text (encoded pieces, benchmark hits), the bytes are compared as well.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ import pyarrow as pa
 #: Text bytes that one numpy pass handles; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xC2B2AE3D27D4EB4F)
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MIX, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_PLACE, _JOIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Spans, and eight-byte parts of long spans, that are hashed at once.
+SPANS = 1 << 17
+#: Eight-byte parts that are taken span by span in step; what is left of longer spans is taken apart.
+STEPS = 4
+_KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -49,19 +53,90 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, modulo 2**64, for i below at least n."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        made = []
-        for b in (base, inverse):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        have = _powers[int(base)] = (made[0], made[1])
-    return have
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on (zeros follow the end), without a copy of each."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _parts(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from ``at`` on, those after the span's ``left`` bytes as zeros."""
+    return view[at] & _KEPT[np.minimum(left, 8)]
+
+
+def _placed(part: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    h = part ^ (np.atleast_1d(place).astype(np.uint64) + np.uint64(1)) * _PLACE
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    h *= _MIX2
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes."""
+    view = eights(data)
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in range(0, len(starts), SPANS):
+        out[k : k + SPANS] = _span_hashes(view, starts[k : k + SPANS], ends[k : k + SPANS])
+    return out
+
+
+def _span_hashes(view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    total = _placed(_parts(view, starts, size), 0)
+    for i in range(1, STEPS):
+        some = np.flatnonzero(size > 8 * i)
+        if not len(some):
+            break
+        total[some] += _placed(_parts(view, starts[some] + 8 * i, size[some] - 8 * i), i)
+    rest = np.flatnonzero(size > 8 * STEPS)
+    parts = (size[rest] + 7) // 8 - STEPS
+    stop = np.cumsum(parts)
+    k = 0
+    while k < len(rest):
+        to = max(k + 1, int(np.searchsorted(stop, (stop[k - 1] if k else 0) + SPANS, side="right")))
+        if to == k + 1:
+            total[rest[k : k + 1]] += _long(view, int(starts[rest[k]]), int(ends[rest[k]]))
+        else:
+            own, n = rest[k:to], parts[k:to]
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(first, n) + STEPS
+            at = np.repeat(starts[own], n) + 8 * place
+            total[own] += np.add.reduceat(_placed(_parts(view, at, np.repeat(ends[own], n) - at), place), first)
+        k = to
+    return mix(total + size.astype(np.uint64) * _JOIN)
+
+
+def _long(view: np.ndarray, start: int, end: int) -> np.ndarray:
+    """What the parts of one long span add, some parts at a time."""
+    total = np.zeros(1, dtype=np.uint64)
+    last = (end - start + 7) // 8
+    for k in range(STEPS, last, SPANS):
+        place = np.arange(k, min(last, k + SPANS))
+        total += np.add.reduce(_placed(_parts(view, start + 8 * place, end - start - 8 * place), place))
+    return total
+
+
+def equal_spans(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """Whether each span of bytes of ``a`` equals that of ``b``; both as views of :func:`eights`."""
+    size = a1 - a0
+    same = size == b1 - b0
+    left = np.flatnonzero(same & (size > 0))
+    for i in range(0, 2 * STEPS):
+        good = _parts(a, a0[left] + 8 * i, size[left] - 8 * i) == _parts(b, b0[left] + 8 * i, size[left] - 8 * i)
+        same[left[~good]] = False
+        left = left[good & (size[left] > 8 * i + 8)]
+        if not len(left):
+            return same
+    done = 16 * STEPS
+    x, y = (v.base if v.base is not None else v for v in (a, b))
+    for k in left.tolist():
+        n = int(size[k])
+        same[k] = np.array_equal(x[a0[k] + done : a0[k] + n], y[b0[k] + done : b0[k] + n])
+    return same
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,42 +200,42 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hash is None:
-            # Some words at a time, so that powers and sums stay small for long texts.
-            at, parts = 0, []
-            while at < len(self.starts):
-                to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + CHUNK_BYTES, side="right")))
-                parts.append(self._hashes(at, to))
-                at = to
-            self._hash = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+            self._hash = span_hashes(self.data, self.starts, self.ends)
         return self._hash
 
-    def _hashes(self, at: int, to: int) -> np.ndarray:
-        lo, hi = int(self.starts[at]), int(self.ends[to - 1])
-        n = hi - lo
-        p, inv = powers(_P, n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-        return mix((total[self.ends[at:to] - lo] - total[self.starts[at:to] - lo]) * inv[self.starts[at:to] - lo])
-
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every window of ``length`` words inside one text."""
         h = self.hashes
         n = len(h)
         if n < length:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        q, inv = powers(_Q, n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(h * q[:n], out=total[1:])
+        # Hashes of one, two, four, ... words from each word on; those that add up to the length are joined.
+        made, done, some, width, left = None, 0, h, 1, length
+        while left:
+            if left & 1:
+                made = some if made is None else joined(made[: n - done - width + 1], some[done:])
+                done += width
+            left >>= 1
+            if left:
+                some = joined(some[:-width], some[width:])
+                width *= 2
         left = np.repeat(self.first[1:], self.counts) - np.arange(n)
         at = np.flatnonzero(left >= length)
-        return at, mix((total[at + length] - total[at]) * inv[at] + np.uint64(length))
+        return at, mix(made[at] + np.uint64(length))
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order."""
+    return mix(mix(a * _JOIN) + b)
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values per text, where ``first`` bounds each text's values."""
-    total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    out = np.zeros(len(first) - 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.add.reduceat(values[: first[-1]], first[full], dtype=out.dtype)
+    return out

@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NON_SPACE, Words, chunks, mix
+from .kernels import NON_SPACE, Words, chunks, joined, mix
 from .storage import written
 
 START, END = np.uint64(0x51AB7E0C3D9F2468), np.uint64(0xE4D1B60F8C2A9735)
-_JOIN = np.uint64(0xD6E8FEB86659FD93)
 #: Most bytes of slices that are broadcast; more are probed in their groups.
 MAX_FILTER_BYTES = 96 << 20
 #: Bits an entry has, and may have at least where a slice is bounded before levels are left out.
@@ -57,7 +56,7 @@ def pairs_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[first[:-1]] = START
-    return mix(before * _JOIN + tokens)
+    return joined(before, tokens)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:

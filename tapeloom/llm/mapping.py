@@ -11,11 +11,20 @@ from pyspark.sql import types as T
 from .kernels import chunks
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the DataFrame does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def kept_columns(df: DataFrame, keep: Sequence[str] | None, new: Iterable[str]) -> list[str]:
-    """Columns that pass through: those named, or all, without any that a result column replaces."""
-    new = set(new)
-    names = list(df.columns) if keep is None else [c for c in keep if c in df.columns]
-    return [c for c in names if c not in new]
+    """Columns that pass through: those named, or all, without any that a result column replaces; case does not matter."""
+    new, have = {c.lower() for c in new}, {c.lower(): c for c in df.columns}
+    names = list(df.columns) if keep is None else [have[c.lower()] for c in keep if c.lower() in have]
+    return [c for c in names if c.lower() not in new]
 
 
 def map_texts(
@@ -32,13 +41,14 @@ def map_texts(
     """
     new = T._parse_datatype_string(fields)
     passed = kept_columns(df, keep, new.names)
-    source = df.select(*[df[f"`{c}`"] for c in passed], df[f"`{text}`"].cast("string").alias("__text"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + list(new.fields))
+    own = fresh(df, "text")
+    source = df.select(*[df[f"`{c}`"] for c in passed], df[f"`{text}`"].cast("string").alias(own))
+    schema = T.StructType(source.schema.fields[:-1] + list(new.fields))
     n = len(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "__text"):
+            for part in chunks(batch, own):
                 made = function(part, part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *[made[f] for f in new.names]], names=[*passed, *new.names])
 

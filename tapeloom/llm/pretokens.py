@@ -8,16 +8,16 @@ found from runs of equal character class by a few numpy passes.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 
-from .kernels import buffer_of, mix, powers
+from .kernels import buffer_of, eights, equal_spans, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-_BASE = np.uint64(0xA0761D6478BD642F)
 _APOSTROPHE = 0x27
 
 
@@ -52,11 +52,10 @@ class Points:
     """Code points of a slice of texts, and where each text begins."""
 
     def __init__(self, column: pa.Array):
-        data, offsets = buffer_of(column)
-        self.points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-        before = np.zeros(len(data) + 1, dtype=np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=before[1:])
-        self.offsets = before[offsets]
+        self.data, offsets = buffer_of(column)
+        self.points = np.frombuffer(self.data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        self.at = byte_places(self.data, len(self.points))
+        self.offsets = offsets if self.at is None else np.searchsorted(self.at, offsets)
 
     def runs(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start of each run of one class inside one text, its class, end)."""
@@ -70,6 +69,19 @@ class Points:
         return at, kind[at], np.append(at[1:], n)
 
 
+def byte_places(data: np.ndarray, n: int) -> np.ndarray | None:
+    """First byte of each of the ``n`` characters of UTF-8 bytes, and the end; none where all have one byte."""
+    return None if n == len(data) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+
+def utf8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(UTF-8 bytes of code points, their places as of :func:`byte_places`)."""
+    if not len(points) or points.max() < 0x80:
+        return points.astype(np.uint8), None
+    data = np.frombuffer(points.tobytes().decode("utf-32-le").encode("utf-8"), dtype=np.uint8)
+    return data, byte_places(data, len(points))
+
+
 def _contractions(points: np.ndarray, at: np.ndarray, kind: np.ndarray, end: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(runs that are an apostrophe which takes letters from the next run, how many letters)."""
     n = len(points)
@@ -130,18 +142,14 @@ def solid_pieces(p: Points, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[solid], ends[solid]
 
 
-def piece_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(points)
-    q, inv = powers(_BASE, n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * q[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
-
-
 class Cache:
-    """Encoded pieces by hash, kept by a Python worker between slices and tasks; bounded, and emptied when full."""
+    """Encoded pieces by hash, kept by a Python worker between slices and tasks; bounded, and emptied when full.
 
-    SLOTS_BITS, MAX_IDS = 20, 6_000_000
+    A piece's bytes are kept with its ids and compared whenever its hash is found, so
+    pieces that share a hash are told apart.
+    """
+
+    SLOTS_BITS, MAX_IDS, MAX_BYTES = 21, 6_000_000, 24_000_000
 
     def __init__(self):
         self.reset()
@@ -149,40 +157,66 @@ class Cache:
     def reset(self) -> None:
         self.key = np.zeros(1 << self.SLOTS_BITS, dtype=np.uint64)
         self.slot = np.full(1 << self.SLOTS_BITS, -1, dtype=np.int32)
-        self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.offsets = np.zeros(1 << 14, dtype=np.int64)
+        self.ids, self.offsets = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 14, dtype=np.int64)
+        # Eight bytes more than are used, so that eight can be read from any.
+        self.bytes, self.bounds = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 14, dtype=np.int64)
         self.n = 0
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(entry of each hash or -1, one place of each missing hash, inverse of the missing)."""
-        if self.offsets[self.n] > self.MAX_IDS:
+    def encoded(self, data: np.ndarray, at: np.ndarray | None, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in turn, number of each); ``encode`` gives them for the bytes of new pieces.
+
+        Pieces are spans of characters of the UTF-8 ``data``; ``at`` as of :func:`byte_places`.
+        """
+        if self.offsets[self.n] > self.MAX_IDS or self.bounds[self.n] > self.MAX_BYTES:
             self.reset()
+        a, b = (starts, ends) if at is None else (at[starts], at[ends])
+        view = eights(data)
+        h = self.hashes(data, a, b)
         place = (h >> np.uint64(64 - self.SLOTS_BITS)).astype(np.int64)
-        entry = np.where(self.key[place] == h, self.slot[place], -1)
+        entry = np.where(self.key[place] == h, self.slot[place], -1).astype(np.int64)
+        hit = np.flatnonzero(entry >= 0)
+        held = np.ndarray((len(self.bytes) - 7,), dtype="<u8", buffer=self.bytes, strides=(1,))
+        own = entry[hit]
+        entry[hit[~equal_spans(view, a[hit], b[hit], held, self.bounds[own], self.bounds[own + 1])]] = -1
         missing = np.flatnonzero(entry < 0)
-        _, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
-        return entry, missing[first], inverse
+        if len(missing):
+            _, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            model = missing[first][inverse]
+            other = ~equal_spans(view, a[missing], b[missing], view, a[model], b[model])
+            new = np.concatenate([missing[first], missing[other]])
+            raw = data.tobytes()
+            pieces = [raw[i:j] for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)]
+            added = self._add(h[new], pieces, *encode(pieces))
+            entry[missing] = added[inverse]
+            entry[missing[other]] = added[len(first) :]
+        begin = self.offsets[entry]
+        size = self.offsets[entry + 1] - begin
+        return self.ids[ranges(begin, size)], size
+
+    hashes = staticmethod(span_hashes)
 
-    def add(self, h: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def _add(self, h: np.ndarray, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Entries of the new pieces."""
-        at = int(self.offsets[self.n])
-        while len(self.ids) < at + len(ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.offsets) < self.n + len(h) + 1:
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.ids[at : at + len(ids)] = ids
-        self.offsets[self.n + 1 : self.n + 1 + len(h)] = at + np.cumsum(lengths)
+        self.ids, self.offsets = _filled(self.ids, self.offsets, self.n, ids, lengths, 0)
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self.bytes, self.bounds = _filled(self.bytes, self.bounds, self.n, np.frombuffer(b"".join(pieces), dtype=np.uint8), size, 8)
         entry = np.arange(self.n, self.n + len(h))
         self.n += len(h)
         place = (h >> np.uint64(64 - self.SLOTS_BITS)).astype(np.int64)
         self.key[place], self.slot[place] = h, entry
         return entry
 
-    def expand(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in turn, number of each piece)."""
-        begin = self.offsets[entry]
-        size = self.offsets[entry + 1] - begin
-        return self.ids[ranges(begin, size)], size
+
+def _filled(values: np.ndarray, bounds: np.ndarray, n: int, more: np.ndarray, lengths: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of ``n`` entries with more entries behind them; both grow by doubling."""
+    at = int(bounds[n])
+    while len(values) < at + len(more) + spare:
+        values = np.concatenate([values, np.zeros_like(values)])
+    while len(bounds) < n + len(lengths) + 1:
+        bounds = np.concatenate([bounds, np.zeros_like(bounds)])
+    values[at : at + len(more)] = more
+    bounds[n + 1 : n + 1 + len(lengths)] = at + np.cumsum(lengths)
+    return values, bounds
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

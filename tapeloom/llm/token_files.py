@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import chunks
-from .pretokens import Cache, Points, piece_hashes, plain_lower, solid_pieces
+from .pretokens import Cache, Points, plain_lower, solid_pieces, utf8
 from .storage import shared_folder
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
@@ -55,16 +55,13 @@ class PieceEncoder:
             listed = texts.to_pylist()
             whole = sorted({*whole, *(d for d, t in enumerate(listed) if t and any(s in t for s in self.special))})
         starts, ends = solid_pieces(p, low)
-        h = piece_hashes(low, starts, ends)
-        entry, new, inverse = self.cache.find(h)
-        if len(new):
-            raw = low.tobytes()
-            pieces = [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            lists = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+
+        def new(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            lists = [e.ids for e in self.tokenizer.encode_batch([x.decode("utf-8") for x in pieces], add_special_tokens=False)]
             size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(size.sum()))
-            entry[entry < 0] = self.cache.add(h[new], flat, size)[inverse]
-        ids, size = self.cache.expand(entry)
+            return np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(size.sum())), size
+
+        ids, size = self.cache.encoded(*utf8(low), starts, ends, new)
         total = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
         bounds = total[np.searchsorted(starts, p.offsets)]

@@ -6,6 +6,8 @@ import pytest
 
 from tapeloom.llm import components, jaccard, queries
 
+from .test_kernels import thue_morse
+
 
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -36,7 +38,7 @@ def brute(rows):
 def made(seed=3):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
-    texts = [None, "", "  ", "one", "ONE", "one two", "a b c d e", "z" * 200000, "x y " * 20000]
+    texts = [None, "", "  ", "one", "ONE", "one two", "a b c d e", "z" * 200000, "x y " * 20000, *thue_morse(), "a b c d " + thue_morse()[0], "a b c d " + thue_morse()[1]]
     for n in (7, 12, 30, 120, 400):
         for _ in range(4):
             base = [rng.choice(words) for _ in range(n)]

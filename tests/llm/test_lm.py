@@ -8,6 +8,8 @@ import pytest
 
 from tapeloom.llm import lm, queries
 
+from .test_kernels import thue_morse
+
 
 def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
@@ -21,7 +23,7 @@ def brute(rows, train):
 
 @pytest.mark.parametrize("common", [1 << 20, 50, 0])
 def test_base_equals_brute_force(spark, sf_dir, common):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "unseen! z" + "z" * 100000), (9004, "the the THE")], "doc_id long, text string"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "unseen! z" + "z" * 100000), (9004, "the the THE"), *enumerate(thue_morse(), 9005), (9007, f"{thue_morse()[0]} x {thue_morse()[0]}")], "doc_id long, text string"))
     rows = [(r.doc_id, r.text) for r in d.collect()]
     want = brute(rows, lambda k: zlib.crc32(str(k).encode()) % 5 != 1)
     got = lm.score(d, train=~lm.held_out(d.doc_id), common=common).collect()

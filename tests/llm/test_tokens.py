@@ -10,6 +10,8 @@ from tokenizers import Tokenizer
 
 from tapeloom.llm import bpe, queries, token_files
 
+from .test_kernels import thue_morse
+
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " ", "\n", "  a  b", " a\n\n b \n", "it's they're I'll we've 's 't''s '' 'd'm a 'tis 'Re'sx", "x\t y\r\n z", "日本語 123 ½ ²", "<|endoftext|>a <|endoftext|> b<|startoftext|>", "a  x", "é'sé ’s é İ Σ ΑΣ ǅ ß ſ", "z" * 5000, " " * 3000, "🎉🎉 x🎉", "..'s 12's <| <|end", "가 ͸ \x00\x1c\x85"]
 
@@ -17,7 +19,7 @@ ODD = [None, "", " ", "\n", "  a  b", " a\n\n b \n", "it's they're I'll we've 's
 def texts():
     rng = random.Random(5)
     letters = list(" \n\t'sretvlmdaZ1.é日🎉 -<|́")
-    return ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    return ODD + [*thue_morse(), " ".join(thue_morse())] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +74,18 @@ def test_word_bpe_equals_the_library():
         at += n
 
 
+@pytest.mark.parametrize("made", [lambda v: bpe.Encoder(v), lambda v: token_files.PieceEncoder(WORD)])
+def test_pieces_of_one_hash_are_told_apart(vocabulary, made):
+    import numpy as np
+
+    e, t = made(vocabulary), Tokenizer.from_file(BYTE if made(vocabulary).__class__ is bpe.Encoder else WORD)
+    e.cache.hashes = lambda data, starts, ends: np.full(len(starts), 7, dtype=np.uint64)
+    for _ in range(3):
+        own = ["one two three one", "four two é five six one", "日本語 two three one four"]
+        ids, size = e.encode(pa.array(own, pa.large_string()))
+        assert ids.tolist() == [i for x in own for i in t.encode(x, add_special_tokens=False).ids] and size.sum() == len(ids)
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, tmp_path, encoding):
     t = Tokenizer.from_file(WORD)
