@@ -1,68 +1,103 @@
 """Benchmark decontamination: test n-grams as a broadcast hash set, texts as token windows.
 
 Items are cut into windows of thirteen words (a shorter item is one window).  Window
-hashes go to every worker; a task hashes the windows of its texts, looks them up,
-compares the words of every hit with the item's words, and marks the hit words.
+hashes go to every worker in order; a task hashes the windows of its texts, looks them
+up, compares the words of every hit with the item's words, and marks the hit words.
 
-A block of benchmark text that is broadcast never exceeds ``block_bytes``.  A larger
-benchmark is scanned block by block and the blocks' hits are merged by row, so the
-broadcast does not grow with the benchmark.
+A block of benchmark text that is broadcast never exceeds ``block_bytes``, and its index
+is a few arrays of about ten times that.  A larger benchmark is scanned block by block
+and the blocks' hits are merged by row, so the broadcast does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, Words
-from .mapping import kept_columns, map_texts
+from .kernels import ALNUM, Words, eights, equal_spans
+from .mapping import fresh, map_texts
+from .pretokens import ranges
+from .storage import written
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Pairs of a hit and an item's window whose words are compared at once.
+COMPARED = 1 << 18
 SPANS = "array<struct<lo:int,hi:int>>"
+_SPAN = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
 
 
 class Index:
-    """Windows of a block of items: per length sorted hashes, and each hash's windows with their items."""
-
-    def __init__(self, ids: Sequence[str], texts: Sequence[str | None], window: int = WINDOW):
-        w = Words(pa.array(texts, pa.large_string()), ALNUM, lower=True)
-        self.items = list(ids)
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, dict[bytes, list[int]]]]] = {}
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for length in sorted({min(window, int(n)) for n in w.counts if n}):
+    """Windows of a block of items: of each length the sorted hashes, and where each window stands in which text.
+
+    Equal texts are one text with several items, and a window that a text repeats is kept
+    once, so repeated rows and texts cost nothing.
+    """
+
+    def __init__(self, ids: Sequence[str | None], texts: Sequence[str | None], window: int = WINDOW):
+        by_text: dict[str, set[str]] = {}
+        for i, t in zip(ids, texts, strict=True):
+            own = by_text.setdefault(t or "", set())
+            if i is not None:
+                own.add(i)
+        self.items = [sorted(x) for x in by_text.values()]
+        w = Words(pa.array(list(by_text), pa.large_string()), ALNUM, lower=True)
+        self.data, self.starts, self.ends = w.data, w.starts.astype(np.int32), w.ends.astype(np.int32)
+        view = eights(self.data)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in np.unique(np.minimum(window, w.counts[w.counts > 0])).tolist():
             at, h = w.windows(length)
-            doc = np.searchsorted(w.first, at, side="right") - 1
-            own = (w.counts[doc] == length) if length < window else np.ones(len(at), dtype=bool)
-            for a, x, d in zip(at[own].tolist(), h[own].tolist(), doc[own].tolist(), strict=True):
-                found[length][x][phrase(w, a, length)].add(d)
-        for length, by_hash in found.items():
-            keys = np.sort(np.fromiter(by_hash, dtype=np.uint64, count=len(by_hash)))
-            self.by_length[length] = (keys, {x: {p: sorted(d) for p, d in v.items()} for x, v in by_hash.items()})
-        self.bits = {length: _bits(keys) for length, (keys, _) in self.by_length.items()}
-
-    def hits(self, w: Words) -> list[tuple[int, int, list[int]]]:
-        """(first word, length, items) of every occurrence of a window in the slice."""
-        out = []
-        for length, (keys, by_hash) in self.by_length.items():
+            doc = (np.searchsorted(w.first, at, side="right") - 1).astype(np.int32)
+            if length < window:
+                own = w.counts[doc] == length
+                at, h, doc = at[own], h[own], doc[own]
+            order = np.lexsort((at, doc, h))
+            at, h, doc = at[order].astype(np.int32), h[order], doc[order]
+            again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) + 1
+            again = again[equal_words(view, self.starts, self.ends, at[again], view, self.starts, self.ends, at[again - 1], length)]
+            keep = np.ones(len(h), dtype=bool)
+            keep[again] = False
+            self.by_length[length] = (h[keep], at[keep], doc[keep], _bits(h))
+
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, length, text of the index) of every occurrence of a window in the slice."""
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        views = None
+        for length, (keys, places, docs, bits) in self.by_length.items():
             at, h = w.windows(length)
-            maybe = np.flatnonzero(self.bits[length][(h >> np.uint64(44)).astype(np.int64)])
-            if not len(maybe):
-                continue
+            maybe = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
             at, h = at[maybe], h[maybe]
-            place = np.searchsorted(keys, h)
-            good = keys[np.minimum(place, len(keys) - 1)] == h
-            for a, x in zip(at[good].tolist(), h[good].tolist(), strict=True):
-                if (items := by_hash[x].get(phrase(w, a, length))) is not None:
-                    out.append((a, length, items))
-        return out
+            low = np.searchsorted(keys, h)
+            many = np.searchsorted(keys, h, side="right") - low
+            at, low, many = at[many > 0], low[many > 0], many[many > 0]
+            if not len(at):
+                continue
+            views = views or (eights(w.data), eights(self.data))
+            stop = np.cumsum(many)
+            k = 0
+            while k < len(at):
+                to = max(k + 1, int(np.searchsorted(stop, (stop[k - 1] if k else 0) + COMPARED, side="right")))
+                here, there = np.repeat(at[k:to], many[k:to]), ranges(low[k:to], many[k:to])
+                good = equal_words(views[0], w.starts, w.ends, here, views[1], self.starts, self.ends, places[there], length)
+                found.append(np.stack([here[good], np.full(int(good.sum()), length), docs[there[good]]]))
+                k = to
+        return tuple(np.concatenate(found, axis=1))
+
+
+def equal_words(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, x: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` words from ``x`` on equal those from ``y`` on; words as spans of views of bytes."""
+    same = np.ones(len(x), dtype=bool)
+    for k in range(length):
+        left = np.flatnonzero(same)
+        i, j = x[left] + k, y[left] + k
+        same[left] = equal_spans(a, a0[i], a1[i], b, b0[j], b1[j])
+    return same
 
 
 def _bits(keys: np.ndarray) -> np.ndarray:
@@ -72,36 +107,38 @@ def _bits(keys: np.ndarray) -> np.ndarray:
     return table
 
 
-def phrase(w: Words, at: int, length: int) -> bytes:
-    return b" ".join(w.data[a:b].tobytes() for a, b in zip(w.starts[at : at + length], w.ends[at : at + length], strict=True))
-
-
-def _scan(part: pa.RecordBatch, texts: pa.Array, index: Index) -> dict[str, pa.Array]:
+def _scan(texts: pa.Array, index: Index) -> dict[str, pa.Array]:
     w = Words(texts, ALNUM, lower=True)
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[str]] = defaultdict(set)
-    hits = index.hits(w)
-    docs = np.searchsorted(w.first, np.fromiter((a for a, _, _ in hits), dtype=np.int64, count=len(hits)), side="right") - 1
-    for d, (a, length, found) in sorted(zip(docs.tolist(), hits, strict=True), key=lambda x: x[1][0]):
-        lo, hi = a - int(w.first[d]), a - int(w.first[d]) + length
-        own = spans[d]
-        if own and lo <= own[-1][1]:
-            own[-1] = (own[-1][0], max(hi, own[-1][1]))
-        else:
-            own.append((lo, hi))
-        items[d].update(index.items[i] for i in found)
     n = len(w.counts)
-    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    at, length, item = index.hits(w)
+    edges = np.zeros(len(w.starts) + 1, dtype=np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + length, -1)
+    hit = np.cumsum(edges[:-1]) > 0
+    # Spans are runs of hit words inside one text.
+    first = np.zeros(len(hit) + 1, dtype=bool)
+    first[w.first] = True
+    begins, stops = hit.copy(), hit.copy()
+    begins[1:] &= ~hit[:-1] | first[1:-1]
+    stops[:-1] &= ~hit[1:] | first[1:-1]
+    lo, hi = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    doc = np.searchsorted(w.first, lo, side="right") - 1
+    bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+    spans = pa.StructArray.from_arrays([pa.array((lo - w.first[doc]).astype(np.int32)), pa.array((hi - w.first[doc]).astype(np.int32))], fields=list(_SPAN))
+    items: list[list[str]] = [[] for _ in range(n)]
+    met = np.unique(np.stack([np.searchsorted(w.first, at, side="right") - 1, item]), axis=1)
+    for d, i in zip(*met.tolist(), strict=True):
+        items[d] += index.items[i]
     return {
         "n_words": pa.array(w.counts.astype(np.int64)),
-        "hit_spans": pa.array([[{"lo": a, "hi": b} for a, b in spans.get(d, ())] for d in range(n)], kind),
-        "hit_items": pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+        "hit_spans": pa.ListArray.from_arrays(bounds, spans),
+        "hit_items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
     }
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark as parts of at most about ``block_bytes`` of text each (a longer item is a part of its own)."""
-    b = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+    """The benchmark's different rows as parts of at most about ``block_bytes`` of text each (a longer item is a part of its own)."""
+    b = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("text <> ''").distinct()
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-2 * size // block_bytes) if size > block_bytes else 1
     return [b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else b for k in range(n)]
@@ -122,47 +159,74 @@ def find_contamination(
     Texts are lower-cased (A-Z); words are runs of digits, a-z and non-ASCII characters.
     A text is contaminated if it has hits on at least a twentieth of its words.  Null or
     empty texts have no words and no hits; a null or wordless item has no windows.  Items
-    with equal texts are all reported.  ``keep`` names the columns that pass through (all
-    by default); those named like a result are replaced.  Repeated rows stay repeated.
+    with equal texts are all reported, repeated items once; the words of an item without
+    an id are marked, but there is no id to report.  ``keep`` names the columns that pass
+    through (all by default); those named like a result are replaced.  Repeated rows stay
+    repeated; an empty table gives an empty result.
     """
     fields = f"n_words long, hit_spans {SPANS}, hit_items array<string>"
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_hit", "contaminated")]
     parts = blocks_of(benchmark, item, item_text, block_bytes)
-    out = None
-    if len(parts) > 1:
-        docs = docs.withColumn("__row", F.monotonically_increasing_id())
-        keep = None if keep is None else [*keep, "__row"]
-    for part in parts:
-        rows = part.collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Index([r.item for r in rows], [r.text for r in rows], window))
-        if out is None:
-            out = map_texts(docs, text, lambda p, t, s=shared: _scan(p, t, s.value), fields, keep)
-        else:
-            more = map_texts(docs, text, lambda p, t, s=shared: _scan(p, t, s.value), fields, ["__row"])
-            more = more.where(F.size("hit_items") > 0).select("__row", F.col("hit_spans").alias("__spans"), F.col("hit_items").alias("__items"))
-            out = out.join(more, "__row", "left").withColumns(
-                {
-                    "hit_spans": F.concat("hit_spans", F.coalesce("__spans", F.array().cast(SPANS))),
-                    "hit_items": F.array_sort(F.array_union("hit_items", F.coalesce("__items", F.array().cast("array<string>")))),
-                }
-            ).drop("__spans", "__items")
-    if len(parts) > 1:
-        out = out.drop("__row").withColumn("hit_spans", merged("hit_spans"))
+    if len(parts) == 1:
+        return _judged(_scanned(docs, text, parts[0], fields, keep, window))
+    # Several blocks: rows are numbered and written once, so a number means one row however often it is read.
+    row = fresh(docs, "row")
+    rows = written(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    out = _scanned(rows, text, parts[0], fields, [*keep, row], window)
+    more = None
+    for part in parts[1:]:
+        found = _scanned(rows, text, part, fields, [row], window).where(F.size("hit_spans") > 0).select(row, "hit_spans", "hit_items")
+        more = found if more is None else more.unionByName(found)
+    spans, items = fresh(out, "spans"), fresh(out, "items")
+    more = more.groupBy(row).agg(F.flatten(F.collect_list("hit_spans")).alias(spans), F.flatten(F.collect_list("hit_items")).alias(items))
+    out = out.join(more, row, "left").withColumns(
+        {
+            "hit_spans": F.concat("hit_spans", F.coalesce(spans, F.array().cast(SPANS))),
+            "hit_items": F.array_sort(F.array_union("hit_items", F.coalesce(items, F.array().cast("array<string>")))),
+        }
+    )
+    return _judged(_merged(out.drop(spans, items, row)))
+
+
+def _scanned(docs: DataFrame, text: str, part: DataFrame, fields: str, keep: Sequence[str] | None, window: int) -> DataFrame:
+    rows = part.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(Index(rows.column("item").to_pylist(), rows.column("text").to_pylist(), window))
+    return map_texts(docs, text, lambda _, t: _scan(t, shared.value), fields, keep)
+
+
+def _judged(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + (x["hi"] - x["lo"]))
-    out = out.withColumn("n_hit", n_hit)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def merged(spans: str) -> F.Column:
-    """Union of word ranges."""
-    empty = F.array().cast(SPANS)
-
-    def add(done, x):
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (x["lo"] <= last["hi"])
-        grown = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+    found = found.withColumn("n_hit", n_hit)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """Unites each row's word ranges."""
+    at = found.columns.index("hit_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            flat = column.flatten()
+            lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            n = column.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((lo, row))
+            lo, hi, row = lo[order], hi[order], row[order]
+            # The farthest end so far in the row; rows are far apart on one common line.
+            line = row << 32
+            far = np.maximum.accumulate(hi + line) if len(hi) else hi
+            new = np.ones(len(lo), dtype=bool)
+            new[1:] = (lo + line)[1:] > far[:-1]
+            begin = np.flatnonzero(new)
+            last = np.append(begin[1:], len(lo))[: len(begin)] - 1
+            bounds = np.searchsorted(row[begin], np.arange(len(n) + 1)).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(lo[begin].astype(np.int32)), pa.array((far[last] - line[last]).astype(np.int32))], fields=list(_SPAN))
+            columns = list(batch.columns)
+            columns[at] = pa.ListArray.from_arrays(pa.array(bounds), spans)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return found.mapInArrow(run, found.schema)
 
 
 def remove_spans(hits: DataFrame, text: str = "text") -> DataFrame:
@@ -197,4 +261,4 @@ def items_digest_py(items: Sequence[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-__all__ = ["find_contamination", "items_digest", "kept_columns", "remove_spans"]
+__all__ = ["find_contamination", "items_digest", "remove_spans"]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import decontamination, quality, queries, toxicity
 
+from .test_kernels import thue_morse
+
 ODD = [None, "", " ", "\n\n", "word", "a b c d e f g h " * 5, "x\nx\nx\ny\n \n \nx", "é ü # * $", "Thwh " * 50, "STOP!! " * 40, "z" * 300_000, "a b c d e f g h i " * 9000]
 
 
@@ -52,6 +54,20 @@ def test_quality_verdict_keeps_clean_and_any_order_agrees(spark):
     assert quality.ordered({"symbols": (1.0, 1), "shouting": (0.1, 1)}, quality.RULES[:2])[0].name == "shouting"
 
 
+def test_texts_that_cancel_out_in_a_polynomial_hash_are_told_apart(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{a}\n{b}\n{rest}", f"{a}\n{a}\n{rest}", " ".join([a, *"bcdefgh", b, *"bcdefgh"])]
+    for r in quality.quality(docs(spark, texts), keep=["doc_id"]).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id]), r.doc_id
+
+
+def test_columns_that_clash_in_another_case_or_with_inner_names(spark):
+    d = spark.createDataFrame([(1, "a b", 7, True)], "doc_id long, text string, __text int, Kept boolean")
+    r = quality.quality(d).where("not kept").first()
+    assert (r["__text"], r.n_words) == (7, 2) and quality.quality(d).columns.count("Kept") == 0
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.quality(docs(spark, []), keep=["doc_id"]).count() == 0
 
@@ -69,7 +85,7 @@ def brute(text, items):
         wins = {tuple(x[i : i + n]) for i in range(len(x) - n + 1)} if n else set()
         at = [i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in wins] if n else []
         if at:
-            found.append(str(item))
+            found += [str(item)] if item is not None and str(item) not in found else []
             hit.update(j for i in at for j in range(i, i + n))
     digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     return len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)
@@ -78,10 +94,10 @@ def brute(text, items):
 @pytest.mark.parametrize("block", [1 << 24, 2000])
 def test_decontamination_equals_brute_force(spark, sf_dir, block):
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(
-        spark.createDataFrame([(900, "Short one"), (901, None), (902, "..."), (903, "short ONE"), (904, "ünï")], "item_id long, text string")
+        spark.createDataFrame([(900, "Short one"), (901, None), (902, "..."), (903, "short ONE"), (904, "ünï"), (None, "only without id"), (900, "Short one"), (900, "other text"), *[(905, "z z y z z y " * 20)] * 30], "item_id long, text string")
     )
     items = [(r.item_id, r.text) for r in b.collect()]
-    own = docs(spark, [*ODD, "a short, one! short one", "x ünï " * 30, (items[0][1] or "") + " tail"])
+    own = docs(spark, [*ODD, "a short, one! short one", "x ünï " * 30, (items[0][1] or "") + " tail", "now only without id it is other text", "z z y " * 40])
     for d in (own, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         texts = {r.doc_id: r.text for r in d.collect()}
         got = decontamination.find_contamination(d, b, keep=["doc_id"], block_bytes=block)
@@ -96,6 +112,27 @@ def test_spans_are_cut_and_nulls_stay(spark):
     assert got == {0: "zero . three", 1: None, 2: "", 3: ""}
 
 
+@pytest.mark.parametrize("block", [1 << 24, 40])
+def test_decontamination_keeps_rows_and_columns(spark, block):
+    b = spark.createDataFrame([(i, f"one two {i}") for i in range(9)], "item_id long, text string")
+    rows = [(None, "one two 3", 1, 2), (4, "One two 4 and one two 5", 1, 2), (4, "One two 4 and one two 5", 1, 2), (5, None, 1, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, N_Hit int, __row int").repartition(3)
+    got = decontamination.find_contamination(d, b, block_bytes=block)
+    assert got.columns == ["doc_id", "text", "__row", "n_words", "hit_spans", "hit_items", "n_hit", "contaminated"]
+    assert sorted(((r.doc_id, r.n_hit, r.hit_items, len(r.hit_spans)) for r in got.collect()), key=str) == sorted([(None, 3, ["3"], 1), (4, 6, ["4", "5"], 2), (4, 6, ["4", "5"], 2), (5, 0, [], 0)], key=str)
+    assert decontamination.find_contamination(d.limit(0), b, block_bytes=block).count() == 0
+
+
+def test_an_index_stays_small():
+    import tracemalloc
+
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 50000}" for k in range(120)) for i in range(12_000)]
+    tracemalloc.start()
+    decontamination.Index(list(map(str, range(len(texts)))), texts)
+    assert sum(map(len, texts)) > 8e6 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_empty_benchmark_finds_nothing(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_contamination(docs(spark, ODD), b).where("contaminated").count() == 0
