@@ -9,10 +9,11 @@ Texts of one shingle set are one class; all further work is on classes.
    by three quarters share a prefix element.
 3. Likely links come from equal minimum hashes and are verified; their components are
    found.
-4. Tiles of prefix elements bring together all other pairs: in a tile, in order of size,
-   only pairs within the size band of 3/4, of different components, and with the element
-   early enough in both prefixes are taken, so the many pairs inside a group of copies
-   never appear, while no link is lost.
+4. Tiles of a size band and prefix elements bring together all other pairs: in a tile, in
+   order of size, only pairs within 3/4 of each other's size, of different components,
+   and with the element early enough in both prefixes are taken, so the many pairs inside
+   a group of copies never appear, while no link is lost.  An element of very many texts
+   is cut into parts, and every two parts meet in a tile of their own.
 5. Every candidate is checked in two steps: bits in which the two bitmaps differ bound
    the overlap from above; what is left gets an exact intersection of sorted arrays.
 
@@ -26,11 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .kernels import NON_SPACE, Words, chunks, mix
+from .components import components, spread_join
+from .kernels import NON_SPACE, Words, buffer_of, chunks, joined, mix
 from .pretokens import ranges
 from .storage import written
 
@@ -44,6 +46,12 @@ MIN_HASHES = 8
 TILE, STAR = 1_000_000, 64
 #: Pairs of two components that a tile gives at first.
 FEW = 4
+#: Bytes of text whose shingles one counting group holds, about.
+GROUP_BYTES = 16 << 20
+#: The logarithm of the texts of a prefix element from which it is cut into parts of about half as many.
+LONG_LEVEL = 12
+#: Width of a size band of tiles, as the logarithm of the size; a set near the end of one is in the next one too.
+BAND = 4 * float(np.log(4 / 3))
 _ODD = [np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for i in range(1, MIN_HASHES + 1)]
 
 
@@ -168,7 +176,7 @@ def shingle_order(docs: DataFrame, text: str, groups: int, most_common: int = MO
         levels = np.floor(np.log2(times[some])).astype(np.uint8)
         return pa.table({"codes": pa.array([(keys[first[some]].astype(np.uint64) | g).tobytes()], pa.binary()), "levels": pa.array([levels.tobytes()], pa.binary()), "sizes": pa.array([np.bincount(levels, minlength=64).tolist()], pa.list_(pa.int64()))})
 
-    sent = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(send, "g int, n int, keys binary")
+    sent = dealt(docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(send, "g int, n int, keys binary"), "g", groups)
     counted = written(sent.groupBy("g").applyInArrow(count, "codes binary, levels binary, sizes array<bigint>"))
     sizes = np.sum([np.zeros(64, dtype=np.int64), *(r.sizes for r in counted.select("sizes").collect())], axis=0)
     above = np.cumsum(sizes[::-1])[::-1]
@@ -186,6 +194,11 @@ def shingle_order(docs: DataFrame, text: str, groups: int, most_common: int = MO
     return Order(np.frombuffer(b"".join(r.codes for r in rows), dtype=np.uint64), np.frombuffer(b"".join(r.levels for r in rows), dtype=np.uint8), groups)
 
 
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """Rows by their group, in as many partitions as groups where these are more than the session's."""
+    return df.repartition(groups, key) if groups > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _sent(codes: np.ndarray) -> pa.RecordBatch:
     codes = np.sort(codes)
     g = (codes >> np.uint64(32)).astype(np.int32)
@@ -226,9 +239,8 @@ def _text_key(t: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
 
 
-def features(docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
+def features(docs: DataFrame, key: str, text: str, shared: Broadcast[Order]) -> DataFrame:
     """Per row key, class and size; per class and task also text key, minimum hashes, bitmap and prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
 
@@ -242,8 +254,6 @@ def features(docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
 
 
 def _features(part: pa.RecordBatch, order: Order, seen: set[int]) -> pa.RecordBatch:
-    from .kernels import buffer_of
-
     h, first = shingle_sets(part.column(1))
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
@@ -294,11 +304,11 @@ def likely_pairs(classes: DataFrame) -> DataFrame:
 def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds the components of both classes as ``ra`` and ``rb``."""
     for c in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+        pairs = spread_join(pairs, roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     return pairs
 
 
-def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, most: int | None = None) -> DataFrame:
+def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, order: Broadcast[Order], most: int | None = None) -> DataFrame:
     """(a, b, more): pairs of classes of different components that share a prefix element and are in one size band.
 
     With ``most``, a tile gives no more pairs than that of any two components; ``more``
@@ -308,14 +318,39 @@ def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, most: int | Non
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _deal(batch, tiles)
+            yield from _deal(batch, tiles, order.value)
 
-    packed = known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary")
+    packed = dealt(known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary"), "tile", tiles)
     found = packed.groupBy("tile").applyInArrow(lambda t: _tile(t, most), "a bigint, b bigint, more boolean")
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def _deal(part: pa.RecordBatch, tiles: int) -> Iterator[pa.RecordBatch]:
+def band_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / BAND).astype(np.int64)
+
+
+def lists_of(element: np.ndarray, level: np.ndarray, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, list) of all lists that the entries stand in.
+
+    A list is a size band of an element, or of two parts of a long one: any two entries of
+    one element whose sizes are within 3/4 of each other share a list.
+    """
+    # The greatest set that a set of n can link with has 4n/3 elements: at most one band further.
+    entry = np.arange(len(element))
+    further = np.flatnonzero(band_of(np.maximum(4 * n // 3, 1)) > band_of(np.maximum(n, 1)))
+    entry, band = np.concatenate([entry, further]), np.concatenate([band_of(np.maximum(n, 1)), band_of(np.maximum(n[further], 1)) + 1])
+    name = joined(element[entry], band.astype(np.uint64))
+    parts = np.left_shift(1, np.maximum(level[entry].astype(np.int64) - LONG_LEVEL + 1, 0))
+    whole = parts == 1
+    long = np.flatnonzero(~whole)
+    own = (mix(c[entry[long]].astype(np.int64).view(np.uint64)) % parts[long].astype(np.uint64)).astype(np.int64)
+    other = ranges(np.zeros(len(long), dtype=np.int64), parts[long])
+    own, long = np.repeat(own, parts[long]), np.repeat(long, parts[long])
+    two = np.minimum(own, other) << 32 | np.maximum(own, other)
+    return np.concatenate([entry[whole], entry[long]]), np.concatenate([name[whole], joined(name[long], two.astype(np.uint64))])
+
+
+def _deal(part: pa.RecordBatch, tiles: int, order: Order) -> Iterator[pa.RecordBatch]:
     """Prefix elements of a batch packed by tile: few large rows instead of many small ones."""
     c, root, n = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
     prefixes = part.column(3).to_pylist()
@@ -323,9 +358,10 @@ def _deal(part: pa.RecordBatch, tiles: int) -> Iterator[pa.RecordBatch]:
     element = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
     own = np.repeat(np.arange(len(c), dtype=np.int32), size)
     place = (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    entry, element = lists_of(element, order.level(element), n.astype(np.int64)[own], c[own])
     tile = (element % np.uint64(tiles)).astype(np.int32)
-    order = np.argsort(tile, kind="stable")
-    tile, element, own, place = tile[order], element[order], own[order], place[order]
+    at = np.argsort(tile, kind="stable")
+    tile, element, own, place = tile[at], element[at], own[entry[at]], place[entry[at]]
     edges = np.flatnonzero(np.diff(tile, prepend=-1))
     rows: dict[str, list] = {k: [] for k in ("tile", "elements", "own", "place", "class", "root", "n")}
     for a, b in zip(edges.tolist(), np.append(edges[1:], len(tile)).tolist(), strict=True):
@@ -429,7 +465,8 @@ def _distinct(found: list[np.ndarray], most: int | None) -> np.ndarray:
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow an overlap of 3/4."""
     one = classes.select("class", "n", "bitmap").dropDuplicates(["class"])
-    met = pairs.join(one.select(F.col("class").alias("a"), F.col("n").alias("n"), F.col("bitmap").alias("x")), "a").join(one.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
+    met = spread_join(pairs.select("a", "b"), one.select(F.col("class").alias("a"), F.col("n").alias("n"), F.col("bitmap").alias("x")), "a")
+    met = spread_join(met, one.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
     met = met.where("4 * n >= 3 * m and 4 * m >= 3 * n").select("a", "b", "n", "m", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,8 +503,6 @@ def sets_of(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
     source = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernels import buffer_of
-
         bits, seen = shared.value, set()
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -536,15 +571,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     takes part with its text, but names a component only where no other key does (as
     null).  Rows with one key and different texts are rows of their own.
     """
-    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = written(features(docs, key, text, shingle_order(docs, text, groups)))
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // GROUP_BYTES + 1)
+    order = spark.sparkContext.broadcast(shingle_order(docs, text, groups))
+    table = written(features(docs, key, text, order))
     classes = table.where("prefix is not null").select("class", "n", "text_key", "mins", "bitmap", "prefix")
-    size = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    tiles = max(groups, int(size // TILE) + 1)
+    elements = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    tiles = max(groups, int(elements // TILE) + 1)
 
-    roots = components(verified(written(possible(likely_pairs(classes), classes)), docs, text, classes))
+    likely = written(likely_pairs(classes))
+    roots = components(verified(written(possible(likely, classes)), docs, text, classes))
     for most in (FEW, None):
-        pairs = written(tile_pairs(classes, roots, tiles, most))
+        pairs = written(tile_pairs(classes, roots, tiles, order, most))
         rest = written(possible(pairs, classes))
         if not rest.isEmpty():
             more = verified(rest, docs, text, classes)
@@ -556,6 +595,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = table.select("key", "class", F.col("n").cast("long").alias("n_shingles"))
     of_class = rows.where("class is not null").groupBy("class").agg(F.min("key").alias("least")).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.select("class", "root").join(least, "root").select("class", "component_id")
-    out = rows.join(named, "class", "left")
-    return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    named = spread_join(of_class.select("class", "root"), least, "root").select("class", "component_id")
+    alone = rows.where("class is null").select("key", "n_shingles", F.col("key").alias("component_id"))
+    out = spread_join(rows.where("class is not null"), named, "class").select("key", "n_shingles", "component_id").unionByName(alone)
+    return out.select(F.col("key").alias(key), "n_shingles", "component_id")
