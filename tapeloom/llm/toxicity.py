@@ -249,126 +249,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(sample.column("__text").combine_chunks(), sample.column("__y").to_numpy())
 
 
-def score(self, w: Words) -> np.ndarray:
-        """Chance of label 1 for each text of a slice; a text without words gets the bias's chance."""
-        edges, first, size = segments(w.counts)
-        run = np.zeros(len(w.starts) + 1)
-        if len(w.starts):
-            np.cumsum(word_scores(w, self.weight), out=run[1:])
-        z = self.bias + (run[edges[1:]] - run[edges[:-1]]) / np.maximum(size, 1)
-        total = np.zeros(len(z) + 1)
-        np.cumsum(np.logaddexp(0, z), out=total[1:])
-        rate = total[first[1:]] - total[first[:-1]]
-        rate = np.where(w.counts == 0, np.logaddexp(0, self.bias), rate)
-        return -np.expm1(-np.maximum(rate, 0))
-
-
-def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, dim: int = DIM, decay: float = DECAY, rates: tuple[float, float, float] = RATES, min_docs: int = MIN_DOCS, init: float = 0.1) -> Model:
-    """Jointly fits subword vectors and softmax; without rows of both labels the rate of label 1 is all it learns."""
-    y = np.asarray(labels, dtype=np.float64)
-    rate = (y.sum() + 1) / (len(y) + 2)
-    prior = float(np.log(rate / (1 - rate)))
-    buckets = 1 << BUCKET_BITS
-    if not 0 < y.sum() < len(y):
-        return Model(np.zeros(buckets, dtype=np.float32), prior)
-    parts = list(chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"))
-    # Texts are cut slice by slice; what stays of them is a number a word.
-    found = [(w.hashes, w.counts) for w in (Words(p.column(0), ALNUM, lower=True) for p in parts)]
-    counts = np.concatenate([c for _, c in found])
-    _, one, word = np.unique(np.concatenate([h for h, _ in found]), return_index=True, return_inverse=True)
-    word, distinct = word.astype(np.int32), len(one)
-    texts_of_word, at = np.zeros(distinct), 0
-    for h, c in found:
-        pairs = np.unique(word[at : at + len(h)].astype(np.int64) * len(c) + np.repeat(np.arange(len(c)), c))
-        texts_of_word += np.bincount(pairs // len(c), minlength=distinct)
-        at += len(h)
-    # Subwords are kept, and later worked on, for some words at a time.
-    blocks, texts_of, at = [], np.zeros(buckets), 0
-    for p, (h, _) in zip(parts, found, strict=True):
-        w, own = Words(p.column(0), ALNUM, lower=True), np.flatnonzero((one >= at) & (one < at + len(h)))
-        for k in range(0, len(own), WORDS):
-            some = own[k : k + WORDS]
-            sub, sub0 = subwords(w, one[some] - at)
-            texts_of += np.bincount(sub, np.repeat(texts_of_word[some], np.diff(sub0)), buckets)
-            blocks.append((sub, sub0[:-1], np.diff(sub0), some))
-        at += len(h)
-    del found, parts, texts
-    used = np.flatnonzero(texts_of >= min_docs)
-    place = np.zeros(buckets, dtype=np.int32)  # 0: without a vector
-    place[used] = np.arange(1, len(used) + 1)
-    blocks = [(place[sub], first_sub, n, some) for sub, first_sub, n, some in blocks]
-    known = np.ones((len(used) + 1, 1), dtype=np.float32)
-    known[0] = 0
-    edges, first, size = segments(counts)
-    texts_with_words = np.flatnonzero(np.diff(first))
-    rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, init, known.shape[:1] + (dim,)).astype(np.float32) * known
-    soft = rng.normal(0, 1, (dim, 2)).astype(np.float32)
-    bias = np.array([0.0, prior - np.log(max(1.0, len(size) / len(y)))], dtype=np.float32)
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
-    by_word, bag = np.zeros((distinct, dim), dtype=np.float32), np.zeros((len(size), dim))
-    for step in range(1, epochs + 1):
-        lr_now = 1 - (step - 1) / epochs
-        for sub, first_sub, n, some in blocks:
-            for k in range(dim):
-                by_word[some, k] = np.add.reduceat(vectors[sub, k], first_sub) / n
-        for k in range(0, len(size), STEP):
-            begin = edges[k : k + STEP + 1]
-            bag[k : k + STEP] = np.add.reduceat(by_word[word[begin[0] : begin[-1]]], begin[:-1] - begin[0], axis=0) / size[k : k + STEP, None]
-        margin = soft[:, 1] - soft[:, 0]
-        z = bag @ margin + (bias[1] - bias[0])
-        total = np.zeros(len(y))
-        total[texts_with_words] = np.add.reduceat(np.logaddexp(0, z), first[texts_with_words])
-        pull = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
-        g = np.repeat(pull / len(y), np.diff(first)) / (1 + np.exp(-z))
-        d_soft = bag.T @ g
-        d_word = np.zeros(distinct)
-        for k in range(0, len(size), STEP):
-            own = size[k : k + STEP]
-            d_word += np.bincount(word[edges[k] : edges[min(k + STEP, len(size))]], np.repeat(g[k : k + STEP] / own, own), distinct)
-        d_sub = np.zeros(len(known))
-        for sub, _, n, some in blocks:
-            d_sub += np.bincount(sub, np.repeat(d_word[some] / n, n), len(known))
-        d_vec = d_sub[:, None] * margin[None, :]
-        d_vec += decay * vectors
-        d_vec *= known
-        grads = (d_vec, np.stack([-d_soft, d_soft], axis=1), np.array([-g.sum(), g.sum()]))
-        for param, grad, (m, v), lr in zip((vectors, soft, bias), grads, moments, rates, strict=True):
-            m *= 0.9
-            m += 0.1 * grad
-            v *= 0.99
-            v += 0.01 * np.square(grad)
-            param -= lr * lr_now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weight = np.zeros(buckets, dtype=np.float32)
-    weight[used] = vectors[1:] @ (soft[:, 1] - soft[:, 0])
-    return Model(weight, float(bias[1] - bias[0]))
-
-
-def held_out(doc_id: F.Column) -> F.Column:
-    """Rows that no label is learnt from."""
-    return F.crc32(doc_id.cast("string")) % 4 == 2
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: tuple[int, int] = MAX_ROWS) -> Model:
-    """Trains on at most ``max_rows`` labelled rows of labels 0 and 1, those of least key hash.
-
-    Rows that are held out, without label or text, or with a text of over
-    ``MAX_TRAIN_BYTES`` are not learnt from; of rows with one key, each counts.
-    """
-    known = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y"))
-    texts = docs.where(F.octet_length(F.col(text)).between(1, MAX_TRAIN_BYTES) & ~held_out(F.col(key)))
-    # Keys and labels only are ranked; a few times as many are asked for as are used, since long texts fall out.
-    ids = None
-    for y in (0, 1):
-        part = known.where(F.col("__y") == y).dropDuplicates().orderBy(F.xxhash64("__key"), "__key").limit(max_rows[y] * 3 // 2)
-        ids = part if ids is None else ids.unionByName(part)
-    found = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(ids), "__key").toArrow()
-    found = found.sort_by([("__key", "ascending"), ("__text", "ascending")])
-    y = found.column("__y").to_numpy()
-    take = np.sort(np.concatenate([np.flatnonzero(y == v)[: max_rows[v]] for v in (0, 1)]))
-    return train(found.column("__text").combine_chunks().take(pa.array(take)) if len(take) else pa.array([], pa.string()), y[take])
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``score`` and ``predicted`` (1 from ``threshold`` on) to each row.
 
