@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components, spread_join
 from .kernels import NON_SPACE, Words, buffer_of, chunks, joined, mix
+from .mapping import dealt, group_count
 from .pretokens import ranges
 from .storage import written
 
@@ -176,7 +177,7 @@ def shingle_order(docs: DataFrame, text: str, groups: int, most_common: int = MO
         levels = np.floor(np.log2(times[some])).astype(np.uint8)
         return pa.table({"codes": pa.array([(keys[first[some]].astype(np.uint64) | g).tobytes()], pa.binary()), "levels": pa.array([levels.tobytes()], pa.binary()), "sizes": pa.array([np.bincount(levels, minlength=64).tolist()], pa.list_(pa.int64()))})
 
-    sent = dealt(docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(send, "g int, n int, keys binary"), "g", groups)
+    sent = dealt(docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(send, "g int, n int, keys binary"), groups, "g")
     counted = written(sent.groupBy("g").applyInArrow(count, "codes binary, levels binary, sizes array<bigint>"))
     sizes = np.sum([np.zeros(64, dtype=np.int64), *(r.sizes for r in counted.select("sizes").collect())], axis=0)
     above = np.cumsum(sizes[::-1])[::-1]
@@ -194,11 +195,6 @@ def shingle_order(docs: DataFrame, text: str, groups: int, most_common: int = MO
     return Order(np.frombuffer(b"".join(r.codes for r in rows), dtype=np.uint64), np.frombuffer(b"".join(r.levels for r in rows), dtype=np.uint8), groups)
 
 
-def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
-    """Rows by their group, in as many partitions as groups where these are more than the session's."""
-    return df.repartition(groups, key) if groups > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
-
-
 def _sent(codes: np.ndarray) -> pa.RecordBatch:
     codes = np.sort(codes)
     g = (codes >> np.uint64(32)).astype(np.int32)
@@ -320,7 +316,7 @@ def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, order: Broadcas
         for batch in batches:
             yield from _deal(batch, tiles, order.value)
 
-    packed = dealt(known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary"), "tile", tiles)
+    packed = dealt(known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary"), tiles, "tile")
     found = packed.groupBy("tile").applyInArrow(lambda t: _tile(t, most), "a bigint, b bigint, more boolean")
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -572,8 +568,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     null).  Rows with one key and different texts are rows of their own.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // GROUP_BYTES + 1)
+    groups = group_count(docs, text, GROUP_BYTES)
     order = spark.sparkContext.broadcast(shingle_order(docs, text, groups))
     table = written(features(docs, key, text, order))
     classes = table.where("prefix is not null").select("class", "n", "text_key", "mins", "bitmap", "prefix")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import NON_SPACE, Words, chunks, joined, mix
+from .mapping import dealt, group_count
 from .storage import written
 
 START, END = np.uint64(0x51AB7E0C3D9F2468), np.uint64(0xE4D1B60F8C2A9735)
@@ -38,6 +39,8 @@ MU = 50.0
 LEVELS = 40
 #: Tokens whose counts a task holds before it sends them.
 HELD = 2_000_000
+#: Bytes of text whose n-grams one group holds, about.
+GROUP_BYTES = 16 << 20
 #: Keys that a group looks up at once.
 ASKED = 1_000_000
 
@@ -189,7 +192,7 @@ def ngram_counts(docs: DataFrame, text: str, groups: int) -> DataFrame:
         )
 
     sent = source.mapInArrow(count, "order int, g int, keys binary, counts binary")
-    return sent.groupBy("order", "g").applyInArrow(build, "order int, g int, keys binary, counts binary, bits binary, least int, total bigint, levels array<bigint>")
+    return dealt(sent, groups, "order", "g").groupBy("order", "g").applyInArrow(build, "order int, g int, keys binary, counts binary, bits binary, least int, total bigint, levels array<bigint>")
 
 
 def _sent(words: list[np.ndarray], pairs: list[np.ndarray], groups: int) -> Iterator[pa.RecordBatch]:
@@ -350,7 +353,7 @@ def group_scores(made: DataFrame, counts: DataFrame, m: Model, mu: float) -> Dat
 
     slices = counts.select("order", "g", "bits", "least")
     asked = made.where("order > 0").select("order", "g", "block", "hashes")
-    levels = slices.groupBy("order", "g").cogroup(asked.groupBy("order", "g")).applyInArrow(probe, "block bigint, order int, g int, levels binary")
+    levels = slices.groupBy("order", "g").cogroup(dealt(asked, groups, "order", "g").groupBy("order", "g")).applyInArrow(probe, "block bigint, order int, g int, levels binary")
     blocks = made.where("row is not null").select("block", "row", "text")
     return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(finish, "row bigint, score double")
 
@@ -366,7 +369,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: F.Col
     and are each scored; without training rows every token's base is 0.
     """
     spark = docs.sparkSession
-    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups or group_count(docs, text, GROUP_BYTES)
     counts = written(ngram_counts(docs if train is None else docs.where(train), text, groups))
     model = load_model(counts, groups, common, max_filter_bytes)
     shared = spark.sparkContext.broadcast(model)
@@ -408,7 +411,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: F.Col
 
     words = counts.where("order = 1").select("g", "keys", "counts")
     rare = made.where("rows is not null").select("g", "hashes", "rows")
-    back = words.groupBy("g").cogroup(rare.groupBy("g")).applyInArrow(sums, "row bigint, more double, more_known bigint")
+    back = words.groupBy("g").cogroup(dealt(rare, groups, "g").groupBy("g")).applyInArrow(sums, "row bigint, more double, more_known bigint")
     back = back.groupBy("row").agg(F.sum("more").alias("more"), F.sum("more_known").alias("more_known"))
     out = made.where("row is not null").select("row", "key", "n_tokens", "known", "base", "score").join(back, "row", "left")
     if model.words is None:

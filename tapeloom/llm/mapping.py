@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import chunks
@@ -20,6 +21,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of all texts."""
+    return df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+
+
+def group_count(df: DataFrame, text: str, group_bytes: int) -> int:
+    """How many groups of about ``group_bytes`` of text there are; no fewer than the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(df, text) // group_bytes + 1)
+
+
+def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Rows by their group, in as many partitions as groups where these are more than the session's."""
+    return df.repartition(groups, *keys) if groups > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def kept_columns(df: DataFrame, keep: Sequence[str] | None, new: Iterable[str]) -> list[str]:
     """Columns that pass through: those named, or all, without any that a result column replaces; case does not matter."""
     new, have = {c.lower() for c in new}, {c.lower(): c for c in df.columns}
