@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions and Spark's own learners only.
 
-Paragraphs (runs of text between line breaks) become sparse vectors of their words and
-word pairs.  A multinomial logistic regression with an L1 penalty, trained on stretches
-of licence texts against other paragraphs, names the licence family or "unknown"; how
-sure it must be is calibrated on paragraphs kept out of the training.  A named family is
-confirmed by comparison with the family's texts: enough of the paragraph's word pairs
-must stand in one of them.
+Paragraphs are runs of text between line breaks; one of many words is taken sentence by
+sentence, and a long sentence in overlapping stretches, so a licence line inside a page
+without breaks is seen.  Each such unit becomes a sparse vector of its words and word
+pairs.  A multinomial logistic regression with an L1 penalty, trained on stretches of
+licence texts against other paragraphs, names the licence family or "unknown"; how sure
+it must be is calibrated on a quarter of all units of the table, none of which it has
+learnt from.  A named family is confirmed by comparison with the family's texts: enough
+of the unit's word pairs must stand in one of them.
 """
 
 from __future__ import annotations
@@ -58,8 +60,10 @@ OTHERS: tuple[str, ...] = (
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *sorted({f for f, _ in TEMPLATES}))
 FEATURES = 1 << 14
-#: Documents that other paragraphs are taken from for training and calibration, and paragraphs taken.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 2000, 8000
+#: Documents that other paragraphs are taken from for training (those of least text hash), and units taken (of least hash).
+SAMPLE_DOCS, SAMPLE_UNITS = 2000, 8000
+#: Characters of a paragraph from which it is taken by sentences, and words of a stretch of a longer sentence; stretches overlap by half.
+LONG, UNIT = 300, 40
 #: Share of other paragraphs that may pass for a family before comparison, and pairs that must stand in a template.
 FALSE_RATE, CONFIRM = 0.001, 0.6
 
@@ -80,12 +84,43 @@ def paragraphs(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.posexplode_outer(parts).alias("position", "paragraph"))
 
 
+def units(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """One row a unit with ``words`` and the ``position`` of its paragraph; one without words for a text that has none."""
+    kept = [F.col(f"`{c}`") for c in keep]
+    p = F.col("paragraph")
+    sentences = F.when(F.length(p) > LONG, F.split(p, r"(?<=[.!?;])\s+")).otherwise(F.array(p))
+    rows = paragraphs(docs, text, keep).select(*kept, "position", F.explode_outer(sentences).alias("__sentence"))
+    rows = rows.select(*kept, "position", F.when(F.col("__sentence").isNotNull(), words_of(F.col("__sentence"))).alias("__words"))
+    begins = F.sequence(F.lit(1), F.size("__words") - UNIT // 2, F.lit(UNIT // 2))
+    stretches = F.when(F.size("__words") > UNIT, F.transform(begins, lambda at: F.slice("__words", at, F.lit(UNIT)))).otherwise(F.array("__words"))
+    return rows.select(*kept, "position", F.explode(stretches).alias("words")).where("position is null or size(words) > 0")
+
+
 def _family_rows(spark: SparkSession, rows: Sequence[tuple[str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("paragraph")) for f, t in rows])))
 
 
+def kept_out(words: Column) -> Column:
+    """Units that are never learnt from."""
+    return F.pmod(F.xxhash64(F.array_join(words, " ")), F.lit(4)) == 0
+
+
+def other_units(docs: DataFrame, text: str) -> DataFrame:
+    """Units without a word that speaks of licences."""
+    known = F.array(*[F.lit(x) for x in "license licensed copyright permission warranty warranties redistribution unencumbered".split(" ")])
+    return units(docs.select(F.col(f"`{text}`").alias("text")), "text", []).where(F.col("words").isNotNull() & ~F.arrays_overlap("words", known)).select("words")
+
+
+def sampled(docs: DataFrame, text: str) -> DataFrame:
+    """Different texts of least hash, about ``SAMPLE_DOCS`` whatever the order of files; no task meets many more."""
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    share = min(1.0, 1.2 * SAMPLE_DOCS / max(1, docs.count()))
+    some = docs.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", h).where(F.col("h") <= int(share * (1 << 40)))
+    return some.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(SAMPLE_DOCS).select("text")
+
+
 def training_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(family, grams): templates, their stretches of twelve words (or half of fewer) or more, and other paragraphs of a bounded sample."""
+    """(family, grams): templates, their stretches of twelve words (or half of fewer) or more, and other units of a bounded sample."""
     spark = docs.sparkSession
     t = _family_rows(spark, TEMPLATES).select("family", words_of(F.col("paragraph")).alias("words"))
     n = F.size("words")
@@ -93,10 +128,9 @@ def training_rows(docs: DataFrame, text: str) -> DataFrame:
     cut = cut.select("family", "words", "length", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("length") + 1, F.lit(1)))).alias("at"))
     # Of long texts' very many stretches every seventh is enough.
     cut = cut.where((F.size("words") < 16) | ((F.col("at") + F.col("length")) % 7 == 0)).select("family", F.slice("words", F.col("at"), F.col("length")).alias("words"))
-    known = F.array_distinct(F.flatten(F.array(*[F.split(F.lit(x), " ") for x in ["license licensed copyright permission warranty warranties redistribution unencumbered"]])))
-    other = paragraphs(docs.select(text).limit(SAMPLE_DOCS), text, []).where("paragraph is not null").limit(SAMPLE_PARAGRAPHS).select(words_of(F.col("paragraph")).alias("words"))
-    other = other.where(~F.arrays_overlap("words", known)).unionByName(_family_rows(spark, [(UNKNOWN, x) for x in OTHERS]).select(words_of(F.col("paragraph")).alias("words")))
-    # Short pieces of other paragraphs too, since licence lines are short.
+    other = other_units(sampled(docs, text), "text").where(~kept_out(F.col("words"))).distinct().orderBy(F.xxhash64("words"), "words").limit(SAMPLE_UNITS)
+    other = other.unionByName(_family_rows(spark, [(UNKNOWN, x) for x in OTHERS]).select(words_of(F.col("paragraph")).alias("words")))
+    # Short pieces of other units too, since licence lines are short.
     pieces = other.select(F.explode(F.array("words", F.slice("words", 1, 8), F.slice("words", 3, 5))).alias("words")).where(F.size("words") > 0)
     return t.unionByName(cut).unionByName(pieces.select(F.lit(UNKNOWN).alias("family"), "words")).select("family", grams_of(F.col("words")).alias("grams"))
 
@@ -118,19 +152,21 @@ class Scanner:
 
 
 def fit(docs: DataFrame, text: str = "text") -> Scanner:
-    """Trains on three quarters of the training rows and calibrates on the rest."""
+    """Trains on the training rows and calibrates on all units of the table that are kept out.
+
+    The least probability lets ``FALSE_RATE`` of the kept-out units pass for a family.  The
+    same texts give the same scanner in whatever order or files; an empty table gives one
+    that knows the templates alone.
+    """
     rows = training_rows(docs, text).withColumn("label", (F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1).cast("double"))
-    part = F.pmod(F.xxhash64(F.array_join("grams", "|")), F.lit(4))
     counted = HashingTF(inputCol="grams", outputCol="counts", numFeatures=FEATURES, binary=True)
     joined = VectorAssembler(inputCols=["counts"], outputCol="features")
-    made = joined.transform(counted.transform(rows.withColumn("part", part))).select("label", "features", "part").repartition(8).cache()
+    made = joined.transform(counted.transform(rows)).select("label", "features").repartition(8).sortWithinPartitions("label", F.xxhash64(F.col("features").cast("string"))).cache()
     learner = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=1.0, maxIter=40, aggregationDepth=2)
-    model = learner.fit(made.where("part <> 0 or label > 0"))
-    scanner = Scanner(PipelineModel([counted, joined, model]), 0.5)
-    kept_out = model.transform(made.where("part = 0 and label = 0"))
-    sure = kept_out.select(F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES) - 1)).alias("p"))
-    least = sure.agg(F.percentile_approx("p", 1 - FALSE_RATE, 10000)).first()[0]
+    scanner = Scanner(PipelineModel([counted, joined, learner.fit(made)]), 0.3)
     made.unpersist()
+    apart = other_units(docs, text).where(kept_out(F.col("words"))).select(grams_of(F.col("words")).alias("grams"))
+    least = scanner.probabilities(apart).agg(F.percentile_approx("probability", 1 - FALSE_RATE, 10000)).first()[0]
     scanner.least = max(0.3, float(least or 0.0))
     return scanner
 
@@ -144,12 +180,12 @@ def template_share(words: Column, family: Column) -> Column:
     return shares
 
 
-def scan_paragraphs(docs: DataFrame, scanner: Scanner, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """All paragraphs with ``family`` (null if unknown), ``probability`` and ``share``; a text without any gives one row of nulls."""
-    rows = paragraphs(docs, text, keep).withColumn("words", words_of(F.coalesce("paragraph", F.lit("")))).withColumn("grams", grams_of(F.col("words")))
+def scan_units(docs: DataFrame, scanner: Scanner, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """All units with ``position``, ``family`` (null if unknown), ``probability`` and ``share``; a text without any gives one row of nulls."""
+    rows = units(docs, text, keep).withColumn("grams", grams_of(F.coalesce("words", F.array().cast("array<string>"))))
     made = scanner.probabilities(rows).drop("grams", "counts")
     sure = F.col("probability") >= F.lit(scanner.least)
-    made = made.withColumn("share", F.when(sure & F.col("paragraph").isNotNull(), template_share(F.col("words"), F.col("family"))))
+    made = made.withColumn("share", F.when(sure & F.col("words").isNotNull(), template_share(F.col("words"), F.col("family"))))
     return made.withColumn("family", F.when(F.col("share") >= CONFIRM, F.col("family"))).drop("words")
 
 
@@ -157,10 +193,15 @@ def scan(docs: DataFrame, scanner: Scanner, key: str = "doc_id", text: str = "te
     """(key, ``n_paragraphs``, ``n_licence``, ``licences``) of each key: how many paragraphs, how many of a licence, sorted families.
 
     A null, empty or wordless text has no paragraph.  Paragraphs of rows with one key
-    are counted together; a null key is a key.  Other columns are not read.
+    are counted together; a null key is a key.  Other columns are not read.  A paragraph
+    of many words is searched sentence by sentence; it counts once, with all families found.
     """
-    own = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    made = scan_paragraphs(own, scanner, "__text", ["__key"])
-    return made.groupBy(F.col("__key").alias(key)).agg(
-        F.count("paragraph").alias("n_paragraphs"), F.count("family").alias("n_licence"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences")
+    own = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    made = scan_units(own, scanner, "__text", ["__key", "__row"])
+    # Units of a row lie together: a row's counts are made before rows of one key meet.
+    found = F.collect_set(F.when(F.col("family").isNotNull(), F.struct("position", "family")))
+    by_row = made.groupBy("__key", "__row").agg((F.coalesce(F.max("position"), F.lit(-1)) + 1).alias("n"), found.alias("found"))
+    by_row = by_row.select("__key", "n", F.size(F.array_distinct(F.transform("found", lambda x: x["position"]))).alias("hits"), F.transform("found", lambda x: x["family"]).alias("names"))
+    return by_row.groupBy(F.col("__key").alias(key)).agg(
+        F.sum("n").cast("long").alias("n_paragraphs"), F.sum("hits").cast("long").alias("n_licence"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.array_distinct("names")))))), ",").alias("licences")
     )

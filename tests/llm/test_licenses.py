@@ -42,3 +42,16 @@ def test_stretches_of_templates_are_named(spark, scanner):
     got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()}
     right = sum(got[i] == licenses.TEMPLATES[i][0] for i, _ in rows)
     assert right >= 0.9 * len(rows)
+
+
+def test_licences_inside_long_lines_and_pages_without_breaks(spark, scanner):
+    prose = "The river was high that spring and the boats stayed in the harbour for weeks. " * 12
+    rows = [(1, prose + "Released under the MIT License. " + prose), (2, prose), (3, " ".join(["word"] * 60 + licenses.TEMPLATES[8][1].split() + ["word"] * 60)), (3, prose + "\n" + licenses.TEMPLATES[5][1])]
+    got = {r.doc_id: (r.n_paragraphs, r.n_licence, r.licences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()}
+    assert got == {1: (1, 1, "MIT"), 2: (1, 0, ""), 3: (3, 2, "Apache-2.0,GPL")}
+
+
+def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = (licenses.sampled(x, "text") for x in (d, d.orderBy("n_chars").repartition(3)))
+    assert sorted(r.text for r in a.collect()) == sorted(r.text for r in b.collect())
