@@ -57,6 +57,10 @@ def _distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+#: Word pairs that one edit distance compares at most: two texts of 30,000 words.
+MOST_STEPS = 900_000_000
+
+
 @F.pandas_udf(T.DoubleType())
 def _error_rate(truth: pd.Series, hypothesis: pd.Series) -> pd.Series:
     out = []
@@ -64,13 +68,19 @@ def _error_rate(truth: pd.Series, hypothesis: pd.Series) -> pd.Series:
         if len(a) == 0:
             out.append(0.0 if len(b) == 0 else 1.0)
             continue
+        if len(a) * len(b) > MOST_STEPS:
+            out.append(None)
+            continue
         _, ids = np.unique(np.concatenate([np.asarray(a, dtype=object), np.asarray(b, dtype=object)]).astype(str), return_inverse=True)
         out.append(_distance(ids[: len(a)], ids[len(a) :]) / len(a))
     return pd.Series(out, dtype="float64")
 
 
 def word_error_rate(truth: Column, hypothesis: Column) -> Column:
-    """Word edits over words of the truth; without truth 0 for silence and 1 for any word."""
+    """Word edits over words of the truth; without truth 0 for silence and 1 for any word.
+
+    Null for a pair of texts so long that one task would compare over ``MOST_STEPS`` words.
+    """
     return _error_rate(compared_words(truth), compared_words(hypothesis))
 
 
@@ -123,35 +133,57 @@ def mechanism_percent(status: Column, percent: Column) -> Column:
 
 
 def overall_progress(events: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted percent of each job over all mechanisms of ``weights`` (a small table); exactly 100 once all have ended."""
+    """Weighted percent of each job over all mechanisms of ``weights``; exactly 100 once all have ended.
+
+    Mechanisms without a weight do not count; a job that has no other is at 0.
+    """
+    jobs = events.select("job_id").distinct()
     all_weight = weights.agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
-    held = mechanism_states(events).join(F.broadcast(weights), "mechanism").groupBy("job_id").agg(F.sum(F.col("weight") * mechanism_percent(F.col("status"), F.col("percent"))).alias("done"), F.count_if(F.col("status").isin(TERMINAL)).alias("ended"))
-    out = held.join(F.broadcast(all_weight))
-    return out.select("job_id", F.when(F.col("ended") == F.col("n"), 100.0).otherwise(clamped(F.col("done") / F.col("w"))).alias("overall_percent"))
+    held = mechanism_states(events).join(weights, "mechanism").groupBy("job_id").agg(F.sum(F.col("weight") * mechanism_percent(F.col("status"), F.col("percent"))).alias("done"), F.count_if(F.col("status").isin(TERMINAL)).alias("ended"))
+    out = jobs.join(held, "job_id", "left").join(F.broadcast(all_weight))  # one row of totals
+    return out.select("job_id", F.when(F.col("ended") == F.col("n"), 100.0).otherwise(clamped(F.coalesce("done", F.lit(0.0)) / F.col("w"))).alias("overall_percent"))
 
 
 def progress_summary(events: DataFrame, weights: DataFrame, ended: bool) -> DataFrame:
     """Every job's state of every mechanism: a missing one is pending at 0, or skipped at 100 in an ended or cached job."""
-    jobs = events.select("job_id").distinct()
-    grid = jobs.withColumn("mechanism", F.explode(F.array(*[F.lit(r.mechanism) for r in weights.select("mechanism").collect()])))
+    names = weights.agg(F.array_sort(F.collect_set("mechanism")).alias("names"))
+    # One row of names meets all jobs, so each job gets each mechanism once.
+    grid = events.select("job_id").distinct().join(F.broadcast(names)).select("job_id", F.explode("names").alias("mechanism"))
     out = grid.join(mechanism_states(events), ["job_id", "mechanism"], "left")
     missing = F.lit("skipped_or_cached" if ended else "pending")
     status = F.coalesce("status", missing)
     return out.select("job_id", "mechanism", status.alias("status"), mechanism_percent(status, F.col("percent")).alias("percent"))
 
 
+def summary_has_ended(summary: DataFrame) -> DataFrame:
+    """Whether all mechanisms of each job of a progress summary have ended."""
+    return summary.groupBy("job_id").agg(F.min(F.col("status").isin(TERMINAL)).alias("ended"))
+
+
+def _until_first_error(items: DataFrame, batch: str) -> DataFrame:
+    first = F.min(F.when(F.col("code").isNotNull(), F.col("batch_index"))).over(Window.partitionBy(batch))
+    return items.withColumn("__first", first).where("__first is null or batch_index <= __first").drop("__first")
+
+
 def batch_report(items: DataFrame, batch: str = "batch_id", stop_at_first: bool = False) -> DataFrame:
     """Items, processed, errors and first error of each batch (``batch_index`` from 1, ``code`` null if good).
 
     ``stop_at_first`` counts a batch's rows up to its first error.
     """
-    if stop_at_first:
-        first = F.min(F.when(F.col("code").isNotNull(), F.col("batch_index"))).over(Window.partitionBy(batch))
-        items = items.withColumn("__first", first).where("__first is null or batch_index <= __first").drop("__first")
+    items = _until_first_error(items, batch) if stop_at_first else items
     by_code = items.groupBy(batch, "code").agg(F.count("*").alias("n"), F.min("batch_index").alias("first_index"))
     return by_code.groupBy(batch).agg(F.sum("n").alias("items"), F.coalesce(F.sum(F.when(F.col("code").isNull(), F.col("n"))), F.lit(0)).alias("processed"), F.coalesce(F.sum(F.when(F.col("code").isNotNull(), F.col("n"))), F.lit(0)).alias("errors"), F.min(F.when(F.col("code").isNotNull(), F.col("first_index"))).alias("first_error"))
 
 
+def batch_errors(items: DataFrame, batch: str = "batch_id", stop_at_first: bool = False, listed: int = 20) -> DataFrame:
+    """A row for each code and stage of a batch's errors: how many, and the first ``listed`` of them as (``batch_index``, ``item``)."""
+    items = _until_first_error(items, batch) if stop_at_first else items
+    own = Window.partitionBy(batch, "code", "stage").orderBy("batch_index", "item")
+    bad = items.where(F.col("code").isNotNull()).withColumn("__rank", F.row_number().over(own))
+    shown = F.when(F.col("__rank") <= listed, F.struct("batch_index", "item"))
+    return bad.groupBy(batch, "code", "stage").agg(F.count("*").alias("errors"), F.array_sort(F.collect_list(shown)).alias("shown"))
+
+
 def triage_bucket(luminance: Column, text_chars: Column) -> Column:
     return F.concat(F.when(luminance < 110, F.lit("dark_")).otherwise("light_"), F.when(text_chars <= 8, "none").when(text_chars <= 60, "low").otherwise("high"))
 

@@ -35,6 +35,19 @@ def has_interpretation(reading: Column) -> Column:
     return _says(reading["visual_summary"]) | _says(reading["interpretation"]) | elements
 
 
+def reading_counts(frames: DataFrame, sources: DataFrame, reading: str = "interpretation") -> DataFrame:
+    """Facts of each source's summary: ``frames``, ``readings`` (frames with a reading), ``visual_frames`` (more than a transcription), ``duration_sec`` and ``sentence``.
+
+    ``sources`` have ``source_id`` and ``duration_sec``; one without frames counts zero,
+    one without a usable duration says that it is unknown.
+    """
+    counted = frames.groupBy("source_id").agg(F.count("*").alias("frames"), F.count_if(carries_reading(F.col(reading))).alias("readings"), F.count_if(has_interpretation(F.col(reading))).alias("visual_frames"))
+    out = sources.select("source_id", F.col("duration_sec").cast("double").alias("duration_sec")).join(counted, "source_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("frames", "readings", "visual_frames")})
+    known = F.coalesce((F.col("duration_sec") > 0) & (F.col("duration_sec") < float("inf")), F.lit(False))
+    length = F.when(known, F.concat(F.round("duration_sec").cast("long").cast("string"), F.lit(" s"))).otherwise("of unknown length")
+    return out.withColumn("sentence", F.concat(length, F.lit(", "), F.col("frames").cast("string"), F.lit(" frames, "), F.col("visual_frames").cast("string"), F.lit(" of them visual")))
+
+
 def carries_reading(reading: Column) -> Column:
     """Whether anything was said at all."""
     return has_interpretation(reading) | _says(reading["verbatim_text"])
@@ -73,26 +86,19 @@ def _first_object(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else balanced_object(t))
 
 
+_JSON = json.JSONDecoder()
+
+
 def balanced_object(text: str) -> str | None:
-    """The text from the first ``{`` to the ``}`` that closes it, if that is a JSON object."""
+    """The JSON object that begins at the first ``{``, whatever follows it; none if that is not one."""
     begin = text.find("{")
-    depth, at, quoted = 0, begin, False
-    while 0 <= at < len(text):
-        c = text[at]
-        if c == "\\":
-            at += 1
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                piece = text[begin : at + 1]
-                try:
-                    return piece if isinstance(json.loads(piece), dict) else None
-                except ValueError:
-                    return None
-        at += 1
-    return None
+    if begin < 0:
+        return None
+    try:
+        found, end = _JSON.raw_decode(text, begin)
+    except (ValueError, RecursionError):
+        return None
+    return text[begin:end] if isinstance(found, dict) else None
 
 
 def unfenced(reply: Column) -> Column:
