@@ -31,8 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round joins the edges with the least neighbour of each node, twice, and is
     written to the shared folder, where the round before it is removed; the number of
-    rounds grows with the logarithm of the size of a component.  A node of very many
-    edges is dealt over several tasks.  An empty table gives no node; edges from a node
+    rounds grows with the logarithm of the size of a component.  An empty table gives no node; edges from a node
     to itself and repeated edges do not matter.
     """
     now = written(_canonical(edges))
@@ -60,11 +59,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of a node is joined to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _canonical(spread_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    return _canonical(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are joined to the least of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = spread_join(edges, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _canonical(moved.unionByName(least.select("a", F.col("m").alias("b"))))
