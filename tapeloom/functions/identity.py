@@ -62,6 +62,11 @@ def duplicate_sources(sources: DataFrame, fingerprint: str = "fingerprint", sour
     return sources.groupBy(fingerprint).agg(F.count_distinct(source).alias("sources"), F.min(source).alias("first_source")).where("sources > 1")
 
 
+def key_collisions(sources: DataFrame, key: str = "bundle_key", fingerprint: str = "fingerprint") -> DataFrame:
+    """Bundle keys that more than one fingerprint has: ``fingerprints`` (distinct) and the least of them."""
+    return sources.groupBy(key).agg(F.count_distinct(fingerprint).alias("fingerprints"), F.min(fingerprint).alias("first_fingerprint")).where("fingerprints > 1")
+
+
 def corpus_digest(cases: DataFrame, label_digest: str, position: str, image: str, truth: str) -> DataFrame:
     """One digest over the label table's and then each case's image digest and truth, in corpus order.
 

@@ -42,7 +42,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("api-key", _EDGE + r"sk-[A-Za-z0-9_-]{20,}+", ""),
     ("base64-blob", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9+/]{40})(?!(?<=(?i:" + _CUE + r")[^\n]{0,24})[0-9a-fA-F]{40,2000}+(?![A-Za-z0-9+/_]))" + _MIXED + r"[A-Za-z0-9+/]{40,}+={0,2}", ""),
 )
-#: Strings of which a text holds one at least where a rule can match (rules without an entry are always tried).
+#: Strings of which a text holds one at least where a rule can match.
 NEEDS: dict[str, tuple[str, ...]] = {
     "private-key": ("PRIVATE KEY",), "jwt": ("eyJ",), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "gitlab-token": ("glpat-",), "npm-token": ("npm_",), "hf-token": ("hf_",),
     "google-key": ("AIza",), "slack-token": ("xox",), "stripe-key": ("_live_", "_test_"), "aws-key": ("AKIA", "ASIA"), "url-password": ("://",), "url-user": ("://",), "api-key": ("sk-",),
@@ -52,25 +52,35 @@ MARK = r"\[REDACTED:[a-z0-9-]+\]"
 _CONFUSABLE = r"[\x{FF01}-\x{FF5E}\x{2100}-\x{214F}\x{1D400}-\x{1D7FF}\x{2460}-\x{24FF}\x{200B}-\x{200D}]"
 
 
+#: The same for rules that do not mind case, in lower case; and what a text must match for the one rule without such strings.
+NEEDS_LOWER: dict[str, tuple[str, ...]] = {"oauth-token": ("bearer",), "assigned-secret": ("token", "secret", "passw", "pwd", "key")}
+RUN = r"[A-Za-z0-9+/]{40}"
+
+
 def redacted(text: Column) -> Column:
-    """The text with marks for all values that a rule matches."""
+    """The text with marks for all values that a rule matches; a text that no rule can match is only searched for what they need."""
+    suspect = F.lit(False)
+    for kind, _, _ in RULES:
+        suspect = suspect | _can_match(text, kind)
+    made = text
     for kind, pattern, context in RULES:
-        text = _applied(text, kind, pattern, f"{context}[REDACTED:{kind}]")
-    return text
+        made = _applied(made, kind, pattern, f"{context}[REDACTED:{kind}]")
+    return F.when(suspect, made).otherwise(text)
 
 
-def _applied(text: Column, kind: str, pattern: str, mark: str) -> Column:
-    """One rule, tried only on texts that hold a string it needs; the text so far is computed once."""
-    if kind not in NEEDS:
-        return F.regexp_replace(text, pattern, mark)
+def _can_match(text: Column, kind: str) -> Column:
+    if kind not in NEEDS and kind not in NEEDS_LOWER:
+        return text.rlike(RUN)
+    searched, needed = (text, NEEDS[kind]) if kind in NEEDS else (F.lower(text), NEEDS_LOWER[kind])
+    held = searched.contains(needed[0])
+    for other in needed[1:]:
+        held = held | searched.contains(other)
+    return held
 
-    def rule(x: Column) -> Column:
-        held = x.contains(NEEDS[kind][0])
-        for other in NEEDS[kind][1:]:
-            held = held | x.contains(other)
-        return F.when(held, F.regexp_replace(x, pattern, mark)).otherwise(x)
 
-    return F.get(F.transform(F.array(text), rule), F.lit(0))
+def _applied(text: Column, kind: str, pattern: str, mark: str) -> Column:
+    """One rule, tried only on texts that hold what it needs; the text so far is computed once."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(_can_match(x, kind), F.regexp_replace(x, pattern, mark)).otherwise(x)), F.lit(0))
 
 
 def mark_count(text: Column) -> Column:
@@ -105,8 +115,17 @@ def redact(df: DataFrame, text: str = "text", confusables: bool = True) -> DataF
     return plain.unionByName(finish(other, F.when(hidden, F.col("__form")).otherwise(F.col("__done")), hidden))
 
 
-def redact_nested(df: DataFrame, keep_paths: bool = True) -> DataFrame:
-    """Redacts every string of every column, at any depth; not map keys, nor fields named ``path`` or ``*_path``."""
+def redact_nested(df: DataFrame, keep_paths: bool = True, policy: str = "enabled") -> DataFrame:
+    """Redacts every string of every column, at any depth; not map keys, nor fields named ``path`` or ``*_path``.
+
+    Adds ``redaction_policy``, which says what was done; ``disabled`` leaves all text alone.
+    """
+    if policy not in ("enabled", "disabled"):
+        raise ValueError("the policy is enabled or disabled")
+    marked = df.withColumn("redaction_policy", F.lit(policy))
+    if policy == "disabled":
+        return marked
+
     def is_path(name: str) -> bool:
         return keep_paths and (name == "path" or name.endswith("_path"))
 
@@ -121,4 +140,4 @@ def redact_nested(df: DataFrame, keep_paths: bool = True) -> DataFrame:
             return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
         return c
 
-    return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+    return marked.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields], "redaction_policy")

@@ -87,6 +87,20 @@ def first_paragraph(text: Column) -> Column:
     return F.nullif(stripped(F.get(F.split(plain, r"\n[ \t]*\n"), F.lit(0))), F.lit(""))
 
 
+def source_channel(channel: Column, uploader: Column) -> Column:
+    """The channel, or the uploader where that is blank; null where both are."""
+    plain = lambda c: F.nullif(stripped(c), F.lit(""))
+    return F.coalesce(plain(channel), plain(uploader))
+
+
+def folder_name(url: Column) -> Column:
+    """A folder name for a playlist url: its ``list`` parameter in safe characters, at most 120, else sixteen hex digits of the url."""
+    digest = F.concat(F.lit("url-"), F.left(F.sha2(url, 256), F.lit(16)))
+    given = F.url_decode(F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?(?:[^#]*?&)?list=([^&#]+)", 1), r"%(?![0-9A-Fa-f]{2})", "%25"))
+    safe = F.regexp_replace(F.regexp_replace(given, r"[^A-Za-z0-9._-]+", "-"), r"^[.-]+|[.-]+$", "")
+    return F.when(safe == "", digest).otherwise(F.left(safe, F.lit(120)))
+
+
 def media_seconds(line: Column) -> Column:
     """Seconds of an ``out_time=HH:MM:SS.f`` or ``out_time_ms=`` (microseconds) log line, else null."""
     clock = [F.regexp_extract(line, r"^out_time=\s*([0-9.]+):([0-9.]+):([0-9.]+)\s*$", i).try_cast("double") for i in (1, 2, 3)]
@@ -116,6 +130,14 @@ def capped(text: Column, max_bytes: int = FIELD_BYTES) -> Column:
     return F.when(F.octet_length(text) <= max_bytes, text).otherwise(without_split_mark(cut))
 
 
+def capped_field(text: Column, path: str, max_bytes: int = FIELD_BYTES) -> Column:
+    """Struct of the capped ``text`` and a ``warning`` (null unless it was cut) that names the field and its former bytes."""
+    size = F.octet_length(text)
+    message = F.concat(F.lit(f"{path} had "), size.cast("string"), F.lit(f" bytes of text and was cut to {max_bytes}"))
+    warning = F.when(size > max_bytes, F.struct(F.lit("extracted_text_truncated").alias("code"), message.alias("message")))
+    return F.struct(capped(text, max_bytes).alias("text"), warning.alias("warning"))
+
+
 def without_split_mark(cut: Column) -> Column:
     """A cut text without the beginning of a mark at its end."""
     opened = r"\[(?:R(?:E(?:D(?:A(?:C(?:T(?:E(?:D(?::[a-z0-9-]{0,40})?)?)?)?)?)?)?)?)?$"

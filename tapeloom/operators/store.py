@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Containers in order of preference, fields of a manifest with their types, and of its provenance.
 KINDS_OF_MEDIA = [".mp4", ".mkv", ".webm", ".mov", ".m4v"]
-#: Manifest fields and the variant type that each must have.
 MANIFEST_FIELDS = {
     "pipeline_version": "BIGINT", "tool_version": "STRING", "source_type": "STRING", "source_resolved_path": "STRING", "duration_sec": "NUMBER",
     "options": "OBJECT", "frame_count": "BIGINT", "transcript_present": "BOOLEAN", "warning_count": "BIGINT", "frames": "ARRAY", "warnings": "ARRAY",
 }
 PROVENANCE_KEYS = ["title", "channel", "description", "upload_date", "canonical_url", "duration_sec", "processed_at"]
+PROVENANCE_TEXTS = ["title", "channel", "description", "upload_date"]
+CANONICAL_URL = r"^https://www\.youtube\.com/watch\?v=[0-9A-Za-z_-]{11}\z"
 FRAME_PATH = r"^frames/frame_\d{4,}\.png\z"
 STAGE_SCHEMA = 1
 
@@ -29,7 +32,8 @@ def manifest_problem(manifests: DataFrame, text: str = "manifest_json") -> DataF
 
     Booleans are no numbers; identity stands under ``bundle_key`` or the older
     ``source_hash``; ``frame_count`` is the number of frames and every frame has a
-    keyframe's path; provenance has no other keys, a finite duration and UTC times.
+    keyframe's path; provenance has no other keys, texts, a finite duration, UTC times
+    and a plain watch url.
     """
     v = F.col("__v")
     out = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
@@ -49,6 +53,8 @@ def manifest_problem(manifests: DataFrame, text: str = "manifest_json") -> DataF
         .when((provenance != "VOID") & ~provenance.startswith("OBJECT"), "provenance")
         .when(F.size(F.array_except(F.coalesce(F.map_keys(seen), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in PROVENANCE_KEYS]))) > 0, "provenance keys")
         .when(F.try_variant_get(v, "$.provenance.duration_sec", "variant").isNotNull() & ~_number(_kind(v, "$.provenance.duration_sec")) & (_kind(v, "$.provenance.duration_sec") != "VOID"), "provenance duration")
+        .when(F.exists(F.array(*[_kind(v, f"$.provenance.{t}").isin("STRING", "VOID") for t in PROVENANCE_TEXTS]), lambda good: ~good), "provenance text")
+        .when((_kind(v, "$.provenance.canonical_url") != "VOID") & ~F.coalesce(F.try_variant_get(v, "$.provenance.canonical_url", "string").rlike(CANONICAL_URL), F.lit(False)), "provenance url")
         .when(time.isNotNull() & ~time.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z\z"), "provenance time")
     )
     return manifests.withColumn("__v", F.try_parse_json(F.col(text))).withColumn("problem", out).drop("__v")
@@ -81,14 +87,31 @@ def resolve_from_cache(candidates: DataFrame, servable: DataFrame, probes: DataF
     """The answer of each run: the first candidate with a servable bundle, else the first available reader, else ``chain_exhausted``.
 
     ``candidates`` have ``run_id``, ``entry``, ``bundle_key``, ``mode`` and ``force``; a
-    ``selected`` run needs a bundle with a reading (``readings`` of ``servable``).
+    ``selected`` run needs a bundle with a reading (``readings`` of ``servable``).  A
+    ``disabled`` run has one candidate, its first, and asks no reader.
     """
+    first_entry = F.min("entry").over(Window.partitionBy("run_id"))
+    candidates = candidates.withColumn("__first", first_entry).where((F.col("mode") != "disabled") | (F.col("entry") == F.col("__first"))).drop("__first")
     hits = candidates.where(~F.col("force")).join(servable, "bundle_key").where((F.col("mode") != "selected") | (F.col("readings") > 0))
     first = hits.groupBy("run_id").agg(F.min_by("bundle_key", "entry").alias("hit_key"), F.min("entry").alias("hit_entry"))
     open_ = probes.where("answered").groupBy("run_id").agg(F.min("entry").alias("open_entry"))
-    runs = candidates.select("run_id").distinct()
-    out = runs.join(first, "run_id", "left").join(open_, "run_id", "left")
-    return out.select("run_id", F.when(F.col("hit_key").isNotNull(), "cache").when(F.col("open_entry").isNotNull(), "reader").otherwise("chain_exhausted").alias("answer"), F.coalesce("hit_entry", "open_entry").alias("entry"), "hit_key")
+    runs = candidates.groupBy("run_id").agg(F.min("mode").alias("mode"))
+    out = runs.join(first, "run_id", "left").join(open_, "run_id", "left").withColumn("open_entry", F.when(F.col("mode") != "disabled", F.col("open_entry")))
+    answer = F.when(F.col("hit_key").isNotNull(), "cache").when(F.col("mode") == "disabled", "disabled").when(F.col("open_entry").isNotNull(), "reader").otherwise("chain_exhausted")
+    return out.select("run_id", answer.alias("answer"), F.coalesce("hit_entry", "open_entry").alias("entry"), "hit_key")
+
+
+def chain_evidence(resolved: DataFrame, probes: DataFrame) -> DataFrame:
+    """What each run saw of its chain: a row for each entry with ``outcome``, up to the entry that answered.
+
+    A run served from the cache saw that entry alone (``cache_hit``); else its probes up to
+    the first answer: ``skipped`` (``skip`` of ``probes``), ``unavailable`` or ``selected``.
+    """
+    hit = resolved.where("answer = 'cache'").select("run_id", "entry", F.lit("cache_hit").alias("outcome"))
+    asked = resolved.where("answer in ('reader', 'chain_exhausted')").select("run_id", F.col("entry").alias("__entry"))
+    seen = probes.join(asked, "run_id").where(F.col("__entry").isNull() | (F.col("entry") <= F.col("__entry")))
+    outcome = F.when(F.col("entry").eqNullSafe(F.col("__entry")), "selected").when(F.col("skip"), "skipped").otherwise("unavailable")
+    return hit.unionByName(seen.select("run_id", "entry", outcome.alias("outcome")))
 
 
 def stage_problem(results: DataFrame, text: str = "document") -> DataFrame:
@@ -116,6 +139,14 @@ def work_list(wanted: DataFrame, results: DataFrame) -> DataFrame:
     return wanted.join(good, ["bundle_key", "stage"], "left_anti").join(why, ["bundle_key", "stage"], "left").withColumn("reason", F.coalesce("reason", F.lit("missing")))
 
 
+def reusable_payloads(results: DataFrame, text: str = "document") -> DataFrame:
+    """(bundle_key, stage, ``payload``, ``warnings``) of usable results: the payload's own warnings, then those recorded around it."""
+    good = stage_problem(results, text).where("problem is null").withColumn("__v", F.try_parse_json(F.col(text)))
+    kind = "array<struct<stage:string,code:string,message:string,occurrences:bigint>>"
+    listed = lambda path: F.coalesce(F.try_variant_get("__v", path, kind), F.array().cast(kind))
+    return good.select("bundle_key", "stage", F.to_json(F.try_variant_get("__v", "$.payload", "variant")).alias("payload"), F.concat(listed("$.payload.warnings"), listed("$.warnings")).alias("warnings"))
+
+
 def generation_number(name: Column) -> Column:
     return F.regexp_extract(name, r"^g(\d+)\z", 1).try_cast("long")
 
@@ -154,6 +185,33 @@ def publish(batch: DataFrame, pointers: DataFrame, batch_id: int) -> DataFrame:
     ).withColumn("active", F.concat(F.lit("g"), F.col("gen_no").cast("string")))
 
 
+def pointers_of(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The newest pointers under ``folder``, or the newest of an earlier batch than ``before``; none at first."""
+    schema = "bundle_key string, gen_no long, batch_id long, active string, version long"
+    try:
+        kept = spark.read.schema(schema).parquet(folder)
+    except AnalysisException:  # nothing has been published yet
+        return spark.createDataFrame([], schema)
+    kept = kept if before is None else kept.where(F.col("version") < before)
+    newest = kept.agg(F.max("version")).first()[0]
+    return kept.where(F.col("version") == newest) if newest is not None else kept.where("false")
+
+
+def publish_batch(batch: DataFrame, batch_id: int, rows: str, pointers: str) -> None:
+    """Writes a batch (``bundle_key`` and its content) as each key's next generation, then makes these active.
+
+    For ``foreachBatch``.  Rows go to the folder of the batch under ``rows``, the pointers
+    of all keys to that under ``pointers``; a reader sees a generation once its pointers
+    are complete.  A batch that is delivered again writes the same folders anew.
+    """
+    spark = batch.sparkSession
+    batch = batch.withColumn("bundle_key", F.col("bundle_key").cast("string"))
+    made = publish(batch, pointers_of(spark, pointers, batch_id).drop("version"), batch_id)
+    own = made.where(F.col("batch_id") == batch_id).select("bundle_key", F.col("active").alias("name"))
+    batch.join(own, "bundle_key").write.mode("overwrite").parquet(f"{rows}/version={batch_id}")
+    made.write.mode("overwrite").parquet(f"{pointers}/version={batch_id}")
+
+
 def survey(bundles: DataFrame, generations: DataFrame) -> DataFrame:
     """Each bundle's verdict, active generation, generations in numeric order and orphans."""
     listed = generations.groupBy("bundle_key").agg(F.array_sort(F.collect_list(F.struct(generation_number(F.col("name")).alias("n"), "name"))).alias("g"))
@@ -162,9 +220,24 @@ def survey(bundles: DataFrame, generations: DataFrame) -> DataFrame:
     return out.select("bundle_key", "verdict", "servable", "active", "locked", names.alias("generations"), F.filter(names, lambda n: ~n.eqNullSafe(F.col("active"))).alias("orphans"))
 
 
-def skip_reason(name: Column, is_link: Column, depth: Column, has_marker: Column) -> Column:
-    """Why a listing entry is not a bundle, null if it is one."""
-    return F.when(name.rlike("^[_.]"), "reserved").when(is_link, "symlink").when(depth > 6, "too deep").when(~has_marker, "no marker")
+def survey_totals(surveyed: DataFrame, staging: DataFrame) -> DataFrame:
+    """One row for the root: bundles, servable and locked ones, generations, orphans, and staging folders of ``staging`` (``bundle_key``, ``name``)."""
+    left = staging.agg(F.count("*").alias("staging"))
+    one = surveyed.agg(F.count("*").alias("bundles"), F.count_if("servable").alias("servable"), F.count_if("locked").alias("locked"), F.coalesce(F.sum(F.size("generations")), F.lit(0)).alias("generations"), F.coalesce(F.sum(F.size("orphans")), F.lit(0)).alias("orphans"))
+    return one.join(F.broadcast(left))  # one row each
+
+
+def skip_reason(name: Column, is_link: Column, depth: Column, verdict: Column) -> Column:
+    """Why a listing entry is not taken as a bundle, null if it is one.
+
+    ``verdict`` is that of :func:`bundle_verdicts`; below six levels nothing is looked at.
+    """
+    return F.when(is_link, "symlink").when(name.rlike("^[_.]"), "reserved").when(verdict.isin("foreign", "invalid"), verdict).when((verdict == "absent") & (depth >= 6), "too deep").when(verdict == "absent", "no marker")
+
+
+def skip_counts(entries: DataFrame) -> DataFrame:
+    """How many listing entries (``name``, ``is_link``, ``depth``, ``verdict``) are taken (null reason) or skipped for each reason."""
+    return entries.groupBy(skip_reason(F.col("name"), F.col("is_link"), F.col("depth"), F.col("verdict")).alias("reason")).agg(F.count("*").alias("entries"))
 
 
 def prune_plan(bundles: DataFrame, generations: DataFrame, staging: DataFrame, now: Column, keep: int, max_age_days: float) -> DataFrame:

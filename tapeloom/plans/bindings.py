@@ -62,6 +62,11 @@ PROGRESS_SQL = """p AS (SELECT 'job-' || user_id AS job_id, row_number() OVER (P
   CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, CASE WHEN event_type <> 'view' THEN value * 3 END AS percent, ts, event_id AS seq FROM events)"""
 
 
+#: Events of ``p`` that say something new of their mechanism.
+ADVANCES_SQL = """adv AS (SELECT * FROM (SELECT *, row_number() OVER m AS nth, lag(status) OVER m AS status_, lag(percent) OVER m AS percent_ FROM p WINDOW m AS (PARTITION BY job_id, mechanism ORDER BY ts, sequence))
+  WHERE nth = 1 OR status_ IS DISTINCT FROM status OR percent_ IS DISTINCT FROM percent)"""
+
+
 def weights(spark: SparkSession) -> DataFrame:
     return spark.range(5).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("mechanism"), (F.col("id") + 1).cast("double").alias("weight"))
 
@@ -114,3 +119,7 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
     half = lambda at: F.lpad(F.lower(F.conv(F.substring(bits, at, 32), 2, 16)), 8, "0")
     return e.select((F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 400)).cast("long").alias("source_id"), F.col("vec_id").cast("int").alias("candidate_index"), F.col("vec_id").cast("double").alias("timestamp_sec"), F.concat(half(1), half(33)).alias("phash"))
+
+
+BITS_SQL = """h AS (SELECT label * 1000000 + vec_id // 400 AS source_id, CAST(vec_id AS INT) AS candidate_index, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits,
+  row_number() OVER (PARTITION BY label * 1000000 + vec_id // 400 ORDER BY vec_id) AS rn FROM embeddings)"""

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.redaction import redacted
-from ..functions.text import fenced, link_target, link_text, timestamp
+from ..functions.text import capped, fenced, link_target, link_text, timestamp
 from ..operators.folds import fold_warnings
 from ..operators.timeline import informative_frames, interleave, spoken_chunks
 
 #: Sections of a document in order.
-HEADER, WARNINGS, LINKS, BODY = range(4)
+HEADER, PROVENANCE, WARNINGS, LINKS, BODY = range(5)
+#: Columns of ``sources`` that are stated, where there are any, and how.
+STATED = {"channel": "Channel", "upload_date": "Uploaded", "canonical_url": "From", "duration_sec": "Seconds", "processed_at": "Processed"}
 
 
 def _block(df: DataFrame, section: int, text, *order) -> DataFrame:
@@ -25,19 +27,24 @@ def render(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings:
 
     Text of strangers stands in fenced blocks; a frame stands where it was shown, inside
     a segment between the words before and after it.  Readings that no second reader
-    supports carry a note, and frames that add nothing say so.
+    supports carry a note, and frames that add nothing say so.  What ``sources`` know of
+    themselves (the columns of ``STATED``, ``description``) and who read the frames
+    (``reader``) is stated behind the header; null facts are left out.  Texts on frames
+    are cut at the bound of a stored field.
     """
     folded = fold_warnings(warnings)
     counts = frames.groupBy("source_id").agg(F.count("*").alias("n_frames")).join(segments.groupBy("source_id").agg(F.count("*").alias("n_segments")), "source_id", "full")
     head = sources.join(counts, "source_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
     header = F.concat(F.lit("# "), link_text(F.coalesce("title", F.lit("Untitled"))), F.lit("\n\nSegments: "), n(F.col("n_segments")), F.lit(". Frames: "), n(F.col("n_frames")), F.lit("."))
+    frames = frames.withColumn("extracted_text", capped(F.col("extracted_text")))
     placed = interleave(frames, segments)
     at = segments.select("source_id", F.row_number().over(_by_source()).alias("__n"), "seg_no", "start", "end", "text", "words")
     chunks = spoken_chunks(segments, placed).join(at.select("source_id", "seg_no", "__n"), ["source_id", "seg_no"])
     shown = frames.join(placed.select("source_id", "frame_index", "seg_no", "place"), ["source_id", "frame_index"]).join(at.select("source_id", "seg_no", "__n"), ["source_id", "seg_no"], "left")
     return _assemble(
         _block(head, HEADER, header),
+        _block(_provenance(sources).where("stated <> ''"), PROVENANCE, F.col("stated")),
         _block(folded, WARNINGS, F.concat(F.lit("- Warning `"), F.col("code"), F.lit("` ("), F.col("stage"), F.lit("), "), F.col("occurrences").cast("string"), F.lit("x: "), link_text(F.coalesce("message", F.lit("")))), "seq"),
         _block(links, LINKS, F.concat(F.lit("- ["), link_text(F.col("label")), F.lit("]("), link_target(F.col("url")), F.lit(")")), "line_no", "pos"),
         _block(at, BODY, F.concat(F.lit("## "), timestamp(F.col("start")), F.lit(" - "), timestamp(F.col("end"))), "__n", F.lit(1)),
@@ -46,16 +53,23 @@ def render(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings:
     )
 
 
-def _by_source():
-    from pyspark.sql import Window
+def _provenance(sources: DataFrame) -> DataFrame:
+    """The source's facts as lines, its description as a block, and who read its frames."""
+    lines = [F.concat(F.lit(f"- {label}: "), link_text(F.col(c).cast("string"))) for c, label in STATED.items() if c in sources.columns]
+    parts = [F.nullif(F.array_join(F.array(*lines), "\n"), F.lit(""))] if lines else []
+    if "description" in sources.columns:
+        parts.append(F.when(F.trim("description") != "", fenced(F.trim("description"))))
+    if "reader" in sources.columns:
+        parts.append(F.coalesce(F.concat(F.lit("Frames were read by "), link_text(F.col("reader")), F.lit(".")), F.lit("No model read the frames.")))
+    return sources.select("source_id", F.array_join(F.array(*parts), "\n\n").alias("stated") if parts else F.lit("").alias("stated"))
+
 
+def _by_source():
     return Window.partitionBy("source_id").orderBy("seg_no")
 
 
 def _frame_places(shown: DataFrame) -> DataFrame:
     """Numbers the frames inside each segment from 0: frame ``k`` stands behind chunk ``k``."""
-    from pyspark.sql import Window
-
     inside = Window.partitionBy("source_id", "seg_no", "place").orderBy("timestamp_sec", "frame_index")
     return shown.withColumn("__k", F.row_number().over(inside) - 1)
 

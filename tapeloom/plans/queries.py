@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +10,9 @@ from ..operators import folds, grounding, inference, store, timeline
 from ..sources import recordings
 from ..streaming import progress as stream
 from . import bindings as b
-from . import documents
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+from .registry import QUERIES, SQL, query
 
-    return keep
+__all__ = ["QUERIES", "SQL"]
 
 
 def r6(c: str):
@@ -144,11 +131,12 @@ def voice_drop_tiers(spark, sf_dir):
     return timeline.voice_drop(info).select("source_id", r6("ratio"), "tier")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'start' WHEN event_id % 10 = 1 THEN 'end' WHEN event_id % 10 = 2 THEN 'words' END AS problem FROM events")
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'soon' ELSE CAST(value AS VARCHAR) END AS s, CASE WHEN event_id % 10 = 1 THEN NULL WHEN event_id % 10 = 4 THEN '1e999' ELSE CAST(value + 1 AS VARCHAR) END AS e, CASE WHEN event_id % 10 = 2 THEN 'NaN'::DOUBLE WHEN event_id % 10 = 5 THEN NULL ELSE value END AS w FROM events)
+SELECT event_id, CASE WHEN NOT coalesce(isfinite(TRY_CAST(s AS DOUBLE)), false) THEN 'start' WHEN NOT coalesce(isfinite(TRY_CAST(e AS DOUBLE)), false) THEN 'end' WHEN NOT coalesce(isfinite(w), false) THEN 'words' END AS problem FROM e""")
 def placement_problems(spark, sf_dir):
     k = F.col("event_id") % 10
-    word = F.struct(F.lit("w").alias("word"), F.when(k == 2, F.lit(float("nan"))).otherwise(F.col("value")).alias("end"))
-    s = b.table(spark, sf_dir, "events").select("event_id", F.when(k == 0, "soon").otherwise(F.col("value").cast("string")).alias("start"), F.when(k == 1, F.lit(None)).otherwise((F.col("value") + 1).cast("string")).alias("end"), F.array(word, F.when(k == 3, word)).alias("words"))
+    word = F.struct(F.lit("w").alias("word"), F.when(k == 2, F.lit(float("nan"))).when(k != 5, F.col("value")).alias("end"))
+    s = b.table(spark, sf_dir, "events").select("event_id", F.when(k == 0, "soon").otherwise(F.col("value").cast("string")).alias("start"), F.when(k == 1, F.lit(None)).when(k == 4, "1e999").otherwise((F.col("value") + 1).cast("string")).alias("end"), F.array(word, F.when(k == 3, word)).alias("words"))
     return timeline.placement_problem(s).select("event_id", "problem")
 
 
@@ -190,24 +178,6 @@ def endpoint_probes(spark, sf_dir):
     return timeline.skipped_probes(probes, records, ["endpoint"], 3600.0).select("probe_id", "endpoint", "skipped")
 
 
-@query()
-def candidate_schedules(spark, sf_dir):
-    e = b.table(spark, sf_dir, "events")
-    sec = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0) / 600
-    scenes = e.select(F.col("user_id").alias("source_id"), sec.alias("start_sec"), (sec + 1).alias("end_sec")).withColumns({"duration_sec": F.lit(4500.0), "min_interval_sec": F.lit(4.0), "max_static_window_sec": F.lit(90.0)})
-    return timeline.candidate_schedule(scenes)
-
-
-@query()
-def keyframes(spark, sf_dir):
-    return timeline.select_keyframes(b.hashes(spark, sf_dir), 26, 80)
-
-
-@query()
-def threshold_sweep(spark, sf_dir):
-    return timeline.threshold_sweep(b.hashes(spark, sf_dir), (10, 20, 26, 32))
-
-
 @query(f"""WITH {b.ATTEMPTS_SQL}, i AS (SELECT *, sum(CASE WHEN code IS NULL OR code = 'local_vision_malformed_response' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY attempt) AS g FROM a),
 n AS (SELECT *, sum(CASE WHEN code = 'local_vision_timeout' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, g ORDER BY attempt) AS k FROM i),
 o AS (SELECT *, min(CASE WHEN code = 'local_vision_auth_rejected' OR (code = 'local_vision_timeout' AND k = 3) THEN attempt END) OVER (PARTITION BY run_id) AS opened_at FROM n)
@@ -262,12 +232,14 @@ def triage_samples(spark, sf_dir):
     return folds.triage_samples(triage_frames(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY doc_id % 900) AS same FROM documents) SELECT doc_id, CASE WHEN same > 1 THEN 'id is not unique' WHEN lang = 'es' THEN 'unknown category' WHEN n_chars % 10 = 0 THEN 'unknown legibility' WHEN n_chars % 2 = 0 THEN 'has_text contradicts the category' WHEN n_chars % 3 = 0 THEN 'verified without truth' END AS problem FROM c""")
+@query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY source, n_chars) AS same FROM documents) SELECT doc_id, CASE WHEN same > 1 THEN 'id is not unique' WHEN lang = 'es' THEN 'unknown category' WHEN n_chars % 10 = 0 THEN 'unknown legibility' WHEN n_chars % 2 = 0 THEN 'has_text contradicts the category' WHEN text IS NULL OR contains(text, 'an') THEN 'verified without truth' WHEN trim(text, ' ') = '' THEN 'truth contradicts has_text' END AS problem FROM c""")
 def label_problems(spark, sf_dir):
+    """Source and length of a document are its id, so ids repeat as the data have it; notes with one word are unverified."""
     d = b.table(spark, sf_dir, "documents")
     n = F.col("n_chars")
+    note = F.replace("text", F.lit("an"), F.lit("UNVERIFIED"))
     return folds.label_problem(
-        d.select("doc_id", (F.col("doc_id") % 900).cast("string").alias("id"), F.when(F.col("lang") == "es", "song").otherwise("clean_text").alias("category"), F.when(n % 10 == 0, "foggy").otherwise("clean").alias("legibility"), (n % 2 != 0).alias("has_text"), F.lit(True).alias("verified"), F.when(n % 3 == 0, F.lit(None)).otherwise("x").alias("truth"))
+        d.select("doc_id", F.concat_ws(":", "source", n.cast("string")).alias("id"), F.when(F.col("lang") == "es", "song").otherwise("clean_text").alias("category"), F.when(n % 10 == 0, "foggy").otherwise("clean").alias("legibility"), (n % 2 != 0).alias("has_text"), F.lit(True).alias("verified"), text.truth_text(note).alias("truth"))
     ).select("doc_id", "problem")
 
 
@@ -328,12 +300,12 @@ def next_generations(spark, sf_dir):
     return store.next_generation(g, g)
 
 
-@query(f"""WITH {b.BUNDLES_SQL}, c AS (SELECT o_orderkey AS run_id, k AS entry, (o_custkey + k * 7) % 1500 AS bundle_key, CASE WHEN o_orderkey % 3 = 0 THEN 'selected' ELSE 'auto' END AS mode, o_orderkey % 10 = 1 AS force FROM orders, range(3) r(k)),
+@query(f"""WITH {b.BUNDLES_SQL}, c AS (SELECT o_orderkey AS run_id, k AS entry, o_custkey + k AS bundle_key, CASE WHEN o_orderkey % 3 = 0 THEN 'selected' ELSE 'auto' END AS mode, o_orderkey % 10 = 1 AS force FROM orders, range(3) r(k)),
 h AS (SELECT run_id, arg_min(c.bundle_key, entry) AS hit_key, min(entry) AS hit_entry FROM c JOIN v ON v.bundle_key = c.bundle_key WHERE NOT force AND servable AND (mode <> 'selected' OR v.bundle_key % 2 > 0) GROUP BY run_id), p AS (SELECT o_orderkey AS run_id, min(k) AS open_entry FROM orders, range(3) r(k) WHERE (o_orderkey + k) % 4 = 0 GROUP BY ALL)
 SELECT o_orderkey AS run_id, CASE WHEN hit_key IS NOT NULL THEN 'cache' WHEN open_entry IS NOT NULL THEN 'reader' ELSE 'chain_exhausted' END AS answer, coalesce(hit_entry, open_entry) AS entry, hit_key FROM orders LEFT JOIN h ON h.run_id = o_orderkey LEFT JOIN p ON p.run_id = o_orderkey""")
 def cache_resolution(spark, sf_dir):
     o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), "o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("entry"))
-    candidates = o.select("run_id", "entry", ((F.col("o_custkey") + F.col("entry") * 7) % 1500).alias("bundle_key"), F.when(F.col("run_id") % 3 == 0, "selected").otherwise("auto").alias("mode"), (F.col("run_id") % 10 == 1).alias("force"))
+    candidates = o.select("run_id", "entry", (F.col("o_custkey") + F.col("entry")).alias("bundle_key"), F.when(F.col("run_id") % 3 == 0, "selected").otherwise("auto").alias("mode"), (F.col("run_id") % 10 == 1).alias("force"))
     servable = store.bundle_verdicts(b.bundles(spark, sf_dir), b.generations(spark, sf_dir)).where("servable").select("bundle_key", (F.col("bundle_key") % 2).alias("readings"))
     return store.resolve_from_cache(candidates, servable, o.select("run_id", "entry", ((F.col("run_id") + F.col("entry")) % 4 == 0).alias("answered")))
 
@@ -369,12 +341,6 @@ def duplicate_sources(spark, sf_dir):
     return identity.duplicate_sources(d, source="doc_id")
 
 
-@query()
-def sampled_fingerprints(spark, sf_dir):
-    d = b.table(spark, sf_dir, "documents").withColumn("content", F.encode(F.repeat("text", 40), "UTF-8"))
-    return d.select("doc_id", identity.sampled_fingerprint(F.col("content"), F.octet_length("content"), F.col("n_chars")).alias("fingerprint"))
-
-
 @query("SELECT sha256('labels:' || string_agg(sha256(source || chr(0) || coalesce(text, '')), ':' ORDER BY doc_id)) AS digest FROM documents")
 def corpus_digest(spark, sf_dir):
     return identity.corpus_digest(b.table(spark, sf_dir, "documents"), "labels", "doc_id", "source", "text")
@@ -402,11 +368,22 @@ def related_links(spark, sf_dir):
     return links.extract_links(described(spark, sf_dir).drop("source_id").withColumnRenamed("page_id", "source_id"), "source_id", "text", redact=False).select("source_id", "url", "reason")
 
 
-@query("""SELECT page_id, 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS video_id, CASE WHEN page_id % 3 <> 1 THEN 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') END AS certain_id, CASE page_id % 3 WHEN 0 THEN 'https://www.youtube.com/watch?v=v' || lpad(CAST(page_id AS VARCHAR), 10, '0') WHEN 1 THEN 'https://m.youtube.com/watch?v=v' || lpad(CAST(page_id AS VARCHAR), 10, '0') || '&list=x' ELSE 'https://youtu.be/v' || lpad(CAST(page_id AS VARCHAR), 10, '0') END AS plain FROM pages""")
+@query(r"""WITH v AS (SELECT page_id, left(md5(coalesce(url, '')), 9 + page_id % 3) AS id, page_id % 7 AS k FROM pages),
+u AS (SELECT page_id, CASE k WHEN 0 THEN 'https://www.youtube.com/watch?v=' || id || '&t=90s' WHEN 1 THEN 'https://m.youtube.com/watch?start=3&v=' || id || '&list=x' WHEN 2 THEN 'https://youtu.be/' || id || '?t=4#t=5' WHEN 3 THEN 'https://youtube.com/shorts/' || id WHEN 4 THEN 'https://youtube.com/watch?v=' || id || '&v=' || id WHEN 5 THEN 'https://vimeo.com/watch?v=' || id || '&t=1' ELSE 'https://music.youtube.com/embed/' || id || '/x' END AS url FROM v),
+x AS (SELECT *, regexp_extract(url, '^https://([^/]+)', 1) AS host, string_split(regexp_extract(url, '^https://[^/]+/([^?#]*)', 1), '/') AS path, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '') AS args FROM u),
+y AS (SELECT *, host IN ('youtube.com', 'www.youtube.com', 'm.youtube.com', 'youtu.be', 'music.youtube.com') AS known, list_transform(list_filter(args, lambda q: starts_with(q, 'v=')), lambda q: q[3:]) AS vs, list_filter(args, lambda q: NOT regexp_matches(q, '^(t|start|end|time_continue)=')) AS kept FROM x),
+z AS (SELECT *, CASE WHEN host = 'youtu.be' THEN path[1] WHEN path[1] IN ('shorts', 'embed', 'live', 'v') AND len(path) >= 2 THEN path[2] ELSE vs[1] END AS found, CASE WHEN host = 'youtu.be' THEN CASE WHEN len(path) = 1 THEN path[1] END WHEN path[1] IN ('shorts', 'embed', 'live', 'v') THEN CASE WHEN len(path) = 2 THEN path[2] END WHEN len(vs) = 1 THEN vs[1] END AS sure FROM y)
+SELECT page_id, CASE WHEN known THEN nullif(found, '') END AS video_id, CASE WHEN known AND len(list_filter(args, lambda q: starts_with(q, 'list='))) = 0 AND regexp_matches(sure, '^[0-9A-Za-z_-]{11}$') THEN sure END AS certain_id,
+CASE WHEN known AND len(kept) < len(args) THEN regexp_extract(url, '^[^?#]*') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || CASE WHEN regexp_matches(url, '#t=') THEN '' ELSE regexp_extract(url, '#.*$') END ELSE url END AS plain FROM z""")
 def video_urls(spark, sf_dir):
-    k = F.col("page_id")
-    v = F.concat(F.lit("v"), F.lpad(k.cast("string"), 10, "0"))
-    url = F.when(k % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), v, F.lit("&t=90s"))).when(k % 3 == 1, F.concat(F.lit("https://m.youtube.com/watch?start=3&v="), v, F.lit("&list=x"))).otherwise(F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=4#t=5")))
+    """Ids of nine to eleven characters from the pages' urls in seven shapes of video urls."""
+    k = F.col("page_id") % 7
+    v = F.expr("left(md5(coalesce(url, '')), cast(9 + page_id % 3 as int))")
+    shapes = [("https://www.youtube.com/watch?v=", "&t=90s"), ("https://m.youtube.com/watch?start=3&v=", "&list=x"), ("https://youtu.be/", "?t=4#t=5"), ("https://youtube.com/shorts/", ""), None, ("https://vimeo.com/watch?v=", "&t=1"), ("https://music.youtube.com/embed/", "/x")]
+    url = F.concat(F.lit("https://youtube.com/watch?v="), v, F.lit("&v="), v)
+    for i, shape in enumerate(shapes):
+        if shape:
+            url = F.when(k == i, F.concat(F.lit(shape[0]), v, F.lit(shape[1]))).otherwise(url)
     return b.table(spark, sf_dir, "pages").select("page_id", links.video_id(url).alias("video_id"), links.certain_video_id(url).alias("certain_id"), links.plain_video_url(url).alias("plain"))
 
 
@@ -448,41 +425,25 @@ def compared_words(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", F.size(text.compared_words(t)).cast("long").alias("words"), text.claims_text(t).alias("claims"))
 
 
-@query()
-def capped_texts(spark, sf_dir):
-    return b.table(spark, sf_dir, "documents").select("doc_id", text.capped(redaction.redacted(F.col("text")), 2048).alias("text"))
-
-
-@query()
-def prompt_contexts(spark, sf_dir):
-    w = timeline.transcript_windows(b.frames(spark, sf_dir), b.segments(spark, sf_dir))
-    return w.select("source_id", "frame_index", grounding.prompt_context(F.col("window")).alias("c")).select("source_id", "frame_index", "c.block", "c.truncated")
-
-
 def replies(spark, sf_dir):
     d = b.table(spark, sf_dir, "documents")
     k = F.col("doc_id")
-    body = F.to_json(F.struct(F.left("text", F.lit(80)).alias("verbatim_text"), F.when(k % 3 == 0, "SLIDE").otherwise("poster").alias("frame_kind"), F.lit("High").alias("text_confidence"), (k % 2 == 0).alias("adds_information"), F.lit("says {more}").alias("reason")))
+    body = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("verbatim_text"), F.when(k % 3 == 0, "SLIDE").otherwise("poster").alias("frame_kind"), F.lit("High").alias("text_confidence"), (k % 2 == 0).alias("adds_information"), F.lit("says {more}").alias("reason")))
     made = F.when(k % 6 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 6 == 1, F.concat(F.lit("Sure: "), body, F.lit(" done }"))).when(k % 6 == 2, "{}").when(k % 6 == 3, "no").otherwise(body)
-    return d.select("doc_id", made.alias("reply"), F.when(k % 10 == 9, "local_vision_timeout").alias("code"), F.col("text").alias("ocr_text"), (k % 4 != 0).alias("wants_salience"))
+    return d.select("doc_id", made.alias("reply"), F.when(k % 10 == 9, "local_vision_timeout").alias("code"), F.expr("left(coalesce(text, ''), cast(floor(length(text) / 3) as int))").alias("ocr_text"), (k % 4 != 0).alias("wants_salience"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'local_vision_timeout' WHEN doc_id % 6 IN (2, 3) THEN 'local_vision_malformed_response' END AS warning_code, CASE WHEN doc_id % 10 <> 9 AND doc_id % 6 NOT IN (2, 3) THEN CASE WHEN doc_id % 3 = 0 THEN 'slide' ELSE '' END END AS frame_kind,
-CASE WHEN doc_id % 10 <> 9 AND doc_id % 6 NOT IN (2, 3) AND doc_id % 4 <> 0 THEN doc_id % 2 = 0 END AS adds_information FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS v, left(coalesce(text, ''), length(text) // 3) AS o, doc_id % 10 = 9 AS late, doc_id % 6 IN (2, 3) OR trim(coalesce(text, ''), ' ') = '' AS bad FROM documents),
+k AS (SELECT *, list_distinct(regexp_extract_all(lower(v), '[a-z0-9]{2,}')) AS a, list_distinct(regexp_extract_all(lower(o), '[a-z0-9]{2,}')) AS b FROM d), q AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(a) END AS overlap FROM k)
+SELECT doc_id, CASE WHEN late THEN 'local_vision_timeout' WHEN bad THEN 'local_vision_malformed_response' END AS warning_code, CASE WHEN NOT late AND NOT bad THEN CASE WHEN doc_id % 3 = 0 THEN 'slide' ELSE '' END END AS frame_kind, CASE WHEN NOT late AND NOT bad AND doc_id % 4 <> 0 THEN doc_id % 2 = 0 END AS adds_information,
+CASE WHEN late OR bad THEN 'ungrounded' WHEN overlap >= 0.5 THEN 'corroborated' WHEN overlap IS NOT NULL THEN 'weak' WHEN len(a) >= 4 THEN 'self_report' WHEN len(a) > 0 OR len(b) > 0 THEN 'weak' ELSE 'self_report' END AS level, CASE WHEN NOT late AND NOT bad THEN round(overlap, 6) END AS text_overlap,
+CASE WHEN NOT late AND NOT bad THEN length(trim(v, ' ')) END AS chars FROM q""")
 def frame_outcomes(spark, sf_dir):
-    return grounding.frame_outcomes(replies(spark, sf_dir)).select("doc_id", "warning_code", "reading.frame_kind", "salience.adds_information")
+    found = grounding.frame_outcomes(replies(spark, sf_dir))
+    return found.select("doc_id", "warning_code", "reading.frame_kind", "salience.adds_information", "grounding.level", F.round("grounding.text_overlap", 6).alias("text_overlap"), F.length("reading.verbatim_text").cast("long").alias("chars"))
 
 
-@query()
-def documents_rendered(spark, sf_dir):
-    s, f = b.segments(spark, sf_dir), b.frames(spark, sf_dir)
-    shown = f.withColumns({"relative_path": F.format_string("frames/frame_%04d.png", "frame_index"), "extracted_text": F.when(F.col("frame_index") % 2 == 0, "on screen"), "grounding": F.struct(F.lit("weak").alias("level"))})
-    sources = s.select("source_id").distinct().withColumn("title", F.concat(F.lit("Talk "), F.col("source_id").cast("string")))
-    found = links.extract_links(described(spark, sf_dir), "source_id", "text")
-    return documents.render_filtered(sources, s, shown, b.warnings(spark, sf_dir).join(sources.select("source_id"), "source_id", "left_semi"), found.join(sources.select("source_id"), "source_id", "left_semi"))
-
-
-@query(f"""WITH {b.PROGRESS_SQL}, n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, sequence) AS nx FROM p) SELECT job_id, sequence, 'E_STUCK' AS code, round(epoch(nx) - epoch(ts), 3) AS stalled_sec FROM n WHERE epoch(nx) - epoch(ts) >= 3600 AND status NOT IN ('completed', 'failed')""")
+@query(f"""WITH {b.PROGRESS_SQL}, {b.ADVANCES_SQL}, n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, sequence) AS nx FROM adv) SELECT job_id, sequence, 'E_STUCK' AS code, round(epoch(nx) - epoch(ts), 3) AS stalled_sec FROM n WHERE epoch(nx) - epoch(ts) >= 3600 AND status NOT IN ('completed', 'failed')""")
 def stalls(spark, sf_dir):
     return stream.stalls(b.progress(spark, sf_dir), 3600.0).withColumn("stalled_sec", F.round("stalled_sec", 3))
 
@@ -508,22 +469,21 @@ def progress_log(spark, sf_dir):
     return logged.groupBy("user_id").agg(F.count("*").alias("lines"), F.count_if(F.col("kind") == "progress").alias("progress"), F.count_if(F.col("kind") == "error").alias("errors"))
 
 
-@query()
-def manifests_round_trip(spark, sf_dir):
-    s, f = b.segments(spark, sf_dir), b.frames(spark, sf_dir)
-    sources = s.groupBy("source_id").agg(F.max("end").alias("duration_sec"))
-    found = links.extract_links(described(spark, sf_dir), "source_id", "text").withColumn("pos", F.col("line_no") * 1000 + F.col("pos")).drop("line_no")
-    stored = recordings.manifest_rows(sources, f.drop("adds_information").withColumn("relative_path", F.lit("frames/frame_0001.png")), found, folds.fold_warnings(b.warnings(spark, sf_dir)), s)
-    back = recordings.manifest_tables(stored)["frames"]
-    return back.groupBy("source_id").agg(F.count("*").alias("frames"), F.max("timestamp_sec").alias("last"))
-
-
-@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'pipeline_version' WHEN 1 THEN 'frame_count' WHEN 2 THEN 'frames' WHEN 3 THEN 'bundle_key' WHEN 4 THEN 'provenance keys' END AS problem FROM customer")
+@query(r"""WITH k AS (SELECT c_custkey, c_custkey % 9 AS k, '"title": "' || replace(c_name, '"', '') || '"' AS title FROM customer),
+m AS (SELECT c_custkey, '{"pipeline_version": ' || CASE WHEN k = 0 THEN 'true' ELSE '3' END || ', "duration_sec": 1.5, "frame_count": ' || CASE WHEN k = 1 THEN '2' ELSE '1' END || ', "frames": [{"relative_path": "' || CASE WHEN k = 2 THEN '/etc/x.png' ELSE 'frames/frame_0001.png' END || '"}]' || CASE WHEN k = 3 THEN '' ELSE ', "bundle_key": "b"' END ||
+  ', "provenance": {' || CASE k WHEN 4 THEN '"author": 1' WHEN 5 THEN '"title": 7' WHEN 6 THEN '"canonical_url": "https://youtu.be/abcdefghijk"' WHEN 7 THEN title || ', "processed_at": "yesterday"' ELSE title || ', "canonical_url": "https://www.youtube.com/watch?v=abcdefghijk", "processed_at": "2024-01-01T00:00:00Z"' END || '}}' AS j FROM k)
+SELECT c_custkey, CASE WHEN json_type(j, '$.pipeline_version') NOT IN ('BIGINT', 'UBIGINT') THEN 'pipeline_version' WHEN json_type(j, '$.bundle_key') IS NULL THEN 'bundle_key' WHEN CAST(json_extract(j, '$.frame_count') AS INT) <> json_array_length(j, '$.frames') THEN 'frame_count'
+WHEN NOT regexp_matches(json_extract_string(j, '$.frames[0].relative_path'), '^frames/frame_[0-9]{4,}\.png$') THEN 'frames' WHEN json_keys(j, '$.provenance') <> list_filter(json_keys(j, '$.provenance'), lambda x: x IN ('title', 'channel', 'description', 'upload_date', 'canonical_url', 'duration_sec', 'processed_at')) THEN 'provenance keys'
+WHEN json_type(j, '$.provenance.title') <> 'VARCHAR' THEN 'provenance text' WHEN NOT regexp_matches(json_extract_string(j, '$.provenance.canonical_url'), '^https://www\.youtube\.com/watch\?v=[0-9A-Za-z_-]{11}$') THEN 'provenance url'
+WHEN NOT regexp_matches(json_extract_string(j, '$.provenance.processed_at'), '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$') THEN 'provenance time' END AS problem FROM m""")
 def manifest_problems(spark, sf_dir):
-    k = F.col("c_custkey") % 6
+    k = F.col("c_custkey") % 9
+    title = F.concat(F.lit('"title": "'), F.replace("c_name", F.lit('"'), F.lit("")), F.lit('"'))
+    known = F.concat(title, F.lit(', "canonical_url": "https://www.youtube.com/watch?v=abcdefghijk", "processed_at": "2024-01-01T00:00:00Z"'))
+    facts = F.when(k == 4, '"author": 1').when(k == 5, '"title": 7').when(k == 6, '"canonical_url": "https://youtu.be/abcdefghijk"').when(k == 7, F.concat(title, F.lit(', "processed_at": "yesterday"'))).otherwise(known)
     doc = F.concat(
         F.lit('{"pipeline_version": '), F.when(k == 0, "true").otherwise("3"), F.lit(', "tool_version": "1", "source_type": "x", "source_resolved_path": "p", "duration_sec": 1.5, "options": {}, "transcript_present": true, "warning_count": 0, "warnings": [], "frame_count": '), F.when(k == 1, "2").otherwise("1"),
-        F.lit(', "frames": [{"relative_path": "'), F.when(k == 2, "/etc/x.png").otherwise("frames/frame_0001.png"), F.lit('"}]'), F.when(k == 3, "").otherwise(', "bundle_key": "b"'), F.when(k == 4, ', "provenance": {"author": 1}').otherwise(', "provenance": {"title": "t"}'), F.lit("}"),
+        F.lit(', "frames": [{"relative_path": "'), F.when(k == 2, "/etc/x.png").otherwise("frames/frame_0001.png"), F.lit('"}]'), F.when(k == 3, "").otherwise(', "bundle_key": "b"'), F.lit(', "provenance": {'), facts, F.lit("}}"),
     )
     return store.manifest_problem(b.table(spark, sf_dir, "customer").select("c_custkey", doc.alias("manifest_json"))).select("c_custkey", "problem")
 
@@ -546,3 +506,6 @@ def inference_hook(spark, sf_dir):
 def redaction_false_positives(spark, sf_dir):
     d = b.table(spark, sf_dir, "documents")
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.when(F.array_contains(redaction.mark_kinds(redaction.redacted(F.col("text"))), "assigned-secret"), 1).otherwise(0)).alias("marked"))
+
+
+from . import record_queries, stream_queries  # noqa: E402, F401 - they register more

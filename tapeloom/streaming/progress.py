@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import TERMINAL, occurrences_of
@@ -31,11 +34,12 @@ def windowed_counts(warnings: DataFrame, delay: str = "10 minutes", width: str =
     return counted.select(F.col("w.start").alias("window_start"), "stage", "code", "occurrences")
 
 
-def live_progress(events: DataFrame, weights: dict[str, float]) -> DataFrame:
+def live_progress(events: DataFrame, weights: dict[str, float], idle_sec: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
     """The overall percent of each job after each batch; events at or before the last sequence seen are ignored.
 
-    Keyed state of one job: its mechanisms' percents.  A job whose mechanisms have all
-    ended gives up its state, and one that falls silent for an hour too.
+    Keyed state of one job: the last sequence and its mechanisms' percents.  It is kept
+    until the watermark passes the job's last event by ``idle_sec``, also after the end,
+    so an event that is delivered again starts nothing anew.
     """
     names, total = list(weights), sum(weights.values())
 
@@ -45,54 +49,113 @@ def live_progress(events: DataFrame, weights: dict[str, float]) -> DataFrame:
             return
         last, percents, ended = state.get if state.exists else (-1, [0.0] * len(names), [False] * len(names))
         percents, ended = list(percents), list(ended)
-        for row in pd.concat(list(batches)).sort_values("sequence").itertuples():
-            if row.sequence <= last or row.mechanism not in weights:
+        rows = pd.concat(list(batches)).sort_values("sequence")
+        for row in rows.itertuples():
+            if row.sequence <= last:
                 continue
-            last, i = row.sequence, names.index(row.mechanism)
+            last = row.sequence
+            if row.mechanism not in weights:
+                continue
+            i = names.index(row.mechanism)
             ended[i] = row.status in TERMINAL
-            percents[i] = 100.0 if ended[i] else 0.0 if pd.isna(row.percent) else min(100.0, max(0.0, float(row.percent)))
+            percents[i] = 100.0 if ended[i] else 0.0 if pd.isna(row.percent) else round(min(100.0, max(0.0, float(row.percent))), 3)
         overall = 100.0 if all(ended) else round(sum(p * w for p, w in zip(percents, weights.values(), strict=True)) / total, 3)
-        if all(ended):
-            state.remove()
-        else:
-            state.update((int(last), percents, ended))
-            state.setTimeoutDuration(3_600_000)
+        state.update((int(last), percents, ended))
+        state.setTimeoutTimestamp(max(int((rows["ts"].max().timestamp() + idle_sec) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "sequence": [int(last)], "overall_percent": [overall]})
 
-    return events.groupBy("job_id").applyInPandasWithState(run, "job_id string, sequence long, overall_percent double", "last long, percents array<double>, ended array<boolean>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(run, "job_id string, sequence long, overall_percent double", "last long, percents array<double>, ended array<boolean>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def advances(events: DataFrame) -> DataFrame:
+    """Events that say something new of their mechanism: another status or percent than the event before."""
+    own = Window.partitionBy("job_id", "mechanism").orderBy("ts", "sequence")
+    before = F.lag(F.struct("status", "percent")).over(own)
+    return events.withColumn("__before", before).where(F.col("__before").isNull() | ~F.struct("status", "percent").eqNullSafe(F.col("__before"))).drop("__before")
 
 
 def stalls(events: DataFrame, stall_sec: float = STALL_SEC) -> DataFrame:
-    """Batch form: silences of a job of ``stall_sec`` or more before its next event, unless it had ended."""
-    from pyspark.sql import Window
+    """Batch form: times of ``stall_sec`` or more without an advance of a job before its next one, unless it had ended.
 
+    An event that repeats its mechanism's state is no advance.
+    """
     own = Window.partitionBy("job_id").orderBy("ts", "sequence")
-    rows = events.withColumn("next_ts", F.lead("ts").over(own)).withColumn("stalled_sec", (_micros("next_ts") - _micros("ts")) / 1e6)
+    rows = advances(events).withColumn("next_ts", F.lead("ts").over(own)).withColumn("stalled_sec", (_micros("next_ts") - _micros("ts")) / 1e6)
     return rows.where((F.col("stalled_sec") >= stall_sec) & ~F.coalesce(F.col("status").isin(TERMINAL), F.lit(False))).select("job_id", "sequence", F.lit("E_STUCK").alias("code"), "stalled_sec")
 
 
 def stream_stalls(events: DataFrame, stall_sec: float = STALL_SEC, delay: str = "1 minute") -> DataFrame:
-    """Streaming form: one ``E_STUCK`` row when event time passes a job's last event by ``stall_sec``; an end clears the job."""
+    """Streaming form of :func:`stalls`: one ``E_STUCK`` row a stall, when event time passes the last advance by ``stall_sec``.
+
+    The row comes with the next advance, or before that when the watermark shows the
+    silence, then with the time so far.  Only the latest event's end stops a job's clock;
+    a job that goes on afterwards is watched again.  State is kept until a job has been
+    silent ten times as long.
+    """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # last: time of the last advance; told: whether its stall has been reported.
+        last, sequence, ended, told, names, marks = state.get if state.exists else (-1, -1, True, True, [], [])
+        seen, out = dict(zip(names, marks, strict=True)), []
         if state.hasTimedOut:
-            last, sequence = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "sequence": [int(sequence)], "code": ["E_STUCK"], "stalled_sec": [(state.getCurrentWatermarkMs() - last) / 1000]})
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "sequence"])
-        if (rows["status"].isin(TERMINAL)).any():
-            if state.exists:
+            if ended or told:
                 state.remove()
-            return
-        last = int(rows["ts"].max().timestamp() * 1000)
-        sequence = int(rows["sequence"].iloc[-1])
-        if state.exists:
-            last, sequence = max((last, sequence), tuple(state.get))
-        state.update((last, sequence))
-        state.setTimeoutTimestamp(max(last + int(stall_sec * 1000), state.getCurrentWatermarkMs() + 1))
+                return
+            out.append((sequence, (state.getCurrentWatermarkMs() - last) / 1000))
+            told = True
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "sequence"])
+            for t, n, mechanism, status, percent in zip(rows["ts"], rows["sequence"], rows["mechanism"], rows["status"], rows["percent"], strict=True):
+                mark, ms = f"{status}|{percent}", int(t.value // 1_000_000) if hasattr(t, "value") else int(t.timestamp() * 1000)
+                if seen.get(mechanism) == mark:
+                    continue
+                seen[mechanism] = mark
+                if (ms, n) < (last, sequence):
+                    continue
+                if not ended and not told and ms - last >= stall_sec * 1000:
+                    out.append((sequence, (ms - last) / 1000))
+                last, sequence, ended, told = ms, int(n), status in TERMINAL, False
+        state.update((int(last), int(sequence), bool(ended), bool(told), list(seen), list(seen.values())))
+        wait = stall_sec * (10 if ended or told else 1)
+        state.setTimeoutTimestamp(max(last + int(wait * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job_id": [key[0]] * len(out), "sequence": [int(n) for n, _ in out], "code": ["E_STUCK"] * len(out), "stalled_sec": [float(t) for _, t in out]})
 
     marked = events.withWatermark("ts", delay)
-    return marked.groupBy("job_id").applyInPandasWithState(run, "job_id string, sequence long, code string, stalled_sec double", "last long, sequence long", "append", GroupStateTimeout.EventTimeTimeout)
+    state = "last long, sequence long, ended boolean, told boolean, names array<string>, marks array<string>"
+    return marked.groupBy("job_id").applyInPandasWithState(run, "job_id string, sequence long, code string, stalled_sec double", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_job_status(events: DataFrame, stall_sec: float = STALL_SEC, delay: str = "1 minute") -> DataFrame:
+    """Streaming form of :func:`job_status`: a row whenever a job's status changes, in the order of ``updated_at`` and ``seq``.
+
+    A running job is abandoned once the watermark passes its last record by ``stall_sec``;
+    a later record takes that back.  Records that come late do not count.  A job's state
+    goes when it has been silent ten times as long.  Ids outside the domain are left out.
+    """
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, seq, recorded, shown = state.get if state.exists else (-1, -1, "", "")
+        status = "abandoned"
+        if state.hasTimedOut:
+            if shown != "running":
+                state.remove()
+                return
+        else:
+            rows = pd.concat(list(batches)).sort_values(["updated_at", "seq"])
+            t, n = rows["updated_at"].iloc[-1], int(rows["seq"].iloc[-1])
+            ms = int(t.timestamp() * 1000)
+            if (ms, n) > (at, seq):
+                at, seq, recorded = ms, n, rows["status"].iloc[-1]
+                status = recorded
+            else:
+                status = shown
+        changed = status != shown
+        state.update((int(at), int(seq), recorded, status))
+        wait = stall_sec * (1 if status == "running" else 10)
+        state.setTimeoutTimestamp(max(at + int(wait * 1000), state.getCurrentWatermarkMs() + 1))
+        if changed:
+            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "updated_ms": [int(at)], "seq": [int(seq)]})
+
+    good = events.where(F.col("job_id").rlike(JOB_ID)).withWatermark("updated_at", delay)
+    return good.groupBy("job_id").applyInPandasWithState(run, "job_id string, status string, updated_ms long, seq long", "at long, seq long, recorded string, shown string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_status(events: DataFrame, now: str | None = None, stall_sec: float = STALL_SEC) -> DataFrame:
@@ -115,14 +178,26 @@ def bad_job_ids(events: DataFrame) -> DataFrame:
     return events.where(~F.coalesce(F.col("job_id").rlike(JOB_ID), F.lit(False)))
 
 
-def stream_breaker(attempts: DataFrame, limit: int = 3) -> DataFrame:
-    """Transitions of each run's breaker: ``open`` once, and ``closed`` whenever a success clears failures before that."""
+def stream_breaker(attempts: DataFrame, limit: int = 3, time: str | None = None, idle_sec: float = 86_400.0, delay: str = "10 minutes") -> DataFrame:
+    """Transitions of each run's breaker: ``open`` once, and ``closed`` whenever a success clears failures before that.
+
+    Attempts at or before the last one seen are ignored.  With a ``time`` column a run's
+    state goes when the watermark passes its last attempt by ``idle_sec``; without one it
+    is kept, three numbers a run.
+    """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, opened = state.get if state.exists else (0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, failures, opened = state.get if state.exists else (-1, 0, False)
         out = []
-        for row in pd.concat(list(batches)).sort_values("attempt").itertuples():
+        rows = pd.concat(list(batches)).sort_values("attempt")
+        for row in rows.itertuples():
+            if row.attempt <= last:
+                continue
+            last = row.attempt
             if opened:
-                break
+                continue
             code = None if pd.isna(row.code) else row.code
             failures += code in TRANSPORT
             if code in IMMEDIATE or (code in TRANSPORT and failures >= limit):
@@ -131,7 +206,36 @@ def stream_breaker(attempts: DataFrame, limit: int = 3) -> DataFrame:
             elif (code is None or code in DELIVERED) and failures:
                 failures = 0
                 out.append((key[0], int(row.attempt), "closed", code))
-        state.update((int(failures), bool(opened)))
+        state.update((int(last), int(failures), bool(opened)))
+        if time:
+            state.setTimeoutTimestamp(max(int((rows[time].max().timestamp() + idle_sec) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["run_id", "attempt", "state", "code"])
 
-    return attempts.groupBy("run_id").applyInPandasWithState(run, "run_id string, attempt long, state string, code string", "failures int, opened boolean", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    marked = attempts.withWatermark(time, delay) if time else attempts
+    return marked.groupBy("run_id").applyInPandasWithState(run, "run_id string, attempt long, state string, code string", "last long, failures int, opened boolean", "append", timeout)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``, or a local one where the session runs on this machine alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tapeloom-stream-')}"
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """All rows that a stream gives for the input at hand, as a table with the number of their ``batch``.
+
+    Each batch is written to a folder of its own, so one that is run again replaces itself.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark)
+    keep = lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/rows/batch={i}")
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/rows")

@@ -201,3 +201,39 @@ def test_transcripts_flatten(spark):
     d = spark.createDataFrame([("s", doc), ("e", '{"segments": []}')], "source_id string, document string")
     got = sorted(((r.source_id, r.seg_no, r.text) for r in recordings.segments_of(d).collect()), key=str)
     assert got == [("e", None, None), ("s", 0, "a"), ("s", 1, "b")]
+
+
+def test_schedule_of_an_odd_duration_stays_inside():
+    got = timeline.schedule([3.0], 20.0005, 1, 7)
+    assert got == [3.0, 10.0, 17.0] and timeline.schedule([9.0], 10.07, 1, 1.5)[-1] <= 10.07
+    assert timeline.schedule([50.0], 60, 1, 20) == [0.0, 20.0, 40.0, 50.0]
+
+
+def test_windows_with_endless_and_very_long_segments(spark):
+    s = spark.createDataFrame([("a", 0, 0.0, float("inf"), "endless"), ("a", 1, 0.0, 1e6, "long"), ("a", 2, 95.0, 96.0, "near"), ("a", 3, None, 1.0, "none")], "source_id string, seg_no int, start double, end double, text string")
+    f = spark.createDataFrame([("a", 0, 100.0), ("a", 1, 999_990.0), ("a", 2, 2e6), ("a", 3, float("nan"))], "source_id string, frame_index int, timestamp_sec double")
+    got = {r.frame_index: r.window for r in timeline.transcript_windows(f, s).collect()}
+    assert got == {0: "long near", 1: "long", 2: "", 3: ""}
+
+
+def test_jobs_of_unknown_mechanisms_stay(spark):
+    e = spark.createDataFrame([("a", "m1", 1, "running", 50.0), ("b", "zz", 1, "running", 50.0)], "job_id string, mechanism string, sequence long, status string, percent double")
+    w = spark.createDataFrame([("m1", 1.0), ("m2", 1.0)], "mechanism string, weight double")
+    assert {r.job_id: r.overall_percent for r in folds.overall_progress(e, w).collect()} == {"a": 25.0, "b": 0.0}
+    ended = {r.job_id: r.ended for r in folds.summary_has_ended(folds.progress_summary(e, w, True)).collect()}
+    assert ended == {"a": False, "b": True}
+
+
+def test_replies_with_objects_inside_prose():
+    assert grounding.balanced_object('say {"a": "}{"} done }') == '{"a": "}{"}'
+    assert grounding.balanced_object("{" * 100_000) is None and grounding.balanced_object("none") is None and grounding.balanced_object('{"a": 1') is None
+
+
+def test_stored_generations_are_published_once(spark, tmp_path):
+    rows, pointers = str(tmp_path / "rows"), str(tmp_path / "pointers")
+    assert store.pointers_of(spark, pointers).count() == 0
+    d = spark.createDataFrame([("x", 1), ("y", 2)], "bundle_key string, n int")
+    for i, part in ((0, d), (1, d.where("n = 1")), (1, d.where("n = 1"))):
+        store.publish_batch(part, i, rows, pointers)
+    assert {r.bundle_key: r.active for r in store.pointers_of(spark, pointers).collect()} == {"x": "g2", "y": "g1"}
+    assert sorted((r.bundle_key, r.name) for r in spark.read.parquet(rows).collect()) == [("x", "g1"), ("x", "g2"), ("y", "g1")]

@@ -31,17 +31,37 @@ def test_live_progress(spark, streamed):
     a = events(spark, [("j", 1, "m1", "running", 50.0, "2024-01-01 00:00:00"), ("j", 2, "m2", "running", 20.0, "2024-01-01 00:00:01")])
     b = events(spark, [("j", 1, "m1", "running", 10.0, "2024-01-01 00:00:00"), ("j", 3, "m1", "completed", None, "2024-01-01 00:00:03")])
     c = events(spark, [("j", 4, "m2", "failed", None, "2024-01-01 00:00:04")])
-    got = streamed([a, b, c], lambda s: progress.live_progress(s, {"m1": 1.0, "m2": 3.0}), "update")
-    assert max(r.overall_percent for r in got) == 100.0 and all(0 <= r.overall_percent <= 100 for r in got)
-    assert any(r.sequence == 4 for r in got)
+    d = events(spark, [("j", 3, "m1", "running", 5.0, "2024-01-01 00:00:03")])
+    got = streamed([a, b, c, d], lambda s: progress.live_progress(s, {"m1": 1.0, "m2": 3.0}), "update")
+    # The last event is delivered again after the end: nothing starts anew.
+    assert sorted((r.batch, r.sequence, r.overall_percent) for r in got) == [(0, 2, 27.5), (1, 3, 40.0), (2, 4, 100.0), (3, 4, 100.0)]
 
 
-def test_stall_and_breaker(spark, streamed):
-    a = events(spark, [("quiet", 1, "m", "running", 1.0, "2024-01-01 00:00:00"), ("ended", 1, "m", "completed", 1.0, "2024-01-01 00:00:00")])
-    b = events(spark, [("other", 1, "m", "running", 1.0, "2024-01-01 01:00:00")])
-    c = events(spark, [("other", 2, "m", "running", 1.0, "2024-01-01 01:00:10")])
+def test_stalls_of_quiet_ended_and_resumed_jobs(spark, streamed):
+    run = lambda job, n, at, p=1.0, status="running", m="m": (job, n, m, status, p, f"2024-01-01 {at}")
+    a = events(spark, [run("quiet", 1, "00:00:00"), run("ended", 1, "00:00:00", status="completed"), run("same", 1, "00:00:00"), run("same", 2, "00:01:00"), run("half", 1, "00:00:00", m="x", status="completed"), run("half", 2, "00:00:01")])
+    b = events(spark, [run("gap", 1, "00:00:30"), run("gap", 2, "00:03:00", 2.0), run("other", 1, "01:00:00")])
+    c = events(spark, [run("other", 2, "01:00:10", 2.0), run("quiet", 2, "01:00:11", 2.0)])
     got = streamed([a, b, c], progress.stream_stalls, "append")
-    assert {r.job_id for r in got} <= {"quiet", "other"} and all(r.code == "E_STUCK" for r in got)
+    # An event that repeats the state is no advance, and one mechanism's end does not stop the clock of the others.
+    assert sorted((r.job_id, r.sequence) for r in got) == [("gap", 1), ("gap", 2), ("half", 2), ("quiet", 1), ("same", 1)]
+    assert all(r.code == "E_STUCK" and r.stalled_sec >= 90 for r in got)
+    assert [r.stalled_sec for r in got if (r.job_id, r.sequence) == ("gap", 1)] == [150.0]
+    whole = a.unionByName(b).unionByName(c)
+    assert sorted((r.job_id, r.sequence) for r in progress.stalls(whole).collect()) == [("gap", 1), ("quiet", 1)]
+
+
+def test_streamed_job_status(spark, streamed):
+    def records(rows):
+        return spark.createDataFrame(rows, "job_id string, status string, at string, seq long").withColumn("updated_at", F.col("at").cast("timestamp")).drop("at")
+
+    a = records([("a", "running", "2024-01-01 00:00:00", 1), ("b", "running", "2024-01-01 00:00:00", 1), ("Bad id", "running", "2024-01-01 00:00:00", 1)])
+    b = records([("a", "completed", "2024-01-01 00:00:05", 2), ("a", "running", "2024-01-01 00:00:01", 3), ("c", "running", "2024-01-01 00:10:00", 1)])
+    c = records([("d", "failed", "2024-01-01 00:10:05", 1)])
+    d = records([("b", "running", "2024-01-01 00:10:05", 2)])
+    got = streamed([a, b, c, d], progress.stream_job_status, "append")
+    by = {j: [r.status for r in sorted(got, key=lambda r: (r.batch, r.updated_ms)) if r.job_id == j] for j in ("a", "b", "c", "d", "Bad id")}
+    assert by == {"a": ["running", "completed"], "b": ["running", "abandoned", "running"], "c": ["running"], "d": ["failed"], "Bad id": []}
 
 
 def test_stream_breaker(spark, streamed):
@@ -51,6 +71,14 @@ def test_stream_breaker(spark, streamed):
     assert sorted((r.attempt, r.state) for r in got) == [(3, "closed"), (6, "open")]
 
 
+def test_stream_breaker_over_batches_with_times(spark, streamed):
+    t = "local_vision_timeout"
+    make = lambda rows: spark.createDataFrame(rows, "run_id string, attempt long, code string, at string").withColumn("ts", F.col("at").cast("timestamp"))
+    a, b = make([("a", 1, t, "2024-01-01"), ("a", 2, t, "2024-01-01")]), make([("a", 2, t, "2024-01-01"), ("a", 3, None, "2024-01-01"), ("a", 4, "local_vision_auth_rejected", "2024-01-01"), ("a", 5, None, "2024-01-01")])
+    got = streamed([a, b], lambda s: progress.stream_breaker(s, time="ts"), "append")
+    assert sorted((r.attempt, r.state) for r in got) == [(3, "closed"), (4, "open")]
+
+
 def test_dedupe_and_windows_equal_the_batch(spark, streamed, sf_dir):
     w = bindings.warnings(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).drop("seq", "message")
     last = w.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp"))
