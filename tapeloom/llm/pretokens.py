@@ -149,7 +149,7 @@ class Cache:
     pieces that share a hash are told apart.
     """
 
-    SLOTS_BITS, MAX_IDS, MAX_BYTES = 21, 6_000_000, 24_000_000
+    SLOTS_BITS, MAX_IDS, MAX_BYTES = 20, 2_000_000, 8_000_000
 
     def __init__(self):
         self.reset()
