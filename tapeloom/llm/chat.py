@@ -55,6 +55,12 @@ class Template:
             opening, closing = self.other[0] + self.escape(role) + self.other[1], self.other[2]
         return opening, self.escape(text), closing
 
+    def ended(self, turn: str) -> bool:
+        """Whether formatted text, begun at a turn's opening mark, has come to its closing mark; bodies hold no mark."""
+        if turn.startswith(self.other[0]):
+            return self.other[1] in turn and turn.endswith(self.other[2])
+        return any(turn.startswith(o) and len(turn) >= len(o) + len(c) and turn.endswith(c) for o, c in self.marks.values())
+
     def parse(self, turn: str) -> tuple[str, str]:
         """(role, text) of one formatted turn."""
         if turn.startswith(self.other[0]):
@@ -99,19 +105,22 @@ def format_chat(turns: DataFrame, template: Template | None = None, conversation
 
 
 def read_back(segments: DataFrame, template: Template | None = None, conversation: str = "conv_id") -> DataFrame:
-    """One row a conversation, from its formatted text alone: turns, what is under the loss, and ``valid``.
+    """One row a conversation: turns, what is under the loss, and ``valid``.
 
-    Digests run along with the segments; no conversation is held in memory.
+    Roles and texts of turns are parsed from the marks in the formatted text; ``loss`` tells
+    what is under the loss, and ``in_order`` what the state machine allowed.  Digests run
+    along with the segments; no more than a turn is held in memory.  Text behind the last
+    closing mark is no turn; an empty table gives no row.
     """
     template = template or Template()
-    rows = segments.select(F.col(conversation).alias("c"), "seq", "text", "loss", "closes", "in_order")
+    rows = segments.select(F.col(f"`{conversation}`").alias("c"), "seq", "text", "loss", "in_order")
     kind = rows.schema["c"].dataType.simpleString()
     names = ["c", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, done, now = object(), [], None
         for batch in batches:
-            for c, x, loss, closes, good in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+            for c, x, loss, good in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if c != at or now is None:
                     if now is not None:
                         done.append(_row(at, now, template))
@@ -122,8 +131,9 @@ def read_back(segments: DataFrame, template: Template | None = None, conversatio
                     plain = template.unescape(x)
                     now["loss"].update(plain.encode())
                     now["loss_chars"] += len(plain)
-                if closes:
-                    role, text = template.parse("".join(now["pieces"]))
+                turn = "".join(now["pieces"])
+                if template.ended(turn):
+                    role, text = template.parse(turn)
                     now["all"].update(f"{role}\n{text}\n".encode())
                     now["turns"] += 1
                     now["pieces"], now["role"], now["good"] = [], role, good

@@ -38,6 +38,8 @@ MAX_ROWS, MAX_BYTES = (4000, 2000), (8 << 20, 5 << 20)
 #: Words whose subwords are in one array while training, and segments that one step takes at once.
 WORDS, STEP = 10_000, 20_000
 THRESHOLD = 0.3
+#: Chance of every segment where nothing could be learnt.
+UNKNOWN = 1e-9
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,13 +140,13 @@ class Model:
 
 
 def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, dim: int = DIM, decay: float = DECAY, rates: tuple[float, float, float] = RATES, min_docs: int = MIN_DOCS, init: float = 0.1) -> Model:
-    """Jointly fits subword vectors and softmax; without rows of both labels the rate of label 1 is all it learns."""
+    """Jointly fits subword vectors and softmax; without rows of both labels nothing is learnt, and no text is predicted to be of label 1."""
     y = np.asarray(labels, dtype=np.float64)
     rate = (y.sum() + 1) / (len(y) + 2)
     prior = float(np.log(rate / (1 - rate)))
     buckets = 1 << BUCKET_BITS
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros(buckets, dtype=np.float32), prior)
+        return Model(np.zeros(buckets, dtype=np.float32), float(np.log(UNKNOWN / (1 - UNKNOWN))))
     parts = list(chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"))
     # Texts are cut slice by slice; what stays of them is a number a word.
     found = [(w.hashes, w.counts) for w in (Words(p.column(0), ALNUM, lower=True) for p in parts)]
@@ -229,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Held-out rows and rows without label or text are not learnt from; texts of any length
     are, whole, as far as the bytes reach.  Of rows with one key one is learnt from, that
     of least text hash; a key with both labels counts for each.  Without rows of both
-    labels every text gets the same score.
+    labels nothing is learnt: every text gets the same score, below the threshold.
     """
     known = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y"))
     texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text")).where((F.octet_length("__text") > 0) & ~held_out(F.col("__key")))

@@ -3,6 +3,7 @@ import struct
 
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -50,5 +51,37 @@ def test_one_row_of_each_group_stays(spark, sf_dir):
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (4, None), (5, "")], key=str)
 
 
+LONG = " ".join(f"long{i}" for i in range(30_000))
+
+
+def odd(spark, *rows):
+    made = [(k, t, None, None, len(t or ""), True, 1.0) for k, t in rows]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars int, Kept boolean, score double").repartition(3)
+
+
+def kept(docs):
+    return sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_of_odd_and_empty_tables(spark, sf_dir, stage):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").first().text
+    clean = " ".join(f"clean{i} word{i}" for i in range(30))
+    rows = [(1, clean), (1, clean), (None, clean + " x"), (None, None), (2, None), (3, ""), (4, LONG), (5, item + " " + item)]
+    got = stage(spark, odd(spark, *rows), sf_dir)
+    if stage is corpus_pipeline.encode:
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted((k is None, k or 0) for k, _ in rows)
+    else:
+        assert got.columns == corpus_pipeline.COLUMNS
+        want = {
+            "quality_rules": [r for r in rows if r[1] and len(r[1].split()) >= 20 and not base(r[1])[5]],
+            "near_duplicates": [(1, clean), (2, None), (3, ""), (4, LONG), (5, rows[-1][1]), (None, None)],
+            "decontaminate": rows[:-1],
+            "toxicity_filter": rows,  # no labelled row is here: nothing is learnt, every text has the same chance
+        }[stage.__name__]
+        assert kept(got) == sorted(want, key=str)
+    assert stage(spark, odd(spark).limit(0), sf_dir).count() == 0
+
+
 def test_registered():
     assert "pipeline" in entry.queries() and sum(q.startswith("op") for q in entry.queries()) >= 10
