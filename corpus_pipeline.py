@@ -2,7 +2,9 @@
 
 Quality rules, toxicity, near duplicates, benchmark decontamination, BPE.  The first
 four return the columns of documents for the rows that they keep; the last returns the
-encoded texts' digests.
+encoded texts' digests.  Every stage takes nulls in any column, texts of any length,
+repeated rows and an empty table (which gives an empty result), and leaves out columns
+that documents do not have, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that a rule rejects."""
+    """Drops documents that a rule rejects: also null and empty texts, which have too few words.  Repeated rows are judged alike."""
     return quality.quality(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity score reaches the threshold; learns from the labels of the documents at hand."""
+    """Drops documents whose toxicity score reaches the threshold; learns from the labels of the documents at hand.
+
+    A null or empty text has the chance of an empty segment.  Without labelled documents
+    of both kinds nothing can be learnt, so nothing is dropped.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -34,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each group: that of least id (null last), then of least text hash.
 
     Rows are told apart by a number that is written with them, so repeated rows, equal
-    ids with different texts and null ids are rows of their own.
+    ids with different texts and null ids are rows of their own.  Texts without a word
+    are like nothing, so all of them stay.
     """
     rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")))
     found = jaccard.near_duplicates(rows, key="__row")
@@ -44,13 +51,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents; a null or empty text has no words, so it stays, and repeated rows share their fate."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.find_contamination(docs, benchmark, keep=COLUMNS).where("not contaminated").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts, a row for each row; a null text counts as empty."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
