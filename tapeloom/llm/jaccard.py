@@ -9,11 +9,10 @@ Texts of one shingle set are one class; all further work is on classes.
    by three quarters share a prefix element.
 3. Likely links come from equal minimum hashes and are verified; their components are
    found.
-4. Tiles of a size band and prefix elements bring together all other pairs: in a tile, in
-   order of size, only pairs within 3/4 of each other's size, of different components,
-   and with the element early enough in both prefixes are taken, so the many pairs inside
-   a group of copies never appear, while no link is lost.  An element of very many texts
-   is cut into parts, and every two parts meet in a tile of their own.
+4. Tiles of prefix elements bring together all other pairs: in a tile, in order of size,
+   only pairs within the size band of 3/4, of different components, and with the element
+   early enough in both prefixes are taken, so the many pairs inside a group of copies
+   never appear, while no link is lost.
 5. Every candidate is checked in two steps: bits in which the two bitmaps differ bound
    the overlap from above; what is left gets an exact intersection of sorted arrays.
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, spread_join
-from .kernels import NON_SPACE, Words, buffer_of, chunks, joined, mix
+from .kernels import NON_SPACE, Words, buffer_of, chunks, mix
 from .mapping import dealt, group_count
 from .pretokens import ranges
 from .storage import written
@@ -49,10 +48,6 @@ TILE, STAR = 1_000_000, 64
 FEW = 4
 #: Bytes of text whose shingles one counting group holds, about.
 GROUP_BYTES = 16 << 20
-#: The logarithm of the texts of a prefix element from which it is cut into parts of about half as many.
-LONG_LEVEL = 12
-#: Width of a size band of tiles, as the logarithm of the size; a set near the end of one is in the next one too.
-BAND = 4 * float(np.log(4 / 3))
 _ODD = [np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for i in range(1, MIN_HASHES + 1)]
 
 
@@ -304,7 +299,7 @@ def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs
 
 
-def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, order: Broadcast[Order], most: int | None = None) -> DataFrame:
+def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, most: int | None = None) -> DataFrame:
     """(a, b, more): pairs of classes of different components that share a prefix element and are in one size band.
 
     With ``most``, a tile gives no more pairs than that of any two components; ``more``
@@ -314,39 +309,14 @@ def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, order: Broadcas
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _deal(batch, tiles, order.value)
+            yield from _deal(batch, tiles)
 
     packed = dealt(known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary"), tiles, "tile")
     found = packed.groupBy("tile").applyInArrow(lambda t: _tile(t, most), "a bigint, b bigint, more boolean")
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def band_of(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(n) / BAND).astype(np.int64)
-
-
-def lists_of(element: np.ndarray, level: np.ndarray, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, list) of all lists that the entries stand in.
-
-    A list is a size band of an element, or of two parts of a long one: any two entries of
-    one element whose sizes are within 3/4 of each other share a list.
-    """
-    # The greatest set that a set of n can link with has 4n/3 elements: at most one band further.
-    entry = np.arange(len(element))
-    further = np.flatnonzero(band_of(np.maximum(4 * n // 3, 1)) > band_of(np.maximum(n, 1)))
-    entry, band = np.concatenate([entry, further]), np.concatenate([band_of(np.maximum(n, 1)), band_of(np.maximum(n[further], 1)) + 1])
-    name = joined(element[entry], band.astype(np.uint64))
-    parts = np.left_shift(1, np.maximum(level[entry].astype(np.int64) - LONG_LEVEL + 1, 0))
-    whole = parts == 1
-    long = np.flatnonzero(~whole)
-    own = (mix(c[entry[long]].astype(np.int64).view(np.uint64)) % parts[long].astype(np.uint64)).astype(np.int64)
-    other = ranges(np.zeros(len(long), dtype=np.int64), parts[long])
-    own, long = np.repeat(own, parts[long]), np.repeat(long, parts[long])
-    two = np.minimum(own, other) << 32 | np.maximum(own, other)
-    return np.concatenate([entry[whole], entry[long]]), np.concatenate([name[whole], joined(name[long], two.astype(np.uint64))])
-
-
-def _deal(part: pa.RecordBatch, tiles: int, order: Order) -> Iterator[pa.RecordBatch]:
+def _deal(part: pa.RecordBatch, tiles: int) -> Iterator[pa.RecordBatch]:
     """Prefix elements of a batch packed by tile: few large rows instead of many small ones."""
     c, root, n = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
     prefixes = part.column(3).to_pylist()
@@ -354,10 +324,9 @@ def _deal(part: pa.RecordBatch, tiles: int, order: Order) -> Iterator[pa.RecordB
     element = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
     own = np.repeat(np.arange(len(c), dtype=np.int32), size)
     place = (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-    entry, element = lists_of(element, order.level(element), n.astype(np.int64)[own], c[own])
     tile = (element % np.uint64(tiles)).astype(np.int32)
     at = np.argsort(tile, kind="stable")
-    tile, element, own, place = tile[at], element[at], own[entry[at]], place[entry[at]]
+    tile, element, own, place = tile[at], element[at], own[at], place[at]
     edges = np.flatnonzero(np.diff(tile, prepend=-1))
     rows: dict[str, list] = {k: [] for k in ("tile", "elements", "own", "place", "class", "root", "n")}
     for a, b in zip(edges.tolist(), np.append(edges[1:], len(tile)).tolist(), strict=True):
@@ -577,7 +546,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     likely = written(likely_pairs(classes))
     roots = components(verified(written(possible(likely, classes)), docs, text, classes))
     for most in (FEW, None):
-        pairs = written(tile_pairs(classes, roots, tiles, order, most))
+        pairs = written(tile_pairs(classes, roots, tiles, most))
         rest = written(possible(pairs, classes))
         if not rest.isEmpty():
             more = verified(rest, docs, text, classes)

@@ -97,23 +97,6 @@ def test_tile_pairs_of_long_and_short_lists_agree():
     assert got == want
 
 
-@pytest.mark.parametrize("long", [0, 3, 13, 15])
-def test_entries_of_like_size_share_a_list_of_their_element(long):
-    rng = np.random.default_rng(long)
-    element = rng.integers(0, 3, 300).astype(np.uint64)
-    n, c = rng.integers(1, 400, 300), rng.integers(-(1 << 62), 1 << 62, 300)
-    entry, name = jaccard.lists_of(element, np.where(element == 1, long, 0).astype(np.uint8), n, c)
-    lists = {}
-    for e, x in zip(entry.tolist(), name.tolist(), strict=True):
-        lists.setdefault(x, set()).add(e)
-    assert all(len({int(element[e]) for e in x}) == 1 for x in lists.values())
-    met = {(i, j) for x in lists.values() for i in x for j in x if i < j}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if element[i] == element[j] and 4 * min(n[i], n[j]) >= 3 * max(n[i], n[j])}
-    assert want <= met
-    if long == 15:  # eight times as many texts as a list may have: sixteen parts
-        assert max(len(x) for x in lists.values() if element[next(iter(x))] == 1) < max(len(x) for x in lists.values() if element[next(iter(x))] != 1) / 3
-
-
 def test_hot_keys_and_many_groups_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(components, "HOT", 3)
     monkeypatch.setattr(jaccard, "GROUP_BYTES", 100_000)
