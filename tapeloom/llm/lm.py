@@ -16,7 +16,7 @@ the groups that hold their counts, and come back as sums per text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,8 @@ LEVELS = 40
 HELD = 2_000_000
 #: Bytes of text whose n-grams one group holds, about.
 GROUP_BYTES = 16 << 20
+#: Parts in which the slices come to the driver.
+FETCHES = 8
 #: Keys that a group looks up at once.
 ASKED = 1_000_000
 
@@ -107,11 +109,13 @@ def build_slice(h: np.ndarray, counts: np.ndarray, max_bytes: int | None = None)
 class Filter:
     """All slices of one n-gram order."""
 
-    def __init__(self, slices: list[tuple[int, bytes, int]], groups: int):
+    def __init__(self, slices: Iterable[tuple[int, bytes, int]], groups: int, size: np.ndarray | None = None):
+        """``size`` has the words of each group's slice; with it the slices can come one after the other."""
         self.groups = groups
-        size = np.zeros(groups, dtype=np.int64)
-        for g, data, _ in slices:
-            size[g] = len(data) // 8
+        if size is None:
+            size = np.zeros(groups, dtype=np.int64)
+            for g, data, _ in (slices := list(slices)):
+                size[g] = len(data) // 8
         self.begin = np.cumsum(size) - size
         self.size = size
         self.least = np.ones(groups, dtype=np.int64)
@@ -246,7 +250,7 @@ class Model:
 
 def load_model(counts: DataFrame, groups: int, common: int = COMMON, max_filter_bytes: int = MAX_FILTER_BYTES) -> Model:
     """Collects common words of the written counts, and the slices if all of them fit in ``max_filter_bytes``."""
-    stats = counts.select("order", "total", "levels", F.octet_length("bits").alias("size")).collect()
+    stats = counts.select("order", "g", "total", "levels", F.octet_length("bits").alias("size")).collect()
     fits = sum(r.size for r in stats) <= max_filter_bytes
     levels = np.sum([r.levels for r in stats if r.order == 1], axis=0, dtype=np.int64) if stats else np.zeros(LEVELS + 1, dtype=np.int64)
     levels = np.broadcast_to(levels, (LEVELS + 1,))
@@ -267,9 +271,19 @@ def load_model(counts: DataFrame, groups: int, common: int = COMMON, max_filter_
     values = np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(r.counts, dtype=np.int64) for r in rows)])
     at = np.argsort(keys)
     keys, values = keys[at], values[at]
-    made = {o: Filter([(r.g, r.bits, r.least) for r in counts.where(F.col("order") == o).select("g", "bits", "least").collect()], groups) if fits else None for o in (1, 2)}
+
+    def made(order: int) -> Filter:
+        size = np.zeros(groups, dtype=np.int64)
+        for r in stats:
+            if r.order == order:
+                size[r.g] = r.size // 8
+        # Some slices at a time, so the driver holds little more than the filter.
+        some = (counts.where((F.col("order") == order) & (F.col("g") % FETCHES == k)).select("g", "bits", "least").collect() for k in range(FETCHES))
+        return Filter(((r.g, r.bits, r.least) for rows in some for r in rows), groups, size)
+
+    words, pairs = (made(1), made(2)) if fits else (None, None)
     end = values[keys == END]
-    return Model(made[1], made[2], keys, values, groups, sum(r.total for r in stats if r.order == 1), int(levels.sum()), int(end[0]) if len(end) else 0)
+    return Model(words, pairs, keys, values, groups, sum(r.total for r in stats if r.order == 1), int(levels.sum()), int(end[0]) if len(end) else 0)
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
