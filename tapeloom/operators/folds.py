@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.alignment import distance
 from ..functions.text import compared_words
 
 TERMINAL = ["completed", "failed", "skipped", "skipped_or_cached"]
@@ -44,23 +44,6 @@ def _prf(t: Column, h: Column, both: Column) -> list[Column]:
     return [precision.alias("precision"), recall.alias("recall"), f1.alias("f1")]
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Word edit distance, one numpy row at a time."""
-    row = np.arange(len(b) + 1)
-    steps = np.arange(len(b) + 1)
-    for x in a:
-        new = np.empty_like(row)
-        new[0] = row[0] + 1
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        # Insertions run along the row.
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row[-1])
-
-
-#: Word pairs that one edit distance compares at most: two texts of 30,000 words.
-MOST_STEPS = 900_000_000
-
-
 @F.pandas_udf(T.DoubleType())
 def _error_rate(truth: pd.Series, hypothesis: pd.Series) -> pd.Series:
     out = []
@@ -68,19 +51,14 @@ def _error_rate(truth: pd.Series, hypothesis: pd.Series) -> pd.Series:
         if len(a) == 0:
             out.append(0.0 if len(b) == 0 else 1.0)
             continue
-        if len(a) * len(b) > MOST_STEPS:
-            out.append(None)
-            continue
-        _, ids = np.unique(np.concatenate([np.asarray(a, dtype=object), np.asarray(b, dtype=object)]).astype(str), return_inverse=True)
-        out.append(_distance(ids[: len(a)], ids[len(a) :]) / len(a))
+        numbers: dict[str, int] = {}
+        x, y = ([numbers.setdefault(w, len(numbers)) for w in side] for side in (a, b))
+        out.append(distance(x, y) / len(a))
     return pd.Series(out, dtype="float64")
 
 
 def word_error_rate(truth: Column, hypothesis: Column) -> Column:
-    """Word edits over words of the truth; without truth 0 for silence and 1 for any word.
-
-    Null for a pair of texts so long that one task would compare over ``MOST_STEPS`` words.
-    """
+    """Word edits over words of the truth; without truth 0 for silence and 1 for any word.  Texts may have any length."""
     return _error_rate(compared_words(truth), compared_words(hypothesis))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,53 +170,124 @@ def next_generation(bundles: DataFrame, generations: DataFrame) -> DataFrame:
     return bundles.select("bundle_key").distinct().join(last, "bundle_key", "left").select("bundle_key", F.concat(F.lit("g"), (F.coalesce("last", F.lit(0)) + 1).cast("string")).alias("name"))
 
 
+POINTER = "bundle_key string, gen_no long, batch_id long, active string"
+#: Buckets of keys in a snapshot of pointers.
+BUCKETS = 64
+
+
 def publish(batch: DataFrame, pointers: DataFrame, batch_id: int) -> DataFrame:
-    """New pointers after a batch (``bundle_key``): each key's next generation is active.
+    """New pointers of a batch's keys (``bundle_key``): each key's next generation is active.
 
-    A batch that a pointer's ``batch_id`` has already counted changes nothing, so it may
-    be delivered again.
+    A key whose pointer is of this batch already keeps it, so a batch may be delivered again.
     """
-    keys = batch.select("bundle_key").distinct().withColumn("__new", F.lit(True))
-    met = pointers.join(keys, "bundle_key", "full")
-    fresh = F.col("__new").isNotNull() & (F.coalesce("batch_id", F.lit(-1)) < batch_id)
+    met = batch.select("bundle_key").distinct().join(pointers.select("bundle_key", "gen_no", "batch_id"), "bundle_key", "left")
+    fresh = F.coalesce("batch_id", F.lit(-1)) < batch_id
     return met.select(
         "bundle_key", (F.coalesce("gen_no", F.lit(0)) + fresh.cast("int")).cast("long").alias("gen_no"), F.when(fresh, F.lit(batch_id)).otherwise(F.col("batch_id")).cast("long").alias("batch_id")
     ).withColumn("active", F.concat(F.lit("g"), F.col("gen_no").cast("string")))
 
 
-def pointers_of(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The newest pointers under ``folder``, or the newest of an earlier batch than ``before``; none at first."""
-    schema = "bundle_key string, gen_no long, batch_id long, active string, version long"
-    try:
-        kept = spark.read.schema(schema).parquet(folder)
-    except AnalysisException:  # nothing has been published yet
-        return spark.createDataFrame([], schema)
-    kept = kept if before is None else kept.where(F.col("version") < before)
-    newest = kept.agg(F.max("version")).first()[0]
-    return kept.where(F.col("version") == newest) if newest is not None else kept.where("false")
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    """Creates an empty file: the write before it counts from now on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True).close()
+
+
+def _committed(spark: SparkSession, folder: str) -> tuple[int, list[int]]:
+    """(last batch in the newest whole snapshot, or -1; committed batches after it)."""
+    number = lambda names, ahead: [int(n.removeprefix(ahead)) for n in names if n.removeprefix(ahead).isdigit() and n.startswith(ahead)]
+    marks = _names(spark, f"{folder}/commits")
+    through = max(number(marks, "snapshot-"), default=-1)
+    return through, sorted(i for i in number(marks, "batch-") if i > through)
 
 
-def publish_batch(batch: DataFrame, batch_id: int, rows: str, pointers: str) -> None:
+def _changes(spark: SparkSession, folder: str, through: int, batches: list[int]) -> DataFrame:
+    """Pointers of the newest snapshot and of the batches after it; several of a key."""
+    parts = [f"{folder}/log/batch-{i}" for i in batches]
+    log = spark.read.schema(POINTER).parquet(*parts) if parts else spark.createDataFrame([], POINTER)
+    return log if through < 0 else log.unionByName(spark.read.schema(f"{POINTER}, bucket int").parquet(f"{folder}/snapshots/{through}").drop("bucket"))
+
+
+def pointers_of(spark: SparkSession, folder: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The pointers under ``folder``, each key's latest: of all, or of batches before ``before``, or of ``keys`` only; none at first.
+
+    Only what has been committed counts: the newest snapshot and the batches after it.
+    """
+    through, batches = _committed(spark, folder)
+    if before is not None and through >= before:
+        raise ValueError(f"batch {before} is in snapshot {through}")
+    rows = _changes(spark, folder, through, [i for i in batches if before is None or i < before])
+    if keys is not None:
+        rows = rows.join(keys.select("bundle_key").distinct(), "bundle_key", "left_semi")
+    latest = rows.groupBy("bundle_key").agg(F.max(F.struct("batch_id", "gen_no", "active")).alias("p"))
+    return latest.select("bundle_key", "p.gen_no", "p.batch_id", "p.active")
+
+
+def publish_batch(batch: DataFrame, batch_id: int, rows: str, pointers: str, compact_every: int = 50) -> None:
     """Writes a batch (``bundle_key`` and its content) as each key's next generation, then makes these active.
 
     For ``foreachBatch``.  Rows go to the folder of the batch under ``rows``, the pointers
-    of all keys to that under ``pointers``; a reader sees a generation once its pointers
-    are complete.  A batch that is delivered again writes the same folders anew.
+    of the batch's keys, and of no others, to the log under ``pointers``; an empty file
+    then commits both, so a batch that breaks off before is not seen, and is written anew
+    when it is delivered again.  A committed batch that is delivered again changes
+    nothing.  Every ``compact_every`` batches the log is folded into a snapshot.
     """
     spark = batch.sparkSession
+    through, batches = _committed(spark, pointers)
+    if batch_id <= through or batch_id in batches:
+        return
     batch = batch.withColumn("bundle_key", F.col("bundle_key").cast("string"))
-    made = publish(batch, pointers_of(spark, pointers, batch_id).drop("version"), batch_id)
-    own = made.where(F.col("batch_id") == batch_id).select("bundle_key", F.col("active").alias("name"))
+    publish(batch, pointers_of(spark, pointers, batch_id, batch), batch_id).write.mode("overwrite").parquet(f"{pointers}/log/batch-{batch_id}")
+    own = spark.read.schema(POINTER).parquet(f"{pointers}/log/batch-{batch_id}").select("bundle_key", F.col("active").alias("name"))
     batch.join(own, "bundle_key").write.mode("overwrite").parquet(f"{rows}/version={batch_id}")
-    made.write.mode("overwrite").parquet(f"{pointers}/version={batch_id}")
-
-
-def survey(bundles: DataFrame, generations: DataFrame) -> DataFrame:
-    """Each bundle's verdict, active generation, generations in numeric order and orphans."""
+    _mark(spark, f"{pointers}/commits/batch-{batch_id}")
+    if len(batches) + 1 >= compact_every:
+        compact_pointers(spark, pointers)
+
+
+def compact_pointers(spark: SparkSession, folder: str) -> None:
+    """Folds the committed batches into a snapshot in buckets of keys, marks it whole, then removes what it stands for."""
+    through, batches = _committed(spark, folder)
+    if not batches:
+        return
+    latest = pointers_of(spark, folder).withColumn("bucket", F.pmod(F.xxhash64("bundle_key"), F.lit(BUCKETS)).cast("int"))
+    latest.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/snapshots/{batches[-1]}")
+    _mark(spark, f"{folder}/commits/snapshot-{batches[-1]}")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    kept = {f"snapshot-{batches[-1]}", str(batches[-1])}
+    for kind in ("commits", "log", "snapshots"):
+        for name in _names(spark, f"{folder}/{kind}"):
+            # Batches that are not committed yet are later ones.
+            if name not in kept and int(name.rpartition("-")[2]) <= batches[-1]:
+                at = hadoop.Path(f"{folder}/{kind}/{name}")
+                at.getFileSystem(conf).delete(at, True)
+
+
+def published_rows(spark: SparkSession, rows: str, pointers: str) -> DataFrame:
+    """Content of the active generations: the rows that their key's pointer stands for; rows of a batch that was never committed are none of them."""
+    active = pointers_of(spark, pointers).select("bundle_key", F.col("batch_id").alias("version"), F.col("active").alias("name"))
+    made = spark.read.option("basePath", rows).parquet(rows)
+    return made.withColumn("version", F.col("version").cast("long")).join(active, ["bundle_key", "version", "name"], "left_semi").drop("version")
+
+
+def survey(bundles: DataFrame, generations: DataFrame, staging: DataFrame | None = None) -> DataFrame:
+    """Each bundle's verdict, active generation, generations in numeric order, orphans and, given ``staging``, its staging folders by name."""
     listed = generations.groupBy("bundle_key").agg(F.array_sort(F.collect_list(F.struct(generation_number(F.col("name")).alias("n"), "name"))).alias("g"))
     out = bundle_verdicts(bundles, generations).join(listed, "bundle_key", "left")
-    names = F.coalesce(F.transform("g", lambda x: x["name"]), F.array().cast("array<string>"))
-    return out.select("bundle_key", "verdict", "servable", "active", "locked", names.alias("generations"), F.filter(names, lambda n: ~n.eqNullSafe(F.col("active"))).alias("orphans"))
+    none = F.array().cast("array<string>")
+    names = F.coalesce(F.transform("g", lambda x: x["name"]), none)
+    columns = [names.alias("generations"), F.filter(names, lambda n: ~n.eqNullSafe(F.col("active"))).alias("orphans")]
+    if staging is not None:
+        out = out.join(staging.groupBy("bundle_key").agg(F.array_sort(F.collect_list("name")).alias("__staging")), "bundle_key", "left")
+        columns.append(F.coalesce("__staging", none).alias("staging"))
+    return out.select("bundle_key", "verdict", "servable", "active", "locked", *columns)
 
 
 def survey_totals(surveyed: DataFrame, staging: DataFrame) -> DataFrame:
@@ -240,6 +310,47 @@ def skip_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy(skip_reason(F.col("name"), F.col("is_link"), F.col("depth"), F.col("verdict")).alias("reason")).agg(F.count("*").alias("entries"))
 
 
+#: What ends the descent at an entry: all but a plain folder without a marker, and what is a bundle.
+DESCENDS = "no marker"
+
+
+def considered(entries: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
+    """Adds ``reason`` (why an entry is no bundle, null if it is one) and ``considered`` to a listing of whole roots.
+
+    ``entries`` have ``root``, ``path`` (below the root, parts joined by ``/``), ``name``,
+    ``is_link``, ``depth``, ``verdict`` and ``unlistable``.  Nothing below a bundle, a link,
+    a reserved name, a foreign, invalid or unlistable folder, or the last level is
+    considered; an entry there says nothing.
+
+    A folder's subtree is an interval of paths, once the separator sorts before all
+    else.  Paths are sorted in ranges; along each range the farthest end of a stopped
+    subtree is carried, and what earlier ranges carried over comes from one row a range.
+    So a root of any size is spread, and nothing is joined with its ancestors.  ``folder``
+    keeps the ranges (shared by all executors).
+    """
+    reason = F.coalesce(skip_reason(F.col("name"), F.col("is_link"), F.col("depth"), F.col("verdict")), F.lit(""))
+    reason = F.when(F.col("unlistable") & ~F.col("is_link"), "unlistable").otherwise(F.nullif(reason, F.lit("")))
+    key = F.concat(F.coalesce(F.col("root").cast("string"), F.lit("")), F.lit("\0"), F.replace(F.col("path"), F.lit("/"), F.lit("\0")))
+    stopped = ~F.col("reason").eqNullSafe(F.lit(DESCENDS))
+    rows = entries.withColumn("reason", reason).withColumn("__key", key).withColumn("__end", F.when(stopped, F.concat("__key", F.lit("\1"))))
+    dealt = rows.repartitionByRange(parts, "__key") if parts else rows.repartitionByRange("__key")
+    spark = entries.sparkSession
+    dealt.withColumn("__range", F.spark_partition_id()).write.mode("overwrite").parquet(folder)
+    rows = spark.read.parquet(folder)
+    before = Window.partitionBy("__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("__range").agg(F.max("__end").alias("__end"))
+    # One row a range.
+    carried = ends.select("__range", F.max("__end").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    met = rows.withColumn("__far", F.max("__end").over(before)).join(F.broadcast(carried), "__range")
+    inside = F.coalesce(F.greatest("__far", "__carried") > F.col("__key"), F.lit(False))
+    return met.select(*entries.columns, "reason", (~inside).alias("considered"))
+
+
+def considered_counts(walked: DataFrame) -> DataFrame:
+    """How many considered entries of each root are bundles (null ``reason``) or skipped for each reason."""
+    return walked.where("considered").groupBy("root", "reason").agg(F.count("*").alias("entries"))
+
+
 def prune_plan(bundles: DataFrame, generations: DataFrame, staging: DataFrame, now: Column, keep: int, max_age_days: float) -> DataFrame:
     """What may go: (bundle_key, target, reason), by the first rule that speaks for a bundle.
 

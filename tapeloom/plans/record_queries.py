@@ -86,6 +86,66 @@ def published_generations(spark, sf_dir):
     return store.pointers_of(spark, f"{folder}/pointers").select("bundle_key", "gen_no", "active")
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS bundle_key, o_orderkey, 'g' || n AS name FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY instr('FOP', o_orderstatus)) AS n, max(instr('FOP', o_orderstatus)) OVER (PARTITION BY o_custkey) AS last FROM orders) WHERE instr('FOP', o_orderstatus) = last")
+def published_content(spark, sf_dir):
+    """The orders of each customer's last batch; pointers are folded every two batches, and a batch broke off before it was committed."""
+    from ..streaming.progress import shared_folder
+
+    folder = shared_folder(spark)
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("bundle_key"), "o_orderkey", "o_orderstatus")
+    for i in (0, 1, 0, 2):
+        store.publish_batch(o.where(F.col("o_orderstatus") == "FOP"[i]), i, f"{folder}/rows", f"{folder}/pointers", compact_every=2)
+    o.withColumn("name", F.lit("g9")).write.parquet(f"{folder}/rows/version=3")
+    return store.published_rows(spark, f"{folder}/rows", f"{folder}/pointers").select("bundle_key", "o_orderkey", "name")
+
+
+#: Nations, customers, orders and their lines as folders in one another; what each is follows from its number.
+TREE_SQL = """t AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS path, 0 AS depth FROM nation UNION ALL SELECT c_custkey, 'n' || c_nationkey || '/c' || c_custkey, 1 FROM customer
+  UNION ALL SELECT o_orderkey, 'n' || c_nationkey || '/c' || c_custkey || '/o' || o_orderkey, 2 FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'n' || c_nationkey || '/c' || c_custkey || '/o' || o_orderkey || '/l' || l_linenumber, 3 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+e AS (SELECT *, CASE WHEN depth = 0 THEN 'no marker' WHEN k % 11 = 0 THEN 'unlistable' WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN 'foreign' WHEN k % 13 = 0 THEN 'symlink' ELSE 'no marker' END AS reason FROM t)"""
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: b.table(spark, sf_dir, name)
+    part = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    c = t("customer").select("c_custkey", F.concat_ws("/", part("n", "c_nationkey"), part("c", "c_custkey")).alias("path"))
+    o = t("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat_ws("/", "path", part("o", "o_orderkey")).alias("path"))
+    lines = t("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.concat_ws("/", "path", part("l", "l_linenumber")).alias("path"), F.lit(3).alias("depth"))
+    n = t("nation").select(F.col("n_nationkey").alias("k"), part("n", "n_nationkey").alias("path"), F.lit(0).alias("depth"))
+    every = n.unionByName(c.select(F.col("c_custkey").alias("k"), "path", F.lit(1).alias("depth"))).unionByName(o.select(F.col("o_orderkey").alias("k"), "path", F.lit(2).alias("depth"))).unionByName(lines)
+    k, deep = F.col("k"), F.col("depth") > 0
+    unlistable = deep & (k % 11 == 0)
+    kind = F.when(deep & (k % 5 == 0), "owned").when(deep & (k % 7 == 0), "foreign").otherwise("absent")
+    return every.select(F.lit("store").alias("root"), "path", F.substring_index("path", "/", -1).alias("name"), (deep & (k % 13 == 0) & (k % 35 != 0) & (k % 5 != 0) & (k % 7 != 0) & (k % 11 != 0)).alias("is_link"), "depth", kind.alias("verdict"), unlistable.alias("unlistable"))
+
+
+@query(f"""WITH {TREE_SQL}, s AS (SELECT path FROM e WHERE reason IS DISTINCT FROM 'no marker' AND depth < 3), c AS (SELECT reason FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE starts_with(e.path, s.path || '/')))
+SELECT reason, count(*) AS entries FROM c GROUP BY reason""")
+def survey_descent(spark, sf_dir):
+    from ..streaming.progress import shared_folder
+
+    return store.considered_counts(store.considered(tree(spark, sf_dir), shared_folder(spark))).drop("root")
+
+
+@query("""WITH a AS (SELECT doc_id % 16 AS bucket, encode(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content FROM documents WHERE text IS NOT NULL GROUP BY 1), n AS (SELECT *, octet_length(content) AS size FROM a),
+o AS (SELECT DISTINCT bucket, CAST(floor(greatest(size - 65536, 0) * i / 8) AS BIGINT) AS at FROM n, range(9) r(i)),
+j AS (SELECT n.bucket, list(encode(o.at || ':') || n.content[o.at + 1 : o.at + 65536] ORDER BY o.at) AS parts, count(*) AS samples, CAST(sum(least(65536, size)) AS BIGINT) AS bytes_read FROM n JOIN o USING (bucket) GROUP BY n.bucket)
+SELECT n.bucket, size, samples, bytes_read, sha256(list_reduce(list_prepend(encode(size || ':' || n.bucket), parts), lambda x, y: x || y)) AS fingerprint, sha256(content) AS content_sha256 FROM n JOIN j USING (bucket)""")
+def file_fingerprints(spark, sf_dir):
+    """Documents are written to sixteen text files, which are then fingerprinted by ranges, and as a whole."""
+    from ..sources import fingerprints
+    from ..streaming.progress import shared_folder
+
+    folder = shared_folder(spark)
+    d = b.table(spark, sf_dir, "documents").where("text is not null").withColumn("bucket", F.pmod("doc_id", F.lit(16)))
+    d.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("text", "bucket").write.partitionBy("bucket").text(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("long").alias("bucket"))
+    sampled = fingerprints.sampled_files(files, modified="bucket")
+    whole = fingerprints.digested_files(files).select("bucket", "content_sha256")
+    return sampled.join(whole, "bucket").select("bucket", "size", F.col("samples").cast("long").alias("samples"), "bytes_read", "fingerprint", "content_sha256")
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage results whose payload may have warnings, as may what is recorded around it."""
     o = b.table(spark, sf_dir, "orders")

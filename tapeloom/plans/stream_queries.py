@@ -35,7 +35,7 @@ def streamed_progress(spark, sf_dir):
 @query(f"""WITH {NUMBERED_SQL}, {b.ADVANCES_SQL}, n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, sequence) AS nx FROM adv), z AS (SELECT max(ts) - INTERVAL 1 minute AS mark FROM p)
 SELECT job_id, sequence, 'E_STUCK' AS code FROM n, z WHERE status NOT IN ('completed', 'failed') AND epoch(coalesce(nx, mark)) - epoch(ts) >= 3600""")
 def streamed_stalls(spark, sf_dir):
-    return stream.drained(stream.stream_stalls(events(spark, sf_dir), 3600.0), "append").select("job_id", "sequence", "code")
+    return stream.drained(stream.stream_stalls(events(spark, sf_dir), 3600.0), "append").select("job_id", "sequence", "code").distinct()
 
 
 @query(f"""WITH {NUMBERED_SQL}, l AS (SELECT job_id, arg_max(status, (ts, seq)) AS status, max(ts) AS updated_at FROM p GROUP BY job_id), n AS (SELECT max(ts) - INTERVAL 1 minute AS now FROM p)

@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import TERMINAL, occurrences_of
 from ..operators.timeline import DELIVERED, IMMEDIATE, TRANSPORT
 
 STALL_SEC = 90.0
+STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 JOB_ID = r"^[a-z0-9][a-z0-9_-]{0,127}\z"
 
 
@@ -84,44 +86,90 @@ def stalls(events: DataFrame, stall_sec: float = STALL_SEC) -> DataFrame:
     return rows.where((F.col("stalled_sec") >= stall_sec) & ~F.coalesce(F.col("status").isin(TERMINAL), F.lit(False))).select("job_id", "sequence", F.lit("E_STUCK").alias("code"), "stalled_sec")
 
 
-def stream_stalls(events: DataFrame, stall_sec: float = STALL_SEC, delay: str = "1 minute") -> DataFrame:
-    """Streaming form of :func:`stalls`: one ``E_STUCK`` row a stall, when event time passes the last advance by ``stall_sec``.
+STALLS = "job_id string, sequence long, code string, stalled_sec double, open boolean"
 
-    The row comes with the next advance, or before that when the watermark shows the
-    silence, then with the time so far.  Only the latest event's end stops a job's clock;
-    a job that goes on afterwards is watched again.  State is kept until a job has been
-    silent ten times as long.
+
+class StallWatch(StatefulProcessor):
+    """Events of one job in event-time order, whatever the order of arrival, and its clock.
+
+    State: the events that the watermark has not passed yet (a list), the last word of
+    each mechanism (a map), and the clock (time and sequence of the last advance, whether
+    the job has ended, whether its stall has been told).  Timers wake it when the
+    watermark passes its next event, the end of its patience, or its idle time.
     """
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # last: time of the last advance; told: whether its stall has been reported.
-        last, sequence, ended, told, names, marks = state.get if state.exists else (-1, -1, True, True, [], [])
-        seen, out = dict(zip(names, marks, strict=True)), []
-        if state.hasTimedOut:
-            if ended or told:
-                state.remove()
-                return
-            out.append((sequence, (state.getCurrentWatermarkMs() - last) / 1000))
+
+    def __init__(self, stall_sec: float, idle_sec: float):
+        self.stall, self.idle = int(stall_sec * 1_000_000), int(idle_sec * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, sequence long, mechanism string, status string, percent double")
+        self.marks = handle.getMapState("marks", "mechanism string", "status string, percent double")
+        self.clock = handle.getValueState("clock", "us long, sequence long, ended boolean, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for part in rows:
+            us = part["us"].astype("int64")
+            new = [(int(u), int(n), m, s, None if pd.isna(p) else float(p)) for u, n, m, s, p in zip(us, part["sequence"], part["mechanism"], part["status"], part["percent"], strict=True)]
+            self.waiting.appendList(new)
+            first = min([u for u, *_ in new] + ([] if first is None else [first]))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((r for r in rows if r[0] <= mark), key=lambda r: (r[0], r[1]))
+        left = [r for r in rows if r[0] > mark]
+        if due:
+            self.waiting.put(left) if left else self.waiting.clear()
+        at, sequence, ended, told = self.clock.get() if self.clock.exists() else (None, None, True, True)
+        out = []
+        for us, n, mechanism, status, percent in due:
+            said = (status, percent)
+            if self.marks.containsKey((mechanism,)) and tuple(self.marks.getValue((mechanism,))) == said:
+                continue
+            self.marks.updateValue((mechanism,), said)
+            if not ended and us - at >= self.stall:
+                out.append((sequence, (us - at) / 1e6, False))
+            at, sequence, ended, told = us, n, status in TERMINAL, False
+        if at is not None and not ended and not told and mark - at >= self.stall:
+            out.append((sequence, (mark - at) / 1e6, True))
             told = True
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "sequence"])
-            for t, n, mechanism, status, percent in zip(rows["ts"], rows["sequence"], rows["mechanism"], rows["status"], rows["percent"], strict=True):
-                mark, ms = f"{status}|{percent}", int(t.value // 1_000_000) if hasattr(t, "value") else int(t.timestamp() * 1000)
-                if seen.get(mechanism) == mark:
-                    continue
-                seen[mechanism] = mark
-                if (ms, n) < (last, sequence):
-                    continue
-                if not ended and not told and ms - last >= stall_sec * 1000:
-                    out.append((sequence, (ms - last) / 1000))
-                last, sequence, ended, told = ms, int(n), status in TERMINAL, False
-        state.update((int(last), int(sequence), bool(ended), bool(told), list(seen), list(seen.values())))
-        wait = stall_sec * (10 if ended or told else 1)
-        state.setTimeoutTimestamp(max(last + int(wait * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]] * len(out), "sequence": [int(n) for n, _ in out], "code": ["E_STUCK"] * len(out), "stalled_sec": [float(t) for _, t in out]})
-
-    marked = events.withWatermark("ts", delay)
-    state = "last long, sequence long, ended boolean, told boolean, names array<string>, marks array<string>"
-    return marked.groupBy("job_id").applyInPandasWithState(run, "job_id string, sequence long, code string, stalled_sec double", state, "append", GroupStateTimeout.EventTimeTimeout)
+        if at is not None and mark - at >= self.idle and not left:
+            self.marks.clear()
+            self.clock.clear()
+        elif at is not None:
+            self.clock.update((at, sequence, ended, told))
+            # Patience of a running job, then of one that is not heard of again.
+            wait = self.stall if not ended and not told else self.idle
+            self.handle.registerTimer(max((at + wait) // 1000 + 1, mark // 1000 + 1))
+        if left:
+            self.handle.registerTimer(min(r[0] for r in left) // 1000 + 1)
+        if out:
+            yield pd.DataFrame({"job_id": [key[0]] * len(out), "sequence": [int(n) for n, *_ in out], "code": ["E_STUCK"] * len(out), "stalled_sec": [float(t) for _, t, _ in out], "open": [o for *_, o in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stalls(events: DataFrame, stall_sec: float = STALL_SEC, delay: str = "1 minute", idle_sec: float | None = None) -> DataFrame:
+    """Streaming form of :func:`stalls`: rows that are not ``open`` are those of the batch form, for events that the watermark has passed.
+
+    An ``open`` row comes before that, once, when the watermark shows a silence of
+    ``stall_sec`` after an advance, with the time so far.  Events are judged in the order
+    of ``ts`` and ``sequence`` whatever the order of arrival; later ones than the watermark
+    allows are dropped, and those without a time are not judged.  Only the latest event's
+    end stops a job's clock; a job that goes on afterwards is watched again.  A job is
+    forgotten when the watermark passes its last advance by ``idle_sec`` (by default ten
+    times ``stall_sec``), so a stall beyond that has its open row only.  The session's
+    state store must be RocksDB (see :func:`drained`); its time zone does not matter.
+    """
+    timed = events.where("ts is not null").withWatermark("ts", delay).select("job_id", "sequence", "mechanism", "status", F.col("percent").cast("double").alias("percent"), F.unix_micros("ts").alias("us"), "ts")
+    watch = StallWatch(stall_sec, 10 * stall_sec if idle_sec is None else idle_sec)
+    return timed.groupBy("job_id").transformWithStateInPandas(watch, STALLS, "append", "eventTime")
 
 
 def stream_job_status(events: DataFrame, stall_sec: float = STALL_SEC, delay: str = "1 minute") -> DataFrame:
@@ -230,12 +278,18 @@ def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFram
     """All rows that a stream gives for the input at hand, as a table with the number of their ``batch``.
 
     Each batch is written to a folder of its own, so one that is run again replaces itself.
+    State is kept in RocksDB, which typed state needs.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark)
     keep = lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/rows/batch={i}")
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
     if query.exception() is not None:
         raise query.exception()
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/rows")

@@ -237,3 +237,64 @@ def test_stored_generations_are_published_once(spark, tmp_path):
         store.publish_batch(part, i, rows, pointers)
     assert {r.bundle_key: r.active for r in store.pointers_of(spark, pointers).collect()} == {"x": "g2", "y": "g1"}
     assert sorted((r.bundle_key, r.name) for r in spark.read.parquet(rows).collect()) == [("x", "g1"), ("x", "g2"), ("y", "g1")]
+
+
+def test_a_broken_off_batch_is_invisible_and_pointers_are_folded(spark, tmp_path, monkeypatch):
+    rows, pointers = str(tmp_path / "rows"), str(tmp_path / "pointers")
+    make = lambda *keys: spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "bundle_key string, n int")
+    now = lambda: {r.bundle_key: r.active for r in store.pointers_of(spark, pointers).collect()}
+    store.publish_batch(make("a", "b"), 0, rows, pointers)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_mark", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.publish_batch(make("a", "c"), 1, rows, pointers)
+    assert now() == {"a": "g1", "b": "g1"}
+    assert {(r.bundle_key, r.name) for r in store.published_rows(spark, rows, pointers).collect()} == {("a", "g1"), ("b", "g1")}
+    store.publish_batch(make("a", "c"), 1, rows, pointers)
+    # A batch writes the pointers of its own keys only.
+    assert spark.read.parquet(f"{pointers}/log/batch-1").count() == 2
+    assert now() == {"a": "g2", "b": "g1", "c": "g1"}
+    store.compact_pointers(spark, pointers)
+    assert now() == {"a": "g2", "b": "g1", "c": "g1"}
+    assert sorted(p.name for p in (tmp_path / "pointers" / "commits").iterdir() if not p.name.startswith(".")) == ["snapshot-1"]
+    for i in (0, 1):
+        store.publish_batch(make("a", "b", "c"), i, rows, pointers)
+    assert now() == {"a": "g2", "b": "g1", "c": "g1"}
+    store.publish_batch(make("b"), 2, rows, pointers, compact_every=1)
+    store.publish_batch(make("d"), 3, rows, pointers)
+    assert now() == {"a": "g2", "b": "g2", "c": "g1", "d": "g1"}
+    assert {(r.bundle_key, r.name) for r in store.published_rows(spark, rows, pointers).collect()} == {("a", "g2"), ("b", "g2"), ("c", "g1"), ("d", "g1")}
+    with pytest.raises(ValueError):
+        store.pointers_of(spark, pointers, before=2)
+
+
+def test_descent_equals_a_walk(spark, tmp_path):
+    """Names that sort around the separator, stops below stops, several roots, any number of ranges."""
+    rng = random.Random(2)
+    entries = {}
+    for root in ("r", "s", None):
+        for _ in range(160):
+            parts = [rng.choice(["a", "a!", "a b", "b", "b.c", "_x", "a0"]) for _ in range(rng.randint(1, 5))]
+            for i in range(1, len(parts) + 1):
+                path = "/".join(parts[:i])
+                if (root, path) not in entries:
+                    entries[root, path] = (root, path, parts[i - 1], rng.random() < 0.05, i - 1, rng.choice(["absent"] * 8 + ["owned", "published", "foreign", "invalid"]), rng.random() < 0.05)
+    def reason(e):
+        _, _, name, link, depth, verdict, blind = e
+        if blind and not link:
+            return "unlistable"
+        return "symlink" if link else "reserved" if name[0] in "_." else verdict if verdict in ("foreign", "invalid") else "too deep" if verdict == "absent" and depth >= 6 else "no marker" if verdict == "absent" else None
+    stops = {k for k, e in entries.items() if reason(e) != "no marker"}
+    want = {k: (reason(e), not any((k[0], "/".join(k[1].split("/")[:i])) in stops for i in range(1, k[1].count("/") + 1))) for k, e in entries.items()}
+    d = spark.createDataFrame(list(entries.values()), "root string, path string, name string, is_link boolean, depth int, verdict string, unlistable boolean")
+    for parts in (1, 7):
+        got = {(r.root, r.path): (r.reason, r.considered) for r in store.considered(d, str(tmp_path / f"w{parts}"), parts).collect()}
+        assert got == want
+    assert store.considered(d.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_staging_is_listed_per_bundle(spark):
+    g = spark.createDataFrame([("b", "g1", True, True)], "bundle_key string, name string, has_render boolean, has_self_contained boolean")
+    bundles = spark.createDataFrame([("b", "x", "b", "g1", False), ("c", None, None, None, False)], "bundle_key string, marker string, identity string, active string, locked boolean")
+    staging = spark.createDataFrame([("b", ".tmp-2"), ("b", ".tmp-1")], "bundle_key string, name string")
+    assert {r.bundle_key: r.staging for r in store.survey(bundles, g, staging).collect()} == {"b": [".tmp-1", ".tmp-2"], "c": []}
