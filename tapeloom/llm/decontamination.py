@@ -16,28 +16,27 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM, Words, eights, equal_spans
 from .mapping import fresh, map_texts
-from .pretokens import ranges
 from .storage import written
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 8 << 20
-#: Pairs of a hit and an item's window whose words are compared at once.
-COMPARED = 1 << 18
 SPANS = "array<struct<lo:int,hi:int>>"
 _SPAN = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
 
 
 class Index:
-    """Windows of a block of items: of each length the sorted hashes, and where each window stands in which text.
+    """Windows of a block of items: of each length the sorted hashes, one place of each window, and in which texts it stands.
 
-    Equal texts are one text with several items, and a window that a text repeats is kept
-    once, so repeated rows and texts cost nothing.
+    Equal texts are one text with several items.  Texts that share a window are a list of
+    its own kind, and windows with equal lists share the list, so a passage of many items
+    costs a number a window and one list.
     """
 
     def __init__(self, ids: Sequence[str | None], texts: Sequence[str | None], window: int = WINDOW):
@@ -50,6 +49,9 @@ class Index:
         w = Words(pa.array(list(by_text), pa.large_string()), ALNUM, lower=True)
         self.data, self.starts, self.ends = w.data, w.starts.astype(np.int32), w.ends.astype(np.int32)
         view = eights(self.data)
+        #: Texts of each list; the first lists are those of one text each.
+        self.lists: list[np.ndarray] = []
+        numbers: dict[bytes, int] = {}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in np.unique(np.minimum(window, w.counts[w.counts > 0])).tolist():
             at, h = w.windows(length)
@@ -59,17 +61,30 @@ class Index:
                 at, h, doc = at[own], h[own], doc[own]
             order = np.lexsort((at, doc, h))
             at, h, doc = at[order].astype(np.int32), h[order], doc[order]
-            again = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) + 1
-            again = again[equal_words(view, self.starts, self.ends, at[again], view, self.starts, self.ends, at[again - 1], length)]
-            keep = np.ones(len(h), dtype=bool)
-            keep[again] = False
-            self.by_length[length] = (h[keep], at[keep], doc[keep], _bits(h))
+            # A window is new where its hash is, or where its words differ from those of the same hash before it.
+            new = np.ones(len(h), dtype=bool)
+            again = np.flatnonzero(h[1:] == h[:-1]) + 1
+            new[again] = ~equal_words(view, self.starts, self.ends, at[again], view, self.starts, self.ends, at[again - 1], length)
+            begin = np.flatnonzero(new)
+            stop = np.append(begin[1:], len(h))
+            which = doc[begin].copy()  # the list of a window that one text has is the text's number
+            for k in np.flatnonzero((stop - begin > 1) & (doc[begin] != doc[stop - 1])).tolist():
+                own = np.unique(doc[begin[k] : stop[k]])
+                key = own.tobytes()
+                if key not in numbers:
+                    numbers[key] = len(self.items) + len(self.lists)
+                    self.lists.append(own)
+                which[k] = numbers[key]
+            self.by_length[length] = (h[begin], at[begin], which, _bits(h))
+
+    def texts_of(self, which: int) -> np.ndarray:
+        return self.lists[which - len(self.items)] if which >= len(self.items) else np.array([which])
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, length, text of the index) of every occurrence of a window in the slice."""
+        """(first word, length, list of texts) of every occurrence of a window in the slice."""
         found = [np.zeros((3, 0), dtype=np.int64)]
         views = None
-        for length, (keys, places, docs, bits) in self.by_length.items():
+        for length, (keys, places, lists, bits) in self.by_length.items():
             at, h = w.windows(length)
             maybe = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
             at, h = at[maybe], h[maybe]
@@ -79,14 +94,12 @@ class Index:
             if not len(at):
                 continue
             views = views or (eights(w.data), eights(self.data))
-            stop = np.cumsum(many)
-            k = 0
-            while k < len(at):
-                to = max(k + 1, int(np.searchsorted(stop, (stop[k - 1] if k else 0) + COMPARED, side="right")))
-                here, there = np.repeat(at[k:to], many[k:to]), ranges(low[k:to], many[k:to])
+            # A hash has one window, but for collisions.
+            for k in range(int(many.max())):
+                some = many > k
+                here, there = at[some], low[some] + k
                 good = equal_words(views[0], w.starts, w.ends, here, views[1], self.starts, self.ends, places[there], length)
-                found.append(np.stack([here[good], np.full(int(good.sum()), length), docs[there[good]]]))
-                k = to
+                found.append(np.stack([here[good], np.full(int(good.sum()), length), lists[there[good]]]))
         return tuple(np.concatenate(found, axis=1))
 
 
@@ -110,7 +123,7 @@ def _bits(keys: np.ndarray) -> np.ndarray:
 def _scan(texts: pa.Array, index: Index) -> dict[str, pa.Array]:
     w = Words(texts, ALNUM, lower=True)
     n = len(w.counts)
-    at, length, item = index.hits(w)
+    at, length, which = index.hits(w)
     edges = np.zeros(len(w.starts) + 1, dtype=np.int64)
     np.add.at(edges, at, 1)
     np.add.at(edges, at + length, -1)
@@ -126,9 +139,13 @@ def _scan(texts: pa.Array, index: Index) -> dict[str, pa.Array]:
     bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
     spans = pa.StructArray.from_arrays([pa.array((lo - w.first[doc]).astype(np.int32)), pa.array((hi - w.first[doc]).astype(np.int32))], fields=list(_SPAN))
     items: list[list[str]] = [[] for _ in range(n)]
-    met = np.unique(np.stack([np.searchsorted(w.first, at, side="right") - 1, item]), axis=1)
-    for d, i in zip(*met.tolist(), strict=True):
-        items[d] += index.items[i]
+    # Each list of texts once a document, then each text once.
+    span = len(index.items) + len(index.lists)
+    lists: dict[int, list[np.ndarray]] = {}
+    for x in np.unique((np.searchsorted(w.first, at, side="right") - 1) * span + which).tolist():
+        lists.setdefault(x // span, []).append(index.texts_of(x % span))
+    for d, own in lists.items():
+        items[d] = [i for t in np.unique(np.concatenate(own)).tolist() for i in index.items[t]]
     return {
         "n_words": pa.array(w.counts.astype(np.int64)),
         "hit_spans": pa.ListArray.from_arrays(bounds, spans),
@@ -137,11 +154,17 @@ def _scan(texts: pa.Array, index: Index) -> dict[str, pa.Array]:
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark's different rows as parts of at most about ``block_bytes`` of text each (a longer item is a part of its own)."""
+    """The benchmark's different rows as parts of at most about ``block_bytes`` of text each (a longer item is a part of its own).
+
+    Of several parts each row's number is written once, so a part is read without another pass over the benchmark.
+    """
     b = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("text <> ''").distinct()
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-2 * size // block_bytes) if size > block_bytes else 1
-    return [b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else b for k in range(n)]
+    if size <= block_bytes:
+        return [b]
+    n = -(-2 * size // block_bytes)
+    rows = written(b.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition(n, "block").sortWithinPartitions("block"))
+    return [rows.where(F.col("block") == k).drop("block") for k in range(n)]
 
 
 def find_contamination(
@@ -168,14 +191,19 @@ def find_contamination(
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_hit", "contaminated")]
     parts = blocks_of(benchmark, item, item_text, block_bytes)
     if len(parts) == 1:
-        return _judged(_scanned(docs, text, parts[0], fields, keep, window))
+        return _judged(_scanned(docs, text, parts[0], fields, keep, window)[1])
     # Several blocks: rows are numbered and written once, so a number means one row however often it is read.
     row = fresh(docs, "row")
     rows = written(docs.select("*", F.monotonically_increasing_id().alias(row)))
-    out = _scanned(rows, text, parts[0], fields, [*keep, row], window)
+    # Each block's hits are written before the next block is built, so one block is in memory at a time.
+    shared, out = _scanned(rows, text, parts[0], fields, [*keep, row], window)
+    out = written(out)
+    shared.destroy()
     more = None
     for part in parts[1:]:
-        found = _scanned(rows, text, part, fields, [row], window).where(F.size("hit_spans") > 0).select(row, "hit_spans", "hit_items")
+        shared, found = _scanned(rows, text, part, fields, [row], window)
+        found = written(found.where(F.size("hit_spans") > 0).select(row, "hit_spans", "hit_items"))
+        shared.destroy()
         more = found if more is None else more.unionByName(found)
     spans, items = fresh(out, "spans"), fresh(out, "items")
     more = more.groupBy(row).agg(F.flatten(F.collect_list("hit_spans")).alias(spans), F.flatten(F.collect_list("hit_items")).alias(items))
@@ -188,10 +216,10 @@ def find_contamination(
     return _judged(_merged(out.drop(spans, items, row)))
 
 
-def _scanned(docs: DataFrame, text: str, part: DataFrame, fields: str, keep: Sequence[str] | None, window: int) -> DataFrame:
+def _scanned(docs: DataFrame, text: str, part: DataFrame, fields: str, keep: Sequence[str] | None, window: int) -> tuple[Broadcast, DataFrame]:
     rows = part.toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(Index(rows.column("item").to_pylist(), rows.column("text").to_pylist(), window))
-    return map_texts(docs, text, lambda _, t: _scan(t, shared.value), fields, keep)
+    return shared, map_texts(docs, text, lambda _, t: _scan(t, shared.value), fields, keep)
 
 
 def _judged(found: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ MIN_DOCS = 3
 DECAY = 1e-6
 #: Bounds of the training sample: rows of labels 0 and 1, and bytes of all their texts, which may each be of any length.
 MAX_ROWS, MAX_BYTES = (4000, 2000), (8 << 20, 5 << 20)
+#: A text of more than this part of the bytes is not learnt from.
+LARGEST = 16
 #: Words whose subwords are in one array while training, and segments that one step takes at once.
 WORDS, STEP = 10_000, 20_000
 THRESHOLD = 0.3
@@ -228,8 +230,9 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: tuple[int, int] = MAX_ROWS, max_bytes: tuple[int, int] = MAX_BYTES) -> Model:
     """Trains on at most ``max_rows`` labelled rows of labels 0 and 1 with at most ``max_bytes`` of text, those of least key hash.
 
-    Held-out rows and rows without label or text are not learnt from; texts of any length
-    are, whole, as far as the bytes reach.  Of rows with one key one is learnt from, that
+    Held-out rows and rows without label or text are not learnt from; texts of more than a
+    sixteenth of the bytes neither, so none shuts out the others.  All others are learnt
+    from whole, as far as the bytes reach.  Of rows with one key one is learnt from, that
     of least text hash; a key with both labels counts for each.  Without rows of both
     labels nothing is learnt: every text gets the same score, below the threshold.
     """
@@ -240,11 +243,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for y in (0, 1):
         part = known.where(F.col("__y") == y).dropDuplicates().orderBy(F.xxhash64("__key"), "__key").limit(max_rows[y] * 3 // 2)
         ids = part if ids is None else ids.unionByName(part)
-    found = texts.join(F.broadcast(ids), "__key").groupBy("__key", "__y").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
-    order = Window.partitionBy("__y").orderBy(F.xxhash64("__key"), "__key")
     bound = lambda b: F.when(F.col("__y") == 0, b[0]).otherwise(b[1])
-    found = found.withColumns({"__n": F.row_number().over(order), "__size": F.sum(F.octet_length("__text")).over(order)})
-    sample = found.where((F.col("__n") <= bound(max_rows)) & (F.col("__size") <= bound(max_bytes))).select("__text", "__y").toArrow().combine_chunks()
+    texts = texts.withColumns({"__hash": F.xxhash64("__text"), "__size": F.octet_length("__text")})
+    # Sizes are ranked, then the texts are fetched.
+    sizes = texts.select("__key", "__hash", "__size").join(F.broadcast(ids), "__key").groupBy("__key", "__y").agg(F.min(F.struct("__hash", "__size")).alias("__least"))
+    sizes = sizes.select("__key", "__y", "__least.*").where(F.col("__size") <= bound(max_bytes) / LARGEST)
+    order = Window.partitionBy("__y").orderBy(F.xxhash64("__key"), "__key")
+    ranked = sizes.withColumns({"__n": F.row_number().over(order), "__sum": F.sum("__size").over(order)})
+    chosen = ranked.where((F.col("__n") <= bound(max_rows)) & (F.col("__sum") <= bound(max_bytes))).select("__key", "__hash", "__y")
+    found = texts.join(F.broadcast(chosen), ["__key", "__hash"]).groupBy("__key", "__y").agg(F.min("__text").alias("__text"))
+    sample = found.select("__text", "__y").toArrow().combine_chunks()
     if not sample.num_rows:
         return train(pa.array([], pa.string()), np.zeros(0))
     sample = sample.sort_by([("__y", "ascending"), ("__text", "ascending")])

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .mapping import kept_columns
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STACK = "array<struct<size:int,host:string,path:string,verdict:string>>"
 
@@ -87,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     as shuffle partitions by default).
     """
     salts = salts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    passed = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict")]
+    passed = kept_columns(pages, keep, ("host", "path", "rule", "verdict"))
     own = pages.select(F.struct(*[F.col(f"`{c}`") for c in passed] or [F.lit(1).alias("none")]).alias("__row"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     own = own.withColumn("__key", host_key(F.col("host")))
     own = own.select(

@@ -123,6 +123,22 @@ def test_decontamination_keeps_rows_and_columns(spark, block):
     assert decontamination.find_contamination(d.limit(0), b, block_bytes=block).count() == 0
 
 
+def test_a_passage_of_many_items_costs_little():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    index = decontamination.Index([str(i) for i in range(3000)], [f"{'u' * (i % 7)}{i} v{i} {passage} w{i}" for i in range(3000)])
+    tracemalloc.start()
+    began = time.perf_counter()
+    got = decontamination._scan(pa.array([f"{passage} " * 4000, f"v7 {passage}"]), index)
+    assert time.perf_counter() - began < 10 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert [len(x) for x in got["hit_items"].to_pylist()] == [3000, 3000]
+
+
 def test_an_index_stays_small():
     import tracemalloc
 
@@ -147,6 +163,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_a_long_text_shuts_out_no_other(spark):
+    """Texts beyond a part of the bytes are not learnt from, and change nothing for the rest, whatever their keys."""
+    rows = [(i, f"the {'idiotic' if i % 2 else 'kindly'} {'abcdefgh'[i % 8]} over") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    long = [(i, "kindly idiotic " * 400) for i in range(400, 2000, 3)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    bound = {"max_bytes": (40_000, 40_000)}
+    model = toxicity.fit(make(rows), labels, **bound)
+    assert (toxicity.fit(make(rows + long), labels, **bound).weight == model.weight).all()
+    got = toxicity.score(make(rows), model).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """Noisy-or over the averages of ten-word segments, word by word."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tapeloom.llm.kernels import ALNUM, Words
+
+    texts = [f"the {w} {x} over" for w in ("idiotic", "idiots") for x in "abcdefghij"] + [f"the kind{w} {x} over" for w in ("ly", "") for x in "abcdefghij"]
+    model = toxicity.train(pa.array(texts), np.array([1] * 20 + [0] * 20))
+    asked = ["", None, "idiot", "the kind x over " * 9, "one two three four five six seven eight nine ten idiots", *texts]
+    got = model.score(Words(pa.array(asked), ALNUM, lower=True))
+    for t, s in zip(asked, got, strict=True):
+        w = Words(pa.array([t]), ALNUM, lower=True)
+        each = toxicity.word_scores(w, model.weight)
+        edges, first, size = toxicity.segments(w.counts)
+        clean = 1.0
+        for a, b in zip(edges[:-1], edges[1:]) if len(each) else [(0, 0)]:
+            z = model.bias + (sum(each[a:b]) / (b - a) if b > a else 0)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        assert s == pytest.approx(1 - clean, rel=1e-6)
+
+
 def test_toxicity_of_odd_texts_and_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, ODD), none)

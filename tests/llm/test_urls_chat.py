@@ -29,6 +29,8 @@ def test_urls_equal_brute_force(spark):
         assert len(got) == len(URLS) * 2
         for r in got:
             assert (r.host, r.path, r.rule, r.verdict) == judge((URLS * 2)[r.page_id], RULES), r
+    clash = url_filter.filter_urls(d.selectExpr("page_id", "url", "1 AS Host", "2 AS PATH", "3 AS Rule"), url_filter.rules_table(spark, RULES))
+    assert clash.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and clash.count() == len(URLS) * 2
     none = url_filter.filter_urls(d, url_filter.rules_table(spark, []))
     assert none.where("verdict = 'allow' and rule is null").count() == len(URLS) * 2
     assert url_filter.filter_urls(d.limit(0), url_filter.rules_table(spark, RULES)).count() == 0
