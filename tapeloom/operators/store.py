@@ -342,7 +342,9 @@ def considered(entries: DataFrame, folder: str, parts: int | None = None) -> Dat
     # One row a range.
     carried = ends.select("__range", F.max("__end").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
     met = rows.withColumn("__far", F.max("__end").over(before)).join(F.broadcast(carried), "__range")
-    inside = F.coalesce(F.greatest("__far", "__carried") > F.col("__key"), F.lit(False))
+    # An outer subtree ends behind an entry's own, so an entry that is listed twice is not inside itself.
+    far = F.greatest("__far", "__carried")
+    inside = F.coalesce((far > F.col("__key")) & (far != F.concat("__key", F.lit("\1"))), F.lit(False))
     return met.select(*entries.columns, "reason", (~inside).alias("considered"))
 
 

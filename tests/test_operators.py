@@ -286,7 +286,7 @@ def test_descent_equals_a_walk(spark, tmp_path):
         return "symlink" if link else "reserved" if name[0] in "_." else verdict if verdict in ("foreign", "invalid") else "too deep" if verdict == "absent" and depth >= 6 else "no marker" if verdict == "absent" else None
     stops = {k for k, e in entries.items() if reason(e) != "no marker"}
     want = {k: (reason(e), not any((k[0], "/".join(k[1].split("/")[:i])) in stops for i in range(1, k[1].count("/") + 1))) for k, e in entries.items()}
-    d = spark.createDataFrame(list(entries.values()), "root string, path string, name string, is_link boolean, depth int, verdict string, unlistable boolean")
+    d = spark.createDataFrame(list(entries.values()) + list(entries.values())[::3], "root string, path string, name string, is_link boolean, depth int, verdict string, unlistable boolean")
     for parts in (1, 7):
         got = {(r.root, r.path): (r.reason, r.considered) for r in store.considered(d, str(tmp_path / f"w{parts}"), parts).collect()}
         assert got == want
