@@ -8,6 +8,8 @@ are chosen by strangers.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -115,9 +117,106 @@ def redact(df: DataFrame, text: str = "text", confusables: bool = True) -> DataF
     return plain.unionByName(finish(other, F.when(hidden, F.col("__form")).otherwise(F.col("__done")), hidden))
 
 
+#: A string, or what opens, closes or parts values, in JSON text.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]', re.S)
+
+
+def _values(text: str, keep_paths: bool) -> list[tuple[int, int]] | None:
+    """Where the strings of JSON text stand that are values, not keys, and not below a field named ``path`` or ``*_path``; none where it is no JSON."""
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    # Open objects and lists: whether it is an object, and the name that was at hand before it.
+    found: list[tuple[int, int]] = []
+    open_: list[tuple[bool, str]] = []
+    name, key = "", False
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        if token in "{[":
+            open_.append((token == "{", name))
+            key = token == "{"
+        elif token in "}]":
+            key, name = False, open_.pop()[1]
+        elif token == ",":
+            key = open_[-1][0]
+        elif token == ":":
+            key = False
+        elif key:
+            name = json.loads(token)
+        elif not (keep_paths and (name == "path" or name.endswith("_path"))):
+            found.append(m.span())
+    return found
+
+
+def _strings(keep_paths: bool):
+    @F.pandas_udf("array<string>")
+    def strings(texts: pd.Series) -> pd.Series:
+        def of(t):
+            if t is None:
+                return None
+            at = _values(t, keep_paths)
+            return [t] if at is None else [json.loads(t[a:b]) for a, b in at]
+
+        return texts.map(of)
+
+    return strings
+
+
+def _replaced(keep_paths: bool):
+    @F.pandas_udf(T.StringType())
+    def replaced(texts: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        def of(t, old, new):
+            if t is None or list(old) == list(new):
+                return t
+            at = _values(t, keep_paths)
+            if at is None:
+                return new[0]
+            out, last = [], 0
+            for (a, b), x, y in zip(at, old, new, strict=True):
+                out += [t[last:a], t[a:b] if x == y else json.dumps(y, ensure_ascii=False)]
+                last = b
+            return "".join(out) + t[last:]
+
+        return pd.Series([of(*x) for x in zip(texts, before, after, strict=True)], dtype=object)
+
+    return replaced
+
+
+def redacted_json(text: Column, keep_paths: bool = True) -> Column:
+    """JSON text of any shape with every string value redacted, at any depth; keys, and strings below fields named ``path`` or ``*_path``, stay.
+
+    All else, white space and numbers too, stays as it was written.  Text that is no JSON
+    (or too deep for a parser) is redacted as plain text.  Strings are found and put back
+    in Python; the rules are those of :func:`redacted`.
+    """
+    found = _strings(keep_paths)(text)
+    return _replaced(keep_paths)(text, found, F.transform(found, redacted))
+
+
+def redacted_variant(value: Column, keep_paths: bool = True) -> Column:
+    """A VARIANT with every string value redacted, as :func:`redacted_json` does."""
+    return F.parse_json(redacted_json(F.to_json(value), keep_paths))
+
+
+def measured(samples: DataFrame, expected: dict[str, str] | None = None) -> DataFrame:
+    """For each ``kind`` of samples (``text``): how many, marks put in, those of the right kind, and warnings of look-alikes.
+
+    ``expected`` says which mark a kind stands for, where it is not the kind itself.
+    """
+    done = redact(samples)
+    want = F.col("kind")
+    for kind, mark in (expected or {}).items():
+        want = F.when(F.col("kind") == kind, mark).otherwise(want)
+    right = F.size(F.filter(mark_kinds(F.col("text")), lambda k: k == want))
+    return done.groupBy("kind").agg(F.count("*").alias("samples"), F.sum("redactions").cast("long").alias("redactions"), F.sum(right).cast("long").alias("right_kind"), F.count_if("possible_confusable_secret").alias("warnings"))
+
+
 def redact_nested(df: DataFrame, keep_paths: bool = True, policy: str = "enabled") -> DataFrame:
     """Redacts every string of every column, at any depth; not map keys, nor fields named ``path`` or ``*_path``.
 
+    A VARIANT is walked, too; one inside an array or a map is refused, not passed through.
+
     Adds ``redaction_policy``, which says what was done; ``disabled`` leaves all text alone.
     """
     if policy not in ("enabled", "disabled"):
@@ -129,15 +228,19 @@ def redact_nested(df: DataFrame, keep_paths: bool = True, policy: str = "enabled
     def is_path(name: str) -> bool:
         return keep_paths and (name == "path" or name.endswith("_path"))
 
-    def walk(c: Column, kind: T.DataType, name: str) -> Column:
+    def walk(c: Column, kind: T.DataType, name: str, inner: bool = False) -> Column:
         if isinstance(kind, T.StringType):
             return c if is_path(name) else redacted(c)
+        if isinstance(kind, T.VariantType):
+            if inner:
+                raise ValueError(f"{name}: a VARIANT inside an array or a map cannot be walked; redact it before it is gathered")
+            return c if is_path(name) else redacted_variant(c, keep_paths)
         if isinstance(kind, T.ArrayType):
-            return F.transform(c, lambda x: walk(x, kind.elementType, name))
+            return F.transform(c, lambda x: walk(x, kind.elementType, name, True))
         if isinstance(kind, T.MapType):
-            return F.transform_values(c, lambda _, v: walk(v, kind.valueType, name))
+            return F.transform_values(c, lambda _, v: walk(v, kind.valueType, name, True))
         if isinstance(kind, T.StructType):
-            return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
+            return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType, f.name, inner).alias(f.name) for f in kind.fields]))
         return c
 
     return marked.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields], "redaction_policy")

@@ -154,7 +154,7 @@ def batch_report(items: DataFrame, batch: str = "batch_id", stop_at_first: bool
 
 
 def batch_errors(items: DataFrame, batch: str = "batch_id", stop_at_first: bool = False, listed: int = 20) -> DataFrame:
-    """A row for each code and stage of a batch's errors: how many, and the first ``listed`` of them as (``batch_index``, ``item``)."""
+    """A row for each code and stage of a batch's errors: how many, and the first ``listed`` of them as (``batch_index``, ``item``); :func:`error_rows` has all."""
     items = _until_first_error(items, batch) if stop_at_first else items
     own = Window.partitionBy(batch, "code", "stage").orderBy("batch_index", "item")
     bad = items.where(F.col("code").isNotNull()).withColumn("__rank", F.row_number().over(own))
@@ -162,6 +162,13 @@ def batch_errors(items: DataFrame, batch: str = "batch_id", stop_at_first: bool
     return bad.groupBy(batch, "code", "stage").agg(F.count("*").alias("errors"), F.array_sort(F.collect_list(shown)).alias("shown"))
 
 
+def error_rows(items: DataFrame, batch: str = "batch_id", stop_at_first: bool = False) -> DataFrame:
+    """Every error of a batch, a row each, with its number among those of its code and stage (``error_no``, from 1)."""
+    items = _until_first_error(items, batch) if stop_at_first else items
+    own = Window.partitionBy(batch, "code", "stage").orderBy("batch_index", "item")
+    return items.where(F.col("code").isNotNull()).withColumn("error_no", F.row_number().over(own).cast("long"))
+
+
 def triage_bucket(luminance: Column, text_chars: Column) -> Column:
     return F.concat(F.when(luminance < 110, F.lit("dark_")).otherwise("light_"), F.when(text_chars <= 8, "none").when(text_chars <= 60, "low").otherwise("high"))
 

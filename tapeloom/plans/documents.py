@@ -1,7 +1,11 @@
-"""Readable documents: one markdown text for each source, put together from blocks of all tables."""
+"""Readable documents: markdown for each source, put together from blocks of all tables, as one text or in parts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +26,25 @@ def _block(df: DataFrame, section: int, text, *order) -> DataFrame:
     return df.select("source_id", F.struct(F.lit(section).alias("section"), *[k.alias(f"k{i}") for i, k in enumerate(keys)], text.alias("text")).alias("block"))
 
 
-def render(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings: DataFrame, links: DataFrame, images: bool = True) -> DataFrame:
-    """``markdown`` of each source.
+#: Bytes of one part of a document, about.
+PART_BYTES = 1 << 20
+
+
+def render(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings: DataFrame, links: DataFrame, images: bool = True, reasons: bool = False) -> DataFrame:
+    """``markdown`` of each source, from :func:`document_blocks`, in one text; :func:`parts_of` has no such bound."""
+    return _assemble(document_blocks(sources, segments, frames, warnings, links, images, reasons))
+
+
+def document_blocks(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings: DataFrame, links: DataFrame, images: bool = True, reasons: bool = False) -> DataFrame:
+    """Blocks of each source's document: ``source_id`` and ``block`` (order keys, then ``text``).
 
     Text of strangers stands in fenced blocks; a frame stands where it was shown, inside
     a segment between the words before and after it.  Readings that no second reader
     supports carry a note, and frames that add nothing say so.  What ``sources`` know of
     themselves (the columns of ``STATED``, ``description``) and who read the frames
     (``reader``) is stated behind the header; null facts are left out.  Texts on frames
-    are cut at the bound of a stored field.
+    are cut at the bound of a stored field.  With ``reasons`` a link's ``reason`` stands
+    behind it.
     """
     folded = fold_warnings(warnings)
     counts = frames.groupBy("source_id").agg(F.count("*").alias("n_frames")).join(segments.groupBy("source_id").agg(F.count("*").alias("n_segments")), "source_id", "full")
@@ -42,11 +56,12 @@ def render(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings:
     at = segments.select("source_id", F.row_number().over(_by_source()).alias("__n"), "seg_no", "start", "end", "text", "words")
     chunks = spoken_chunks(segments, placed).join(at.select("source_id", "seg_no", "__n"), ["source_id", "seg_no"])
     shown = frames.join(placed.select("source_id", "frame_index", "seg_no", "place"), ["source_id", "frame_index"]).join(at.select("source_id", "seg_no", "__n"), ["source_id", "seg_no"], "left")
-    return _assemble(
+    because = F.coalesce(F.when(F.trim("reason") != "", F.concat(F.lit(" ("), link_text(F.trim("reason")), F.lit(")"))), F.lit("")) if reasons else F.lit("")
+    return _united(
         _block(head, HEADER, header),
         _block(_provenance(sources).where("stated <> ''"), PROVENANCE, F.col("stated")),
         _block(folded, WARNINGS, F.concat(F.lit("- Warning `"), F.col("code"), F.lit("` ("), F.col("stage"), F.lit("), "), F.col("occurrences").cast("string"), F.lit("x: "), link_text(F.coalesce("message", F.lit("")))), "seq"),
-        _block(links, LINKS, F.concat(F.lit("- ["), link_text(F.col("label")), F.lit("]("), link_target(F.col("url")), F.lit(")")), "line_no", "pos"),
+        _block(links, LINKS, F.concat(F.lit("- ["), link_text(F.col("label")), F.lit("]("), link_target(F.col("url")), F.lit(")"), because), "line_no", "pos"),
         _block(at, BODY, F.concat(F.lit("## "), timestamp(F.col("start")), F.lit(" - "), timestamp(F.col("end"))), "__n", F.lit(1)),
         _block(chunks, BODY, fenced(F.col("text")), "__n", F.lit(2), F.col("chunk")),
         _block(_frame_places(shown), BODY, _frame_text(images), F.coalesce("__n", F.lit(1e15)), F.when(F.col("place") == "before", 0).otherwise(2), F.when(F.col("place") == "inside", F.col("__k") + 0.5).otherwise(F.col("timestamp_sec")), "frame_index"),
@@ -83,16 +98,70 @@ def _frame_text(images: bool):
     return F.concat(F.lit("### Frame at "), timestamp(F.col("timestamp_sec")), F.lit("\n\n"), image, F.when(F.trim(text) != "", fenced(text, "ocr")).otherwise("No text was read."), note, verdict)
 
 
-def _assemble(*blocks: DataFrame) -> DataFrame:
+def _united(*blocks: DataFrame) -> DataFrame:
     met = blocks[0]
     for b in blocks[1:]:
         met = met.unionByName(b)
+    return met
+
+
+def _assemble(blocks: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list("block")), lambda b: b["text"])
-    return met.groupBy("source_id").agg(F.concat(F.array_join(ordered, "\n\n"), F.lit("\n")).alias("markdown"))
+    return blocks.groupBy("source_id").agg(F.concat(F.array_join(ordered, "\n\n"), F.lit("\n")).alias("markdown"))
+
 
+def parts_of(blocks: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Documents in parts, without a list of a source's blocks: ``source_id``, ``part_range``, ``part_no``, ``markdown``.
 
-def render_filtered(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings: DataFrame, links: DataFrame) -> DataFrame:
-    """:func:`render` without frames that add nothing; warnings and links are redacted again on the way out."""
+    Blocks are sorted over all sources, in ranges, so a source of any length is spread;
+    each range streams by, and a part is given out when it has about ``part_bytes`` or its
+    source ends.  A source's parts in order of ``part_range`` and ``part_no``, joined by
+    empty lines, with a line break behind the last, are :func:`render`'s text.
+    """
+    rows = blocks.select("source_id", "block.*")
+    order = ["source_id", "section", "k0", "k1", "k2", "k3", "text"]
+    kind = rows.schema["source_id"].dataType.simpleString()
+    names = ["source_id", "part_range", "part_no", "markdown"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, no, at, held, size = TaskContext.get().partitionId(), 0, None, [], 0
+        source = None
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], source), pa.array([here], pa.int32()), pa.array([no], pa.int64()), pa.array(["\n\n".join(held)], pa.string())], names=names)
+
+        for batch in batches:
+            source = batch.schema.field(0).type
+            ids, texts = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):
+                who, text = ids[i].as_py(), texts[i].as_py()
+                if held and (who != at or size >= part_bytes):
+                    yield part()
+                    no, held, size = no + 1, [], 0
+                at = who
+                if text is not None:
+                    held.append(text)
+                    size += len(text) + 2
+        if held:
+            yield part()
+
+    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select("source_id", "text")
+    return ranged.mapInArrow(run, f"source_id {kind}, part_range int, part_no long, markdown string")
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """The parts of each source as one text."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part_range", "part_no", "markdown"))), lambda p: p["markdown"])
+    return parts.groupBy("source_id").agg(F.concat(F.array_join(ordered, "\n\n"), F.lit("\n")).alias("markdown"))
+
+
+def filtered_blocks(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings: DataFrame, links: DataFrame, reasons: bool = False) -> DataFrame:
+    """:func:`document_blocks` without frames that add nothing; all texts of warnings and links are redacted again on the way out, also who found a link and why."""
     safe_warnings = warnings.withColumn("message", redacted(F.col("message")))
-    safe_links = links.withColumns({c: redacted(F.col(c)) for c in ("url", "label")})
-    return render(sources, segments, informative_frames(frames), safe_warnings, safe_links)
+    safe_links = links.withColumns({c: redacted(F.col(c)) for c in ("url", "label", "source", "reason") if c in links.columns})
+    return document_blocks(sources, segments, informative_frames(frames), safe_warnings, safe_links, reasons=reasons)
+
+
+def render_filtered(sources: DataFrame, segments: DataFrame, frames: DataFrame, warnings: DataFrame, links: DataFrame, reasons: bool = False) -> DataFrame:
+    """:func:`filtered_blocks` as one text a source."""
+    return _assemble(filtered_blocks(sources, segments, frames, warnings, links, reasons))

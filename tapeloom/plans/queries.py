@@ -508,4 +508,4 @@ def redaction_false_positives(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.when(F.array_contains(redaction.mark_kinds(redaction.redacted(F.col("text"))), "assigned-secret"), 1).otherwise(0)).alias("marked"))
 
 
-from . import record_queries, stream_queries  # noqa: E402, F401 - they register more
+from . import policy_queries, record_queries, stream_queries  # noqa: E402, F401 - they register more

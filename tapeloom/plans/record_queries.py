@@ -197,11 +197,14 @@ def resolution_evidence(spark, sf_dir):
 e AS (SELECT *, row_number() OVER (PARTITION BY batch_id, code, stage ORDER BY batch_index) AS n FROM i WHERE code IS NOT NULL)
 SELECT batch_id, code, stage, count(*) AS errors, string_agg(batch_index || ':' || item, ',' ORDER BY batch_index) FILTER (WHERE n <= 2) AS shown FROM e GROUP BY ALL""")
 def batch_error_list(spark, sf_dir):
+    shown = F.array_join(F.transform("shown", lambda x: F.concat(x["batch_index"].cast("string"), F.lit(":"), x["item"].cast("string"))), ",")
+    return folds.batch_errors(batch_items(spark, sf_dir), listed=2).withColumn("shown", shown)
+
+
+def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.table(spark, sf_dir, "events")
     code = F.when(F.col("event_type") == "error", F.concat(F.lit("E_"), (F.floor("value") % 3).cast("string")))
-    items = e.select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("item"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("batch_index"), code.alias("code"), F.concat(F.lit("stage"), (F.col("event_id") % 2).cast("string")).alias("stage"))
-    shown = F.array_join(F.transform("shown", lambda x: F.concat(x["batch_index"].cast("string"), F.lit(":"), x["item"].cast("string"))), ",")
-    return folds.batch_errors(items, listed=2).withColumn("shown", shown)
+    return e.select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("item"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("batch_index"), code.alias("code"), F.concat(F.lit("stage"), (F.col("event_id") % 2).cast("string")).alias("stage"))
 
 
 @query("SELECT bundle_key, count(DISTINCT sha256(text)) AS fingerprints, min(sha256(text)) AS first_fingerprint FROM (SELECT text, source || ':' || n_chars AS bundle_key FROM documents) GROUP BY bundle_key HAVING count(DISTINCT sha256(text)) > 1")
@@ -425,8 +428,7 @@ UNION ALL SELECT source_id, 4, coalesce(nth, 1e15), CASE WHEN place = 'before' T
 SELECT source_id, string_agg(text, chr(10) || chr(10) ORDER BY section, k0, k1, k2, k3, text) || chr(10) AS markdown FROM blocks GROUP BY source_id"""
 
 
-@query(DOCUMENT_SQL)
-def documents_rendered(spark, sf_dir):
+def document_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     s, f = b.segments(spark, sf_dir), b.frames(spark, sf_dir)
     k = F.col("source_id")
     shown = f.withColumns({"relative_path": F.format_string("frames/frame_%04d.png", "frame_index"), "extracted_text": F.when(F.col("frame_index") % 2 == 0, "on screen"), "grounding": F.struct(F.lit("weak").alias("level"))})
@@ -435,4 +437,9 @@ def documents_rendered(spark, sf_dir):
     )
     own = described(spark, sf_dir).drop("source_id").withColumnRenamed("page_id", "source_id").join(sources.select("source_id"), "source_id", "left_semi")
     told = b.warnings(spark, sf_dir).join(sources.select("source_id"), "source_id", "left_semi")
-    return documents.render_filtered(sources, s, shown, told, links.extract_links(own, "source_id", "text"))
+    return sources, s, shown, told, links.extract_links(own, "source_id", "text")
+
+
+@query(DOCUMENT_SQL)
+def documents_rendered(spark, sf_dir):
+    return documents.render_filtered(*document_tables(spark, sf_dir))

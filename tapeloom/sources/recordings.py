@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File extensions of videos.
@@ -24,11 +24,29 @@ def list_media(spark: SparkSession, folder: str, recursive: bool = True, max_ite
     return kept if max_items is None else kept.limit(max_items)
 
 
-def segments_of(transcripts: DataFrame, source: str = "source_id", document: str = "document") -> DataFrame:
-    """Segments of transcript documents (JSON), each with its place; a document without any gives one row without ``seg_no``."""
-    parsed = transcripts.select(source, F.from_json(document, TRANSCRIPT).alias("t"))
-    rows = parsed.select(source, F.col("t.language").alias("language"), F.posexplode_outer("t.segments").alias("seg_no", "s"))
-    return rows.select(source, "seg_no", "language", "s.start", "s.end", "s.text", "s.avg_logprob", "s.words")
+def transcript_problem(document: Column) -> Column:
+    """What is wrong with a transcript document, null for a good one: no JSON, no object, ``segments`` no list, or a segment without times."""
+    v = F.try_parse_json(document)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    times = F.try_variant_get(v, "$.segments", "array<struct<start:double,end:double>>")
+    timed = F.forall(times, lambda s: s["start"].isNotNull() & s["end"].isNotNull())
+    return (
+        F.when(v.isNull(), "not JSON").when(~kind("$").startswith("OBJECT"), "not an object").when(~kind("$.segments").startswith("ARRAY"), "segments")
+        .when(~F.coalesce(timed, F.lit(False)), "segment")
+    )
+
+
+def segments_of(transcripts: DataFrame, source: str = "source_id", document: str = "document", problems: bool = False) -> DataFrame:
+    """Segments of transcript documents (JSON), each with its place; a document without any gives one row without ``seg_no``.
+
+    With ``problems`` each row says what is wrong with its document (``problem``, null for
+    a good one); the segments of a malformed document are not given, but it has its row.
+    """
+    found = transcript_problem(F.col(document)) if problems else F.lit(None).cast("string")
+    parsed = transcripts.select(source, found.alias("problem"), F.from_json(document, TRANSCRIPT).alias("t"))
+    usable = F.when(F.col("problem").isNull(), F.col("t.segments"))
+    rows = parsed.select(source, "problem", F.col("t.language").alias("language"), F.posexplode_outer(usable).alias("seg_no", "s"))
+    return rows.select(source, "seg_no", "language", "s.start", "s.end", "s.text", "s.avg_logprob", "s.words", *(["problem"] if problems else []))
 
 
 def manifest_tables(manifests: DataFrame, document: str = "manifest_json") -> dict[str, DataFrame]:

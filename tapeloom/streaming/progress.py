@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import TERMINAL, occurrences_of
 from ..operators.timeline import DELIVERED, IMMEDIATE, TRANSPORT
@@ -36,37 +35,98 @@ def windowed_counts(warnings: DataFrame, delay: str = "10 minutes", width: str =
     return counted.select(F.col("w.start").alias("window_start"), "stage", "code", "occurrences")
 
 
-def live_progress(events: DataFrame, weights: dict[str, float], idle_sec: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
-    """The overall percent of each job after each batch; events at or before the last sequence seen are ignored.
+class Remembering(StatefulProcessor):
+    """State of one key that ends: a timer forgets it when the watermark passes its last event by the idle time.
 
-    Keyed state of one job: the last sequence and its mechanisms' percents.  It is kept
-    until the watermark passes the job's last event by ``idle_sec``, also after the end,
-    so an event that is delivered again starts nothing anew.
+    ``alive`` holds the time of the last event and of the timer that waits for it, so a key
+    has one such timer however many batches it is in.
     """
-    names, total = list(weights), sum(weights.values())
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, percents, ended = state.get if state.exists else (-1, [0.0] * len(names), [False] * len(names))
-        percents, ended = list(percents), list(ended)
-        rows = pd.concat(list(batches)).sort_values("sequence")
-        for row in rows.itertuples():
-            if row.sequence <= last:
-                continue
-            last = row.sequence
-            if row.mechanism not in weights:
+    idle_ms: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alive = handle.getValueState("alive", "ms long, timer long")
+
+    def heard(self, ms: int, timerValues, wait: int | None = None) -> None:  # noqa: N803
+        """Moves the timer to ``wait`` (the idle time) after the latest event."""
+        last, timer = self.alive.get() if self.alive.exists() else (ms, None)
+        last = max(last, ms)
+        at = max(last + (self.idle_ms if wait is None else wait), timerValues.getCurrentWatermarkInMs() + 1)
+        if timer != at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+        self.alive.update((last, at))
+
+    def close(self) -> None:
+        pass
+
+
+class OverallProgress(Remembering):
+    """Last sequence of a job (a value) and each mechanism's percent and end (a map)."""
+
+    def __init__(self, weights: dict[str, float], idle_sec: float):
+        self.weights, self.idle_ms = weights, int(idle_sec * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "sequence long")
+        self.mechanisms = handle.getMapState("mechanisms", "mechanism string", "percent double, ended boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        for r in initialState.itertuples():
+            before = self.last.get()[0] if self.last.exists() else -1
+            self.last.update((max(before, int(r.sequence)),))
+            if r.mechanism in self.weights:
+                self.mechanisms.updateValue((r.mechanism,), (float(r.percent), bool(r.ended)))
+            self.heard(int(r.ms), timerValues)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else -1
+        known = {k[0]: tuple(v) for k, v in self.mechanisms.iterator()} if self.mechanisms.exists() else {}
+        changed = set()
+        events = pd.concat(list(rows)).sort_values("sequence")
+        for n, mechanism, status, percent in zip(events["sequence"], events["mechanism"], events["status"], events["percent"], strict=True):
+            if n <= last:
                 continue
-            i = names.index(row.mechanism)
-            ended[i] = row.status in TERMINAL
-            percents[i] = 100.0 if ended[i] else 0.0 if pd.isna(row.percent) else round(min(100.0, max(0.0, float(row.percent))), 3)
-        overall = 100.0 if all(ended) else round(sum(p * w for p, w in zip(percents, weights.values(), strict=True)) / total, 3)
-        state.update((int(last), percents, ended))
-        state.setTimeoutTimestamp(max(int((rows["ts"].max().timestamp() + idle_sec) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]], "sequence": [int(last)], "overall_percent": [overall]})
+            last = int(n)
+            if mechanism in self.weights:
+                ended = status in TERMINAL
+                known[mechanism] = (100.0 if ended else 0.0 if pd.isna(percent) else round(min(100.0, max(0.0, float(percent))), 3), ended)
+                changed.add(mechanism)
+        for m in changed:
+            self.mechanisms.updateValue((m,), known[m])
+        self.last.update((last,))
+        self.heard(int(events["ms"].max()), timerValues)
+        overall = 100.0 if all(known.get(m, (0.0, False))[1] for m in self.weights) else round(sum(known.get(m, (0.0, False))[0] * w for m, w in self.weights.items()) / sum(self.weights.values()), 3)
+        yield pd.DataFrame({"job_id": [key[0]], "sequence": [last], "overall_percent": [overall]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.alive, self.last, self.mechanisms):
+            state.clear()
+        return iter(())
 
-    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(run, "job_id string, sequence long, overall_percent double", "last long, percents array<double>, ended array<boolean>", "update", GroupStateTimeout.EventTimeTimeout)
+
+def live_progress(events: DataFrame, weights: dict[str, float], idle_sec: float = 3600.0, delay: str = "10 minutes", snapshot: DataFrame | None = None) -> DataFrame:
+    """The overall percent of each job after each batch; events at or before the last sequence seen are ignored.
+
+    State of one job: the last sequence and its mechanisms' percents.  It is kept until
+    the watermark passes the job's last event by ``idle_sec``, also after the end, so an
+    event that is delivered again starts nothing anew.  A new stream continues from a
+    ``snapshot`` (``job_id``, ``mechanism``, ``sequence``, ``percent``, ``ended``, ``ts``;
+    see :func:`progress_snapshot`).  Needs the RocksDB state store, as :func:`drained` sets.
+    """
+    timed = events.where("ts is not null").withWatermark("ts", delay).select("job_id", "sequence", "mechanism", "status", F.col("percent").cast("double").alias("percent"), F.unix_millis("ts").alias("ms"), "ts")
+    start = None if snapshot is None else snapshot.select("job_id", "mechanism", "sequence", "percent", "ended", F.unix_millis("ts").alias("ms")).groupBy("job_id")
+    return timed.groupBy("job_id").transformWithStateInPandas(OverallProgress(weights, idle_sec), "job_id string, sequence long, overall_percent double", "update", "eventTime", initialState=start)
+
+
+def progress_snapshot(events: DataFrame) -> DataFrame:
+    """What :func:`live_progress` knows of each job and mechanism after a table of events: a start for a new stream."""
+    percent = F.when(F.col("status").isin(TERMINAL), 100.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col("percent").cast("double"), F.lit(0.0)))), 3))
+    latest = events.where("ts is not null").groupBy("job_id", "mechanism").agg(F.max_by(F.struct(percent.alias("percent"), F.coalesce(F.col("status").isin(TERMINAL), F.lit(False)).alias("ended")), "sequence").alias("x"), F.max("sequence").alias("sequence"), F.max("ts").alias("ts"))
+    return latest.select("job_id", "mechanism", "sequence", "x.percent", "x.ended", "ts")
 
 
 def advances(events: DataFrame) -> DataFrame:
@@ -172,38 +232,62 @@ def stream_stalls(events: DataFrame, stall_sec: float = STALL_SEC, delay: str =
     return timed.groupBy("job_id").transformWithStateInPandas(watch, STALLS, "append", "eventTime")
 
 
-def stream_job_status(events: DataFrame, stall_sec: float = STALL_SEC, delay: str = "1 minute") -> DataFrame:
+class JobWatch(Remembering):
+    """The latest record of a job and the status that was shown last."""
+
+    def __init__(self, stall_sec: float):
+        self.stall_ms = int(stall_sec * 1000)
+        self.idle_ms = 10 * self.stall_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.job = handle.getValueState("job", "ms long, seq long, shown string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        for r in initialState.itertuples():
+            self.job.update((int(r.ms), int(r.seq), r.status))
+            self.heard(int(r.ms), timerValues, self.stall_ms if r.status == "running" else None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms, seq, shown = self.job.get() if self.job.exists() else (-1, -1, "")
+        records = pd.concat(list(rows)).sort_values(["ms", "seq"])
+        last = records.iloc[-1]
+        if (int(last["ms"]), int(last["seq"])) > (ms, seq):
+            ms, seq, status = int(last["ms"]), int(last["seq"]), last["status"]
+            self.job.update((ms, seq, status))
+            self.heard(ms, timerValues, self.stall_ms if status == "running" else None)
+            if status != shown:
+                yield self._row(key, status, ms, seq)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms, seq, shown = self.job.get()
+        if shown != "running":
+            self.job.clear()
+            self.alive.clear()
+            return
+        self.job.update((ms, seq, "abandoned"))
+        self.alive.clear()
+        self.heard(ms, timerValues)
+        yield self._row(key, "abandoned", ms, seq)
+
+    @staticmethod
+    def _row(key, status: str, ms: int, seq: int) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "status": [status], "updated_ms": [ms], "seq": [seq]})
+
+
+def stream_job_status(events: DataFrame, stall_sec: float = STALL_SEC, delay: str = "1 minute", snapshot: DataFrame | None = None) -> DataFrame:
     """Streaming form of :func:`job_status`: a row whenever a job's status changes, in the order of ``updated_at`` and ``seq``.
 
     A running job is abandoned once the watermark passes its last record by ``stall_sec``;
     a later record takes that back.  Records that come late do not count.  A job's state
     goes when it has been silent ten times as long.  Ids outside the domain are left out.
+    A new stream continues from a ``snapshot`` of statuses (``job_id``, ``status``,
+    ``updated_at``, ``seq``).  Needs the RocksDB state store, as :func:`drained` sets.
     """
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, seq, recorded, shown = state.get if state.exists else (-1, -1, "", "")
-        status = "abandoned"
-        if state.hasTimedOut:
-            if shown != "running":
-                state.remove()
-                return
-        else:
-            rows = pd.concat(list(batches)).sort_values(["updated_at", "seq"])
-            t, n = rows["updated_at"].iloc[-1], int(rows["seq"].iloc[-1])
-            ms = int(t.timestamp() * 1000)
-            if (ms, n) > (at, seq):
-                at, seq, recorded = ms, n, rows["status"].iloc[-1]
-                status = recorded
-            else:
-                status = shown
-        changed = status != shown
-        state.update((int(at), int(seq), recorded, status))
-        wait = stall_sec * (1 if status == "running" else 10)
-        state.setTimeoutTimestamp(max(at + int(wait * 1000), state.getCurrentWatermarkMs() + 1))
-        if changed:
-            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "updated_ms": [int(at)], "seq": [int(seq)]})
-
-    good = events.where(F.col("job_id").rlike(JOB_ID)).withWatermark("updated_at", delay)
-    return good.groupBy("job_id").applyInPandasWithState(run, "job_id string, status string, updated_ms long, seq long", "at long, seq long, recorded string, shown string", "append", GroupStateTimeout.EventTimeTimeout)
+    good = events.where(F.col("job_id").rlike(JOB_ID) & F.col("updated_at").isNotNull()).withWatermark("updated_at", delay)
+    rows = lambda df: df.select("job_id", "status", F.unix_millis("updated_at").alias("ms"), F.col("seq").cast("long").alias("seq"), *(["updated_at"] if df is good else []))
+    start = None if snapshot is None else rows(snapshot).groupBy("job_id")
+    return rows(good).groupBy("job_id").transformWithStateInPandas(JobWatch(stall_sec), "job_id string, status string, updated_ms long, seq long", "append", "eventTime", initialState=start)
 
 
 def job_status(events: DataFrame, now: str | None = None, stall_sec: float = STALL_SEC) -> DataFrame:
@@ -226,42 +310,69 @@ def bad_job_ids(events: DataFrame) -> DataFrame:
     return events.where(~F.coalesce(F.col("job_id").rlike(JOB_ID), F.lit(False)))
 
 
-def stream_breaker(attempts: DataFrame, limit: int = 3, time: str | None = None, idle_sec: float = 86_400.0, delay: str = "10 minutes") -> DataFrame:
-    """Transitions of each run's breaker: ``open`` once, and ``closed`` whenever a success clears failures before that.
+class Breaker(Remembering):
+    """Last attempt, failures in a row and whether the breaker is open, of one run."""
 
-    Attempts at or before the last one seen are ignored.  With a ``time`` column a run's
-    state goes when the watermark passes its last attempt by ``idle_sec``; without one it
-    is kept, three numbers a run.
-    """
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, failures, opened = state.get if state.exists else (-1, 0, False)
+    def __init__(self, limit: int, idle_sec: float, timed: bool):
+        self.limit, self.idle_ms, self.timed = limit, int(idle_sec * 1000), timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = "attempt long, failures int, opened boolean"
+        if self.timed:
+            super().init(handle)
+            self.run = handle.getValueState("run", fields)
+        else:
+            self.run = handle.getValueState("run", fields, ttlDurationMs=self.idle_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        for r in initialState.itertuples():
+            self.run.update((int(r.attempt), int(r.failures), bool(r.opened)))
+            if self.timed:
+                self.heard(int(r.ms), timerValues)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, failures, opened = self.run.get() if self.run.exists() else (-1, 0, False)
         out = []
-        rows = pd.concat(list(batches)).sort_values("attempt")
-        for row in rows.itertuples():
-            if row.attempt <= last:
+        attempts = pd.concat(list(rows)).sort_values("attempt")
+        for n, code in zip(attempts["attempt"], attempts["code"], strict=True):
+            if n <= last:
                 continue
-            last = row.attempt
+            last = int(n)
             if opened:
                 continue
-            code = None if pd.isna(row.code) else row.code
+            code = None if pd.isna(code) else code
             failures += code in TRANSPORT
-            if code in IMMEDIATE or (code in TRANSPORT and failures >= limit):
+            if code in IMMEDIATE or (code in TRANSPORT and failures >= self.limit):
                 opened = True
-                out.append((key[0], int(row.attempt), "open", code))
+                out.append((key[0], last, "open", code))
             elif (code is None or code in DELIVERED) and failures:
                 failures = 0
-                out.append((key[0], int(row.attempt), "closed", code))
-        state.update((int(last), int(failures), bool(opened)))
-        if time:
-            state.setTimeoutTimestamp(max(int((rows[time].max().timestamp() + idle_sec) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["run_id", "attempt", "state", "code"])
-
-    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
-    marked = attempts.withWatermark(time, delay) if time else attempts
-    return marked.groupBy("run_id").applyInPandasWithState(run, "run_id string, attempt long, state string, code string", "last long, failures int, opened boolean", "append", timeout)
+                out.append((key[0], last, "closed", code))
+        self.run.update((last, int(failures), bool(opened)))
+        if self.timed:
+            self.heard(int(attempts["ms"].max()), timerValues)
+        yield pd.DataFrame(out, columns=["run_id", "attempt", "state", "code"]).astype({"attempt": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.run.clear()
+        self.alive.clear()
+        return iter(())
+
+
+def stream_breaker(attempts: DataFrame, limit: int = 3, time: str | None = None, idle_sec: float = 86_400.0, delay: str = "10 minutes", snapshot: DataFrame | None = None) -> DataFrame:
+    """Transitions of each run's breaker: ``open`` once, and ``closed`` whenever a success clears failures before that.
+
+    Attempts at or before the last one seen are ignored.  With a ``time`` column a run's
+    state goes when the watermark passes its last attempt by ``idle_sec``; without one it
+    goes when the run has been silent that long by the clock.  A new stream continues from
+    a ``snapshot`` (``run_id``, ``attempt``, ``failures``, ``opened`` and the ``time``
+    column).  Needs the RocksDB state store, as :func:`drained` sets.
+    """
+    marked = attempts.where(F.col(time).isNotNull()).withWatermark(time, delay) if time else attempts
+    ms = F.unix_millis(time) if time else F.lit(0).cast("long")
+    rows = marked.select("run_id", F.col("attempt").cast("long").alias("attempt"), "code", ms.alias("ms"), *([time] if time else []))
+    start = None if snapshot is None else snapshot.select("run_id", F.col("attempt").cast("long").alias("attempt"), "failures", "opened", ms.alias("ms")).groupBy("run_id")
+    return rows.groupBy("run_id").transformWithStateInPandas(Breaker(limit, idle_sec, time is not None), "run_id string, attempt long, state string, code string", "append", "eventTime" if time else "processingTime", initialState=start)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -298,3 +298,63 @@ def test_staging_is_listed_per_bundle(spark):
     bundles = spark.createDataFrame([("b", "x", "b", "g1", False), ("c", None, None, None, False)], "bundle_key string, marker string, identity string, active string, locked boolean")
     staging = spark.createDataFrame([("b", ".tmp-2"), ("b", ".tmp-1")], "bundle_key string, name string")
     assert {r.bundle_key: r.staging for r in store.survey(bundles, g, staging).collect()} == {"b": [".tmp-1", ".tmp-2"], "c": []}
+
+
+def test_a_model_is_built_once_a_worker_and_batches_follow_bytes(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def setup():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda part: pd.DataFrame({"rows": [len(part)] * len(part), "pid": [os.getpid()] * len(part)})
+
+    d = spark.createDataFrame([(i, "x" * (3000 if i % 10 == 0 else 10), "clash") for i in range(200)], "id long, text string, Rows string").repartition(8)
+    got = inference.infer(d, None, "rows int, pid long", batch_rows=7, batch_bytes=2000, setup=setup).collect()
+    built = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    # Eight tasks, but no process has built its model twice.
+    assert len(built) == len(set(built)) and {str(r.pid) for r in got} == set(built)
+    assert len(got) == 200 and all(r.rows == 1 for r in got if len(r.text) == 3000) and max(r.rows for r in got) == 7
+    with pytest.raises(ValueError):
+        inference.infer(d, None, "rows int")
+
+
+def test_parts_of_a_long_document_are_its_text(spark):
+    """A source with very many blocks comes in parts over several ranges; null texts and sources without a row, too."""
+    rows = [("a", 4, float(i), f"block {i} " + "x" * (i % 50)) for i in range(3000)] + [("b", 0, 0.0, "# B"), (None, 1, 0.0, "z"), ("c", 2, 0.0, None), ("c", 2, 1.0, "")]
+    d = spark.createDataFrame(rows, "source_id string, section int, k0 double, text string")
+    block = F.struct("section", "k0", *[F.lit(0.0).alias(f"k{i}") for i in (1, 2, 3)], "text").alias("block")
+    blocks = d.select("source_id", block)
+    parts = documents.parts_of(blocks, 5000)
+    assert parts.where("source_id = 'a'").count() > 10
+    assert parts.agg(F.max(F.length("markdown"))).first()[0] < 5100
+    whole = {r.source_id: r.markdown for r in documents._assemble(blocks).collect()}
+    assert {r.source_id: r.markdown for r in documents.joined_parts(parts).collect()} == whole
+
+
+def test_links_are_redacted_with_their_reasons(spark):
+    secret = "ghp_" + "aB3" * 12
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = spark.createDataFrame([("a", 0, 0, "https://x.org", "x", f"who {secret}", f"why {secret}")], "source_id string, line_no int, pos int, url string, label string, source string, reason string")
+    blocks = documents.filtered_blocks(
+        spark.createDataFrame([("a", "T")], "source_id string, title string"), empty("source_id string, seg_no int, start double, end double, text string, avg_logprob double, words array<struct<word:string,start:double,end:double,probability:double>>"),
+        empty("source_id string, frame_index int, timestamp_sec double, relative_path string, extracted_text string, adds_information boolean, grounding struct<level:string>"), empty("source_id string, seq long, stage string, code string, message string, occurrences int"), found, reasons=True,
+    )
+    text = "".join(r.block.text for r in blocks.collect())
+    assert "[x](https://x.org) (why \\[REDACTED:github-token\\])" in text and secret not in text
+
+
+def test_malformed_transcripts_are_marked(spark):
+    docs = {1: '{"segments": [{"start": 0, "end": 1, "text": "a"}]}', 2: "{", 3: "[]", 4: '{"segments": 5}', 5: '{"segments": [{"start": 0}]}', 6: "{}", 7: None, 8: '{"segments": []}', 9: "null"}
+    d = spark.createDataFrame(list(docs.items()), "source_id int, document string")
+    got = {r.source_id: (r.problem, r.text) for r in recordings.segments_of(d, problems=True).collect()}
+    assert got == {1: (None, "a"), 2: ("not JSON", None), 3: ("not an object", None), 4: ("segments", None), 5: ("segment", None), 6: ("segments", None), 7: ("not JSON", None), 8: (None, None), 9: ("not an object", None)}
+    assert "problem" not in recordings.segments_of(d).columns
+
+
+def test_every_error_has_a_row(spark):
+    d = spark.createDataFrame([("b", i, f"x{i}", "E" if i % 2 else None, "s") for i in range(1, 101)], "batch_id string, batch_index long, item string, code string, stage string")
+    got = folds.error_rows(d).collect()
+    assert sorted((r.error_no, r.batch_index) for r in got) == [(i + 1, 2 * i + 1) for i in range(50)]
+    assert folds.error_rows(d, stop_at_first=True).count() == 1

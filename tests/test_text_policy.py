@@ -146,3 +146,43 @@ def test_corpus_digest_is_folded_in_order_without_one_list(spark):
     assert [r.digest for r in made.collect()] == [digest([x for _, x in each])]
     assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert [r.digest for r in identity.corpus_digest(d.limit(0), "labels", "at", "image", "truth").collect()] == [digest([])]
+
+
+def test_json_of_any_shape_is_redacted_like_a_walk(spark):
+    import json
+    import random
+
+    rnd = random.Random(3)
+    secret, mark = "Bearer " + "abcdef0123456789xyz", "Bearer [REDACTED:oauth-token]"
+
+    def made(depth):
+        kind = rnd.randrange(7 if depth < 5 else 4)
+        if kind < 4:
+            return rnd.choice([secret, "plain \"é\" \\ \n{[:,", 1.50, 10**30, None, True, f"say {secret} !", ""])
+        if kind < 6:
+            return {rnd.choice(["a", "path", "file_path", secret, "x:y", ""]) + rnd.choice(["", "1"]): made(depth + 1) for _ in range(rnd.randrange(4))}
+        return [made(depth + 1) for _ in range(rnd.randrange(4))]
+
+    def walk(v, name=""):
+        if isinstance(v, str):
+            return v if name == "path" or name.endswith("_path") else v.replace(secret, mark)
+        if isinstance(v, dict):
+            return {k: walk(x, k) for k, x in v.items()}
+        return [walk(x, name) for x in v] if isinstance(v, list) else v
+
+    values = [made(0) for _ in range(150)]
+    texts = [json.dumps(v, ensure_ascii=i % 2 == 0, indent=i % 3 or None) for i, v in enumerate(values)]
+    odd = [None, "", "{", f"no json {secret}", f'{{"a": "{secret}"', "[" * 5000 + f'"{secret}"' + "]" * 5000, '{"n":  1.50e+00 , "s":"\\u0041" }']
+    d = spark.createDataFrame(list(enumerate(texts + odd)), "i int, t string")
+    got = [r.s for r in d.select("i", redaction.redacted_json(F.col("t")).alias("s")).orderBy("i").collect()]
+    for text_, value, safe in zip(texts, values, got, strict=False):
+        assert json.loads(safe) == walk(value)
+        if walk(value) == value:
+            assert safe == text_
+    assert got[150:] == [None, "", "{", f"no json {mark}", f'{{"a": "{mark}"', "[" * 5000 + f'"{mark}"' + "]" * 5000, odd[-1]]
+    v = d.where("i < 100").select("i", F.parse_json("t").alias("v"), F.struct(F.parse_json("t").alias("w")).alias("s"))
+    safe = redaction.redact_nested(v)
+    rows = safe.select("i", F.to_json("v").alias("v"), F.to_json("s.w").alias("w")).collect()
+    assert all(json.loads(r.v) == json.loads(r.w) == walk(values[r.i]) for r in rows)
+    with pytest.raises(ValueError):
+        redaction.redact_nested(d.select(F.array(F.parse_json(F.lit("1"))).alias("a")))
