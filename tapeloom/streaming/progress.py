@@ -313,22 +313,17 @@ def bad_job_ids(events: DataFrame) -> DataFrame:
 class Breaker(Remembering):
     """Last attempt, failures in a row and whether the breaker is open, of one run."""
 
-    def __init__(self, limit: int, idle_sec: float, timed: bool):
-        self.limit, self.idle_ms, self.timed = limit, int(idle_sec * 1000), timed
+    def __init__(self, limit: int, idle_sec: float):
+        self.limit, self.idle_ms = limit, int(idle_sec * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = "attempt long, failures int, opened boolean"
-        if self.timed:
-            super().init(handle)
-            self.run = handle.getValueState("run", fields)
-        else:
-            self.run = handle.getValueState("run", fields, ttlDurationMs=self.idle_ms)
+        super().init(handle)
+        self.run = handle.getValueState("run", "attempt long, failures int, opened boolean")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         for r in initialState.itertuples():
             self.run.update((int(r.attempt), int(r.failures), bool(r.opened)))
-            if self.timed:
-                self.heard(int(r.ms), timerValues)
+            self.heard(int(r.ms), timerValues)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last, failures, opened = self.run.get() if self.run.exists() else (-1, 0, False)
@@ -349,8 +344,7 @@ class Breaker(Remembering):
                 failures = 0
                 out.append((key[0], last, "closed", code))
         self.run.update((last, int(failures), bool(opened)))
-        if self.timed:
-            self.heard(int(attempts["ms"].max()), timerValues)
+        self.heard(int(attempts["ms"].max()), timerValues)
         yield pd.DataFrame(out, columns=["run_id", "attempt", "state", "code"]).astype({"attempt": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -363,16 +357,18 @@ def stream_breaker(attempts: DataFrame, limit: int = 3, time: str | None = None,
     """Transitions of each run's breaker: ``open`` once, and ``closed`` whenever a success clears failures before that.
 
     Attempts at or before the last one seen are ignored.  With a ``time`` column a run's
-    state goes when the watermark passes its last attempt by ``idle_sec``; without one it
-    goes when the run has been silent that long by the clock.  A new stream continues from
+    state goes when the watermark passes its last attempt by ``idle_sec``; without one the
+    time of arrival counts, so it goes with the first batch that comes that much later.  A new stream continues from
     a ``snapshot`` (``run_id``, ``attempt``, ``failures``, ``opened`` and the ``time``
     column).  Needs the RocksDB state store, as :func:`drained` sets.
     """
-    marked = attempts.where(F.col(time).isNotNull()).withWatermark(time, delay) if time else attempts
-    ms = F.unix_millis(time) if time else F.lit(0).cast("long")
-    rows = marked.select("run_id", F.col("attempt").cast("long").alias("attempt"), "code", ms.alias("ms"), *([time] if time else []))
-    start = None if snapshot is None else snapshot.select("run_id", F.col("attempt").cast("long").alias("attempt"), "failures", "opened", ms.alias("ms")).groupBy("run_id")
-    return rows.groupBy("run_id").transformWithStateInPandas(Breaker(limit, idle_sec, time is not None), "run_id string, attempt long, state string, code string", "append", "eventTime" if time else "processingTime", initialState=start)
+    if time is None:
+        time = "__arrived"
+        attempts = attempts.withColumn(time, F.current_timestamp())
+        snapshot = None if snapshot is None else snapshot.withColumn(time, F.current_timestamp())
+    rows = attempts.where(F.col(time).isNotNull()).withWatermark(time, delay).select("run_id", F.col("attempt").cast("long").alias("attempt"), "code", F.unix_millis(time).alias("ms"), time)
+    start = None if snapshot is None else snapshot.select("run_id", F.col("attempt").cast("long").alias("attempt"), "failures", "opened", F.unix_millis(time).alias("ms")).groupBy("run_id")
+    return rows.groupBy("run_id").transformWithStateInPandas(Breaker(limit, idle_sec), "run_id string, attempt long, state string, code string", "append", "eventTime", initialState=start)
 
 
 def shared_folder(spark: SparkSession) -> str:
