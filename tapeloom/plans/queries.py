@@ -448,11 +448,11 @@ def stalls(spark, sf_dir):
     return stream.stalls(b.progress(spark, sf_dir), 3600.0).withColumn("stalled_sec", F.round("stalled_sec", 3))
 
 
-@query(f"""WITH {b.PROGRESS_SQL}, l AS (SELECT job_id, arg_max(status, seq) AS status, max(ts) AS updated_at FROM p GROUP BY job_id), n AS (SELECT max(ts) AS now FROM p)
-SELECT job_id, CASE WHEN status = 'running' AND epoch(now) - epoch(updated_at) > 90 THEN 'abandoned' ELSE status END AS status FROM l, n""")
+@query(f"""WITH {b.PROGRESS_SQL}, l AS (SELECT job_id, arg_max(status, (ts, seq)) AS status, arg_max(seq, (ts, seq)) AS seq, max(ts) AS updated_at FROM p GROUP BY job_id), n AS (SELECT max(ts) AS now FROM p)
+SELECT job_id, CASE WHEN status = 'running' AND epoch(now) - epoch(updated_at) > 90 THEN 'abandoned' ELSE status END AS status, CASE WHEN status = 'completed' THEN 'r' || seq END AS result, CASE WHEN status = 'failed' THEN 'e' || seq END AS error FROM l, n""")
 def job_status(spark, sf_dir):
-    p = b.progress(spark, sf_dir).select("job_id", "status", F.col("ts").cast("timestamp").alias("updated_at"), "seq", F.lit("r").alias("result"), F.lit("e").alias("error"))
-    return stream.job_status(p).select("job_id", "status")
+    p = b.progress(spark, sf_dir).select("job_id", "status", F.col("ts").cast("timestamp").alias("updated_at"), "seq", F.concat(F.lit("r"), "seq").alias("result"), F.concat(F.lit("e"), "seq").alias("error"))
+    return stream.job_status(p).select("job_id", "status", "result", "error")
 
 
 @query(f"WITH {b.WARNINGS_SQL} SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, stage, code, CAST(sum(CASE WHEN occurrences >= 1 THEN occurrences ELSE 1 END) AS BIGINT) AS occurrences FROM w GROUP BY ALL")

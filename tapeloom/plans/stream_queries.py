@@ -57,8 +57,8 @@ def streamed_breaker(spark, sf_dir):
     return stream.drained(stream.stream_breaker(a, time="ts"), "append").drop("batch")
 
 
-@query("SELECT 'job-' || user_id AS job_id, count(*) AS events FROM events GROUP BY user_id")
+@query("SELECT 'job-' || user_id AS job_id, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS sequences FROM events GROUP BY user_id")
 def streamed_deduplication(spark, sf_dir):
     """Every event is delivered three times."""
     e = events(spark, sf_dir).withColumn("delivery", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    return stream.drained(stream.deduplicated(e, "60 days"), "append").groupBy("job_id").agg(F.count("*").alias("events"))
+    return stream.drained(stream.deduplicated(e, "60 days"), "append").groupBy("job_id").agg(F.count("*").alias("events"), F.sum("sequence").alias("sequences"))
