@@ -56,7 +56,9 @@ _CONFUSABLE = r"[\x{FF01}-\x{FF5E}\x{2100}-\x{214F}\x{1D400}-\x{1D7FF}\x{2460}-\
 
 #: The same for rules that do not mind case, in lower case; and what a text must match for the one rule without such strings.
 NEEDS_LOWER: dict[str, tuple[str, ...]] = {"oauth-token": ("bearer",), "assigned-secret": ("token", "secret", "passw", "pwd", "key")}
-RUN = r"[A-Za-z0-9+/]{40}"
+#: Tried where a run begins only.
+RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}"
+OPENING = "[REDACTED:"
 
 
 def redacted(text: Column) -> Column:
@@ -86,11 +88,12 @@ def _applied(text: Column, kind: str, pattern: str, mark: str) -> Column:
 
 
 def mark_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(MARK)), F.lit(0))
+    return F.when(text.contains(OPENING), F.regexp_count(text, F.lit(MARK))).otherwise(0)
 
 
 def mark_kinds(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\[REDACTED:([a-z0-9-]+)\]"), 1)
+    found = F.regexp_extract_all(text, F.lit(r"\[REDACTED:([a-z0-9-]+)\]"), 1)
+    return F.when(text.isNull() | text.contains(OPENING), found).otherwise(F.array().cast("array<string>"))
 
 
 @F.pandas_udf(T.StringType())
@@ -106,7 +109,8 @@ def redact(df: DataFrame, text: str = "text", confusables: bool = True) -> DataF
     compatibility form.  Only such rows meet Python.
     """
     done = df.withColumn("__done", redacted(F.col(text))).withColumn("redactions", mark_count(F.col("__done")) - mark_count(F.col(text)))
-    strange = F.coalesce(F.col(text).rlike(_CONFUSABLE), F.lit(False))
+    # A text of as many bytes as characters has no such characters.
+    strange = F.coalesce((F.octet_length(text) != F.length(text)) & F.col(text).rlike(_CONFUSABLE), F.lit(False))
     finish = lambda d, c, flag: d.withColumn(text, c).withColumn("possible_confusable_secret", flag).drop("__done", "__form", "__more")
     if not confusables:
         return finish(done, F.col("__done"), F.lit(False))
