@@ -10,9 +10,10 @@ Texts of one shingle set are one class; all further work is on classes.
 3. Likely links come from equal minimum hashes and are verified; their components are
    found.
 4. Tiles of prefix elements bring together all other pairs: in a tile, in order of size,
-   only pairs within the size band of 3/4, of different components, and with the element
-   early enough in both prefixes are taken, so the many pairs inside a group of copies
-   never appear, while no link is lost.
+   only pairs within the size band of 3/4, of different components, with the element
+   early enough in both prefixes, and whose folded bitmaps allow it are taken, so the many
+   pairs inside a group of copies and around a common passage never appear, while no link
+   is lost.
 5. Every candidate is checked in two steps: bits in which the two bitmaps differ bound
    the overlap from above; what is left gets an exact intersection of sorted arrays.
 
@@ -42,6 +43,8 @@ FILTER_BITS, COMMON_FROM, MOST_COMMON = 25, 4, 1 << 22
 #: Shingles that a task holds before it sends them.
 HELD = 2_000_000
 MIN_HASHES = 8
+#: Pairs of a tile that are compared at once; 64-bit words of the signature that goes into the tiles.
+PAIRS, SIGNATURE = 1 << 17, 4
 #: Prefix elements that one tile task takes, and members that one verifying group takes, about.
 TILE, STAR = 1_000_000, 64
 #: Pairs of two components that a tile gives at first.
@@ -217,6 +220,30 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def signature(bitmap: bytes) -> bytes:
+    """A bitmap folded to 256 bits; a smaller one is filled up with zeros, which folding ignores."""
+    x = np.frombuffer(bitmap, dtype=np.uint64)
+    while len(x) > SIGNATURE:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes().ljust(8 * SIGNATURE, b"\0")
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets of n and m elements can link by their signatures (rows of ``a`` and ``b``).
+
+    Both are folded to the smaller one's bits; bits that differ are at most the elements
+    that differ, so they bound the overlap from above.
+    """
+    x = a ^ b
+    least = np.minimum(n, m)
+    wide, half = least > 32, (least > 16) & (least <= 32)
+    d = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1)).astype(np.int64)
+    d[half] = np.bitwise_count(x[half, :2] ^ x[half, 2:]).sum(axis=1)
+    d[wide] = np.bitwise_count(x[wide]).sum(axis=1)
+    both = (n + m - d) // 2
+    return 100 * both >= 75 * (n + m - both)
+
+
 def links(n: int, m: int, both: int) -> bool:
     """Whether two sets of n and m elements, ``both`` of them shared, overlap by 3/4."""
     return 100 * both >= 75 * (n + m - both)
@@ -231,7 +258,7 @@ def _text_key(t: bytes) -> int:
 
 
 def features(docs: DataFrame, key: str, text: str, shared: Broadcast[Order]) -> DataFrame:
-    """Per row key, class and size; per class and task also text key, minimum hashes, bitmap and prefix."""
+    """Per row key, class and size; per class and task also text key, minimum hashes, bitmap, its signature and prefix."""
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
 
@@ -241,7 +268,7 @@ def features(docs: DataFrame, key: str, text: str, shared: Broadcast[Order]) ->
             for part in chunks(batch, "text"):
                 yield _features(part, shared.value, seen)
 
-    return source.mapInArrow(run, f"key {kind}, class bigint, n int, text_key bigint, mins array<bigint>, bitmap binary, prefix binary")
+    return source.mapInArrow(run, f"key {kind}, class bigint, n int, text_key bigint, mins array<bigint>, bitmap binary, sig binary, prefix binary")
 
 
 def _features(part: pa.RecordBatch, order: Order, seen: set[int]) -> pa.RecordBatch:
@@ -257,13 +284,13 @@ def _features(part: pa.RecordBatch, order: Order, seen: set[int]) -> pa.RecordBa
     p = prefix_size(n)
     raw, bounds = buffer_of(part.column(1))
     raw, bounds, lo = raw.tobytes(), bounds.tolist(), first.tolist()
-    classes, keys, lists, bitmaps, prefixes = [], [], [], [], []
+    classes, keys, lists, bitmaps, signatures, prefixes = [], [], [], [], [], []
     for d, size in enumerate(n.tolist()):
         own = h[lo[d] : lo[d + 1]]
         c = _class_of(own) if size else None
         classes.append(c)
         if size == 0 or c in seen:
-            for x in (keys, lists, bitmaps, prefixes):
+            for x in (keys, lists, bitmaps, signatures, prefixes):
                 x.append(None)
             continue
         if len(seen) < 1_000_000:
@@ -271,10 +298,11 @@ def _features(part: pa.RecordBatch, order: Order, seen: set[int]) -> pa.RecordBa
         keys.append(_text_key(raw[bounds[d] : bounds[d + 1]]))
         lists.append(mins[d])
         bitmaps.append(parity_bitmap(own))
+        signatures.append(signature(bitmaps[-1]))
         prefixes.append(ordered[lo[d] : lo[d] + int(p[d])].tobytes())
     return pa.RecordBatch.from_arrays(
-        [part.column(0), pa.array(classes, pa.int64()), pa.array(n.astype(np.int32)), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.binary())],
-        names=["key", "class", "n", "text_key", "mins", "bitmap", "prefix"],
+        [part.column(0), pa.array(classes, pa.int64()), pa.array(n.astype(np.int32)), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prefixes, pa.binary())],
+        names=["key", "class", "n", "text_key", "mins", "bitmap", "sig", "prefix"],
     )
 
 
@@ -299,27 +327,31 @@ def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs
 
 
-def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, most: int | None = None) -> DataFrame:
-    """(a, b, more): pairs of classes of different components that share a prefix element and are in one size band.
+def tile_pairs(classes: DataFrame, roots: DataFrame, tiles: int, most: int | None = None, order: Broadcast[Order] | None = None) -> DataFrame:
+    """(a, b, more): pairs of classes of different components that share a prefix element, are in one size band, and whose signatures allow a link.
+
+    Signatures go with the elements that ``order`` knows as common (with all if none is
+    given); a rare element gives few pairs.
 
     With ``most``, a tile gives no more pairs than that of any two components; ``more``
     tells that it left some out.
     """
-    known = classes.select("class", "n", "prefix").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "n", "prefix")
+    known = classes.select("class", "n", "prefix", "sig").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "n", "prefix", "sig")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _deal(batch, tiles)
+            yield from _deal(batch, tiles, order and order.value)
 
-    packed = dealt(known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary"), tiles, "tile")
+    packed = dealt(known.mapInArrow(deal, "tile int, elements binary, own binary, place binary, class binary, root binary, n binary, signed binary, sig binary"), tiles, "tile")
     found = packed.groupBy("tile").applyInArrow(lambda t: _tile(t, most), "a bigint, b bigint, more boolean")
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def _deal(part: pa.RecordBatch, tiles: int) -> Iterator[pa.RecordBatch]:
+def _deal(part: pa.RecordBatch, tiles: int, order: Order | None) -> Iterator[pa.RecordBatch]:
     """Prefix elements of a batch packed by tile: few large rows instead of many small ones."""
     c, root, n = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
     prefixes = part.column(3).to_pylist()
+    sig = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE)
     size = np.array([len(p) // 8 for p in prefixes], dtype=np.int64)
     element = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
     own = np.repeat(np.arange(len(c), dtype=np.int32), size)
@@ -327,11 +359,14 @@ def _deal(part: pa.RecordBatch, tiles: int) -> Iterator[pa.RecordBatch]:
     tile = (element % np.uint64(tiles)).astype(np.int32)
     at = np.argsort(tile, kind="stable")
     tile, element, own, place = tile[at], element[at], own[at], place[at]
+    common = np.ones(len(element), dtype=bool) if order is None else order.level(element) > 0
     edges = np.flatnonzero(np.diff(tile, prepend=-1))
-    rows: dict[str, list] = {k: [] for k in ("tile", "elements", "own", "place", "class", "root", "n")}
+    rows: dict[str, list] = {k: [] for k in ("tile", "elements", "own", "place", "class", "root", "n", "signed", "sig")}
     for a, b in zip(edges.tolist(), np.append(edges[1:], len(tile)).tolist(), strict=True):
         rows_of, local = np.unique(own[a:b], return_inverse=True)
-        for k, v in zip(rows, (int(tile[a]), element[a:b].tobytes(), local.astype(np.int32).tobytes(), place[a:b].tobytes(), c[rows_of].astype(np.int64).tobytes(), root[rows_of].astype(np.int64).tobytes(), n[rows_of].astype(np.int32).tobytes()), strict=True):
+        signed = np.zeros(len(rows_of), dtype=bool)
+        signed[local[common[a:b]]] = True
+        for k, v in zip(rows, (int(tile[a]), element[a:b].tobytes(), local.astype(np.int32).tobytes(), place[a:b].tobytes(), c[rows_of].astype(np.int64).tobytes(), root[rows_of].astype(np.int64).tobytes(), n[rows_of].astype(np.int32).tobytes(), np.packbits(signed).tobytes(), sig[rows_of[signed]].tobytes()), strict=True):
             rows[k].append(v)
         if len(rows["tile"]) >= 4096:
             yield _packed(rows)
@@ -346,24 +381,29 @@ def _packed(rows: dict[str, list]) -> pa.RecordBatch:
 
 def _tile(table: pa.Table, most: int | None) -> pa.Table:
     """Pairs of one tile, each once, the smaller class first."""
-    parts = [[np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()] for name, kind in (("elements", np.uint64), ("own", np.int32), ("place", np.int32), ("class", np.int64), ("root", np.int64), ("n", np.int32))]
+    parts = [[np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()] for name, kind in (("elements", np.uint64), ("own", np.int32), ("place", np.int32), ("class", np.int64), ("root", np.int64), ("n", np.int32), ("signed", np.uint8), ("sig", np.uint64))]
     shift = np.cumsum([0, *(len(x) for x in parts[3][:-1])])
     element = np.concatenate(parts[0])
     own = np.concatenate([x + s for x, s in zip(parts[1], shift, strict=True)])
     place = np.concatenate(parts[2])
-    c, root, n = (np.concatenate(x)[own] for x in parts[3:])
-    a, b, more = pairs_of_tile(element, c, root, n, place, most)
+    c, root, n = (np.concatenate(x)[own] for x in parts[3:6])
+    signed = np.concatenate([np.unpackbits(x, count=len(m)) for x, m in zip(parts[6], parts[3], strict=True)]).astype(bool)
+    sig = np.concatenate(parts[7]).reshape(-1, SIGNATURE)
+    # Where each row's signature is; -1 for none.
+    where = np.where(signed, np.cumsum(signed) - 1, -1)[own]
+    a, b, more = pairs_of_tile(element, c, root, n, place, most, sig, where)
     return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(more)})
 
 
-def pairs_of_tile(element: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that can link and whose first common element this can be.
+def pairs_of_tile(element: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, most: int | None = None, sig: np.ndarray | None = None, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that can link, also by their signatures (``sig``, at ``where``, -1 for none), and whose first common element this can be.
 
     Sets of n and m elements that link share 3 (n + m) / 7 at least; if they share none
     before places i and j, then n - i and m - j are bounds of what they share.
     """
     order = np.lexsort((n, element))
     element, c, root, n, place = element[order], c[order], root[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    at_sig = where[order] if where is not None else None
     left = n - place
     first = np.flatnonzero(np.r_[True, element[1:] != element[:-1]]) if len(element) else np.zeros(0, dtype=np.int64)
     if not len(first):
@@ -377,6 +417,14 @@ def pairs_of_tile(element: np.ndarray, c: np.ndarray, root: np.ndarray, n: np.nd
         nonlocal found, held
         other = (root[i] != root[j]) & (7 * np.minimum(left[i], left[j]) >= 3 * (n[i] + n[j]))
         i, j = i[other], j[other]
+        if sig is not None and len(i):
+            good = np.ones(len(i), dtype=bool)
+            both = np.flatnonzero((at_sig[i] >= 0) & (at_sig[j] >= 0))
+            for k in range(0, len(both), PAIRS):
+                some = both[k : k + PAIRS]
+                x, y = i[some], j[some]
+                good[some] = may_link(sig[at_sig[x]], sig[at_sig[y]], n[x], n[y])
+            i, j = i[good], j[good]
         found.append(np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), np.zeros(len(i), dtype=np.int64)]))
         held += len(i)
         if held > 1_000_000:
@@ -539,14 +587,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     groups = group_count(docs, text, GROUP_BYTES)
     order = spark.sparkContext.broadcast(shingle_order(docs, text, groups))
     table = written(features(docs, key, text, order))
-    classes = table.where("prefix is not null").select("class", "n", "text_key", "mins", "bitmap", "prefix")
+    classes = table.where("prefix is not null").select("class", "n", "text_key", "mins", "bitmap", "sig", "prefix")
     elements = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     tiles = max(groups, int(elements // TILE) + 1)
 
     likely = written(likely_pairs(classes))
     roots = components(verified(written(possible(likely, classes)), docs, text, classes))
     for most in (FEW, None):
-        pairs = written(tile_pairs(classes, roots, tiles, most))
+        pairs = written(tile_pairs(classes, roots, tiles, most, order))
         rest = written(possible(pairs, classes))
         if not rest.isEmpty():
             more = verified(rest, docs, text, classes)

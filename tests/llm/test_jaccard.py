@@ -83,6 +83,8 @@ def test_bits_and_prefixes_lose_no_link(seed):
         if len(b) and jaccard.links(len(a), len(b), both):
             d = jaccard.differing_bits(jaccard.parity_bitmap(a), jaccard.parity_bitmap(b))
             assert d <= len(a) + len(b) - 2 * both
+            x, y = (np.frombuffer(jaccard.signature(jaccard.parity_bitmap(z)), dtype=np.uint64)[None] for z in (a, b))
+            assert jaccard.may_link(x, y, np.array([len(a)]), np.array([len(b)])).all()
             p, q = (x[: int(jaccard.prefix_size(np.array([len(x)]))[0])] for x in (a, b))
             assert len(np.intersect1d(p, q))
 
@@ -97,6 +99,20 @@ def test_tile_pairs_of_long_and_short_lists_agree():
     assert got == want
 
 
+def test_many_unlinked_texts_on_one_element_cost_little():
+    import time
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64)) for _ in range(4000)]
+    sets[17] = np.unique(np.r_[sets[3][:140], sets[17][:5]])
+    sig = np.stack([np.frombuffer(jaccard.signature(jaccard.parity_bitmap(s)), dtype=np.uint64) for s in sets])
+    c, n = np.arange(4000), np.array([len(s) for s in sets])
+    began = time.perf_counter()
+    a, b, _ = jaccard.pairs_of_tile(np.full(4000, 7, dtype=np.uint64), c, c, n, np.zeros(4000), 4, sig, c)
+    assert time.perf_counter() - began < 20
+    assert (3, 17) in set(zip(a.tolist(), b.tolist(), strict=True)) and len(a) < 1000
+
+
 def test_hot_keys_and_many_groups_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(components, "HOT", 3)
     monkeypatch.setattr(jaccard, "GROUP_BYTES", 100_000)
