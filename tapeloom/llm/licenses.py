@@ -6,7 +6,8 @@ without breaks is seen.  Each such unit becomes a sparse vector of its words and
 pairs.  A multinomial logistic regression with an L1 penalty, trained on stretches of
 licence texts against other paragraphs, names the licence family or "unknown"; how sure
 it must be is calibrated on a quarter of all units of the table, none of which it has
-learnt from.  A named family is confirmed by comparison with the family's texts: enough
+learnt from.  The penalty leaves weights on a few hundred features, so a unit's score is
+summed over those of them that it has; no vector is made of a unit that is only scored.  A named family is confirmed by comparison with the family's texts: enough
 of the unit's word pairs must stand in one of them.
 """
 
@@ -15,10 +16,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +68,7 @@ FALSE_RATE, CONFIRM = 0.001, 0.6
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def grams_of(words: Column) -> Column:
@@ -78,6 +77,13 @@ def grams_of(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def features_of(words: Column) -> Column:
+    """Hashed features of words and pairs of neighbouring words; a feature can occur more than once."""
+    single = F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(FEATURES)))
+    # The last word has no next one: its pair is the word again.
+    return F.concat(single, F.transform(words, lambda w, i: F.pmod(F.hash(w, F.get(words, i + 1)), F.lit(FEATURES))))
+
+
 def paragraphs(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """One row a paragraph with words (``position`` counts from 0), and one without ``paragraph`` for a text that has none."""
     parts = F.filter(F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "[\r\n]+"), lambda p: p.rlike("[A-Za-z0-9]"))
@@ -120,7 +126,7 @@ def sampled(docs: DataFrame, text: str) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(family, grams): templates, their stretches of twelve words (or half of fewer) or more, and other units of a bounded sample."""
+    """(family, words): templates, their stretches of twelve words (or half of fewer) or more, and other units of a bounded sample."""
     spark = docs.sparkSession
     t = _family_rows(spark, TEMPLATES).select("family", words_of(F.col("paragraph")).alias("words"))
     n = F.size("words")
@@ -132,23 +138,58 @@ def training_rows(docs: DataFrame, text: str) -> DataFrame:
     other = other.unionByName(_family_rows(spark, [(UNKNOWN, x) for x in OTHERS]).select(words_of(F.col("paragraph")).alias("words")))
     # Short pieces of other units too, since licence lines are short.
     pieces = other.select(F.explode(F.array("words", F.slice("words", 1, 8), F.slice("words", 3, 5))).alias("words")).where(F.size("words") > 0)
-    return t.unionByName(cut).unionByName(pieces.select(F.lit(UNKNOWN).alias("family"), "words")).select("family", grams_of(F.col("words")).alias("grams"))
+    return t.unionByName(cut).unionByName(pieces.select(F.lit(UNKNOWN).alias("family"), "words"))
 
 
 @dataclass
 class Scanner:
-    """Feature and regression stages, and the least probability of a family."""
+    """The regression's weights of each feature that has any, by family, its intercepts, and the least probability of a family."""
 
-    stages: PipelineModel
+    weights: dict[int, list[float]]
+    intercepts: list[float]
     least: float
 
+    @classmethod
+    def of(cls, model: LogisticRegressionModel, least: float) -> Scanner:
+        by_feature = model.coefficientMatrix.toArray().T
+        return cls({int(i): by_feature[i].tolist() for i in by_feature.any(axis=1).nonzero()[0]}, model.interceptVector.toArray().tolist(), least)
+
     def probabilities(self, rows: DataFrame) -> DataFrame:
-        """Adds ``family`` and ``probability`` (of the likeliest family that is not unknown) to rows with ``grams``."""
-        p = vector_to_array("probability")
-        made = self.stages.transform(rows).withColumn("__p", p)
-        best = F.array_max(F.transform(F.slice("__p", 2, len(FAMILIES) - 1), lambda x, i: F.struct(x.alias("p"), i.alias("i"))))
+        """Adds ``family`` and ``probability`` (of the likeliest family that is not unknown) to rows with ``words``; null words have no feature."""
+        known = sorted(self.weights)
+        table = F.array(*[F.array(*[F.lit(float(x)) for x in self.weights[i]]) for i in known])
+        start = F.array(*[F.lit(float(x)) for x in self.intercepts])
+        found = F.array_distinct(F.filter(features_of(F.col("words")), lambda i: i.isin(known))) if known else F.array().cast("array<int>")
+        place = F.array(*[F.lit(i) for i in known])
+        total = F.aggregate("__found", start, lambda m, i: F.zip_with(m, F.get(table, F.array_position(place, i).cast("int") - 1), lambda x, y: x + y)) if known else start
+        # Without a feature of weight the intercepts are all there is: one constant.
+        made = rows.withColumn("__found", found).withColumn("__m", F.when(F.size("__found") > 0, total))
+        none = F.struct(*_best(start))
+        made = made.withColumn("__best", F.when(F.col("__m").isNotNull(), F.struct(*_best(F.col("__m")))).otherwise(none))
         names = F.array(*[F.lit(f) for f in FAMILIES[1:]])
-        return made.withColumn("__best", best).withColumn("family", F.get(names, F.col("__best.i"))).withColumn("probability", F.col("__best.p")).drop("__p", "__best", "features", "rawPrediction", "prediction")
+        return made.withColumn("family", F.get(names, F.col("__best.i"))).withColumn("probability", F.col("__best.p")).drop("__found", "__m", "__best")
+
+
+def _best(m: Column) -> tuple[Column, Column]:
+    """Place ``i`` and softmax probability ``p`` of the largest margin but the first."""
+    top = F.array_max(F.transform(F.slice(m, 2, len(FAMILIES) - 1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    most = F.array_max(m)
+    return top["i"].alias("i"), (F.exp(top["x"] - most) / F.aggregate(m, F.lit(0.0), lambda s, x: s + F.exp(x - most))).alias("p")
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """Adds the binary vector ``features`` to rows with ``words``, for the learner; a feature is its place."""
+    places = CountVectorizerModel.from_vocabulary([str(i) for i in range(FEATURES)], "__terms", "features", minTF=1.0, binary=True)
+    return places.transform(rows.withColumn("__terms", features_of(F.col("words")).cast("array<string>"))).drop("__terms")
+
+
+def learn(docs: DataFrame, text: str = "text") -> LogisticRegressionModel:
+    """The regression on the training rows; classes are the places of ``FAMILIES``."""
+    rows = training_rows(docs, text).withColumn("label", (F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1).cast("double"))
+    made = vectors(rows).select("label", "features").repartition(8).sortWithinPartitions("label", F.xxhash64(F.col("features").cast("string"))).cache()
+    model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=1.0, maxIter=40, aggregationDepth=2).fit(made)
+    made.unpersist()
+    return model
 
 
 def fit(docs: DataFrame, text: str = "text") -> Scanner:
@@ -158,14 +199,8 @@ def fit(docs: DataFrame, text: str = "text") -> Scanner:
     same texts give the same scanner in whatever order or files; an empty table gives one
     that knows the templates alone.
     """
-    rows = training_rows(docs, text).withColumn("label", (F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1).cast("double"))
-    counted = HashingTF(inputCol="grams", outputCol="counts", numFeatures=FEATURES, binary=True)
-    joined = VectorAssembler(inputCols=["counts"], outputCol="features")
-    made = joined.transform(counted.transform(rows)).select("label", "features").repartition(8).sortWithinPartitions("label", F.xxhash64(F.col("features").cast("string"))).cache()
-    learner = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=1.0, maxIter=40, aggregationDepth=2)
-    scanner = Scanner(PipelineModel([counted, joined, learner.fit(made)]), 0.3)
-    made.unpersist()
-    apart = other_units(docs, text).where(kept_out(F.col("words"))).select(grams_of(F.col("words")).alias("grams"))
+    scanner = Scanner.of(learn(docs, text), 0.3)
+    apart = other_units(docs, text).where(kept_out(F.col("words")))
     least = scanner.probabilities(apart).agg(F.percentile_approx("probability", 1 - FALSE_RATE, 10000)).first()[0]
     scanner.least = max(0.3, float(least or 0.0))
     return scanner
@@ -182,8 +217,7 @@ def template_share(words: Column, family: Column) -> Column:
 
 def scan_units(docs: DataFrame, scanner: Scanner, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """All units with ``position``, ``family`` (null if unknown), ``probability`` and ``share``; a text without any gives one row of nulls."""
-    rows = units(docs, text, keep).withColumn("grams", grams_of(F.coalesce("words", F.array().cast("array<string>"))))
-    made = scanner.probabilities(rows).drop("grams", "counts")
+    made = scanner.probabilities(units(docs, text, keep))
     sure = F.col("probability") >= F.lit(scanner.least)
     made = made.withColumn("share", F.when(sure & F.col("words").isNotNull(), template_share(F.col("words"), F.col("family"))))
     return made.withColumn("family", F.when(F.col("share") >= CONFIRM, F.col("family"))).drop("words")

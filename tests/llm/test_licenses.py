@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom.llm import licenses, queries
 
@@ -55,3 +56,31 @@ def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = (licenses.sampled(x, "text") for x in (d, d.orderBy("n_chars").repartition(3)))
     assert sorted(r.text for r in a.collect()) == sorted(r.text for r in b.collect())
+
+
+def test_scores_equal_those_of_the_regression_and_take_no_vectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.learn(docs)
+    scanner = licenses.Scanner.of(model, 0.3)
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(-1, None), (-2, "one"), (-3, "zzz qqq")], "doc_id long, text string")
+    rows = licenses.units(docs.select("doc_id", "text").unionByName(texts), "text", ["doc_id"]).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    made = model.setProbabilityCol("all").transform(licenses.vectors(rows)).select("words", "all")
+    seen = set()
+    for r in scanner.probabilities(made).collect():
+        known = list(r["all"])[1:]
+        assert abs(r.probability - max(known)) < 1e-9
+        assert abs(known[licenses.FAMILIES.index(r.family) - 1] - max(known)) < 1e-9
+        seen.add(r.family)
+    assert len(seen) > 5
+    for q in (licenses.scan(docs, scanner), scanner.probabilities(licenses.units(docs, "text", ["doc_id"]))):
+        assert "UDF" not in q._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_unit_without_a_feature_of_weight_gets_the_intercepts(spark):
+    bare = licenses.Scanner({}, [2.0] + [0.5] * (len(licenses.FAMILIES) - 2) + [1.0], 0.3)
+    one = licenses.Scanner({-1: [0.0] * len(licenses.FAMILIES)}, bare.intercepts, 0.3)
+    rows = spark.createDataFrame([(["any", "words"],), ([],), (None,)], "words array<string>")
+    sums = [2.718281828459045**x for x in bare.intercepts]
+    for scanner in (bare, one):
+        for r in scanner.probabilities(rows).collect():
+            assert r.family == licenses.FAMILIES[-1] and abs(r.probability - sums[-1] / sum(sums)) < 1e-12
