@@ -27,7 +27,7 @@ LATEST_SQL = f"{NUMBERED_SQL}, l AS (SELECT job_id, mechanism, arg_max(status, s
 
 @query(f"WITH {LATEST_SQL} SELECT job_id, (SELECT max(sequence) FROM p WHERE p.job_id = m.job_id) AS sequence, round(CASE WHEN count(*) FILTER (WHERE status IN ('completed', 'failed')) = 5 THEN 100.0 ELSE sum(weight * pc) / 15 END, 1) AS overall_percent FROM m GROUP BY job_id")
 def streamed_progress(spark, sf_dir):
-    rows = stream.drained(stream.live_progress(events(spark, sf_dir), {f"m{i}": i + 1.0 for i in range(5)}), "update")
+    rows = stream.drained(stream.live_progress(events(spark, sf_dir), {f"m{i}": i + 1.0 for i in range(5)}, digits=9), "update")
     last = rows.groupBy("job_id").agg(F.max_by(F.struct("sequence", "overall_percent"), F.struct("batch", "sequence")).alias("r"))
     return last.select("job_id", "r.sequence", F.round("r.overall_percent", 1).alias("overall_percent"))
 

@@ -66,8 +66,8 @@ class Remembering(StatefulProcessor):
 class OverallProgress(Remembering):
     """Last sequence of a job (a value) and each mechanism's percent and end (a map)."""
 
-    def __init__(self, weights: dict[str, float], idle_sec: float):
-        self.weights, self.idle_ms = weights, int(idle_sec * 1000)
+    def __init__(self, weights: dict[str, float], idle_sec: float, digits: int = 3):
+        self.weights, self.idle_ms, self.digits = weights, int(idle_sec * 1000), digits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -99,7 +99,9 @@ class OverallProgress(Remembering):
             self.mechanisms.updateValue((m,), known[m])
         self.last.update((last,))
         self.heard(int(events["ms"].max()), timerValues)
-        overall = 100.0 if all(known.get(m, (0.0, False))[1] for m in self.weights) else round(sum(known.get(m, (0.0, False))[0] * w for m, w in self.weights.items()) / sum(self.weights.values()), 3)
+        overall = 100.0
+        if not all(known.get(m, (0.0, False))[1] for m in self.weights):
+            overall = round(sum(known.get(m, (0.0, False))[0] * w for m, w in self.weights.items()) / sum(self.weights.values()), self.digits)
         yield pd.DataFrame({"job_id": [key[0]], "sequence": [last], "overall_percent": [overall]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -108,9 +110,12 @@ class OverallProgress(Remembering):
         return iter(())
 
 
-def live_progress(events: DataFrame, weights: dict[str, float], idle_sec: float = 3600.0, delay: str = "10 minutes", snapshot: DataFrame | None = None) -> DataFrame:
+def live_progress(events: DataFrame, weights: dict[str, float], idle_sec: float = 3600.0, delay: str = "10 minutes", snapshot: DataFrame | None = None, digits: int = 3) -> DataFrame:
     """The overall percent of each job after each batch; events at or before the last sequence seen are ignored.
 
+    The percent has ``digits`` places; who rounds it again to fewer asks for many, since a
+    number that is rounded at three places and then at one can end higher than it should.
+
     State of one job: the last sequence and its mechanisms' percents.  It is kept until
     the watermark passes the job's last event by ``idle_sec``, also after the end, so an
     event that is delivered again starts nothing anew.  A new stream continues from a
@@ -119,7 +124,7 @@ def live_progress(events: DataFrame, weights: dict[str, float], idle_sec: float
     """
     timed = events.where("ts is not null").withWatermark("ts", delay).select("job_id", "sequence", "mechanism", "status", F.col("percent").cast("double").alias("percent"), F.unix_millis("ts").alias("ms"), "ts")
     start = None if snapshot is None else snapshot.select("job_id", "mechanism", "sequence", "percent", "ended", F.unix_millis("ts").alias("ms")).groupBy("job_id")
-    return timed.groupBy("job_id").transformWithStateInPandas(OverallProgress(weights, idle_sec), "job_id string, sequence long, overall_percent double", "update", "eventTime", initialState=start)
+    return timed.groupBy("job_id").transformWithStateInPandas(OverallProgress(weights, idle_sec, digits), "job_id string, sequence long, overall_percent double", "update", "eventTime", initialState=start)
 
 
 def progress_snapshot(events: DataFrame) -> DataFrame:

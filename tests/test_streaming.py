@@ -40,6 +40,20 @@ def test_live_progress(spark, streamed):
     assert sorted((r.batch, r.sequence, r.overall_percent) for r in got) == [(0, 2, 27.5), (1, 3, 40.0), (2, 4, 100.0), (3, 4, 100.0)]
 
 
+def test_streamed_progress_is_rounded_once(spark, tmp_path):
+    """0.746 / 15 is 0.0497: at three places 0.05, and that would make 0.1 at one."""
+    import duckdb
+
+    from tapeloom.plans.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.sql("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    con.sql("insert into events values (0, '2024-01-01 00:00:00', 1, 'click', 0.2486, '{}'), (6, '2024-01-01 00:00:01', 2, 'click', 12.5, '{}')")
+    con.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = sorted(tuple(r) for r in QUERIES["streamed_progress"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(SQL["streamed_progress"]).fetchall()) == [("job-1", 0, 0.0), ("job-2", 6, 5.0)]
+
+
 def test_stalls_of_quiet_ended_and_resumed_jobs(spark, streamed):
     run = lambda job, n, at, p=1.0, status="running", m="m": (job, n, m, status, p, f"2024-01-01 {at}")
     a = events(spark, [run("quiet", 1, "00:00:00"), run("ended", 1, "00:00:00", status="completed"), run("same", 1, "00:00:00"), run("same", 2, "00:01:00"), run("half", 1, "00:00:00", m="x", status="completed"), run("half", 2, "00:00:01")])
