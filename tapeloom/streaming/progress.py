@@ -157,10 +157,12 @@ STALLS = "job_id string, sequence long, code string, stalled_sec double, open bo
 class StallWatch(StatefulProcessor):
     """Events of one job in event-time order, whatever the order of arrival, and its clock.
 
-    State: the events that the watermark has not passed yet (a list), the last word of
+    State: the events that the watermark has not passed yet (a list, an entry for all that
+    arrived together, since each entry is converted and sent by itself), the last word of
     each mechanism (a map), and the clock (time and sequence of the last advance, whether
-    the job has ended, whether its stall has been told).  Timers wake it when the
-    watermark passes its next event, the end of its patience, or its idle time.
+    the job has ended, whether its stall has been told).  A call reads the map once and
+    writes what changed.  Timers wake it when the watermark passes its next event, the end
+    of its patience, or its idle time.
     """
 
     def __init__(self, stall_sec: float, idle_sec: float):
@@ -168,35 +170,41 @@ class StallWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, sequence long, mechanism string, status string, percent double")
+        self.waiting = handle.getListState("waiting", "us array<long>, sequence array<long>, mechanism array<string>, status array<string>, percent array<double>")
         self.marks = handle.getMapState("marks", "mechanism string", "status string, percent double")
         self.clock = handle.getValueState("clock", "us long, sequence long, ended boolean, told boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
+        first, new = None, []
         for part in rows:
-            us = part["us"].astype("int64")
-            new = [(int(u), int(n), m, s, None if pd.isna(p) else float(p)) for u, n, m, s, p in zip(us, part["sequence"], part["mechanism"], part["status"], part["percent"], strict=True)]
+            us = part["us"].astype("int64").tolist()
+            percent = [None if p != p else p for p in part["percent"].astype("float64").tolist()]
+            new.append((us, part["sequence"].astype("int64").tolist(), part["mechanism"].tolist(), part["status"].tolist(), percent))
+            first = min(us) if first is None else min(first, min(us))
+        if new:
             self.waiting.appendList(new)
-            first = min([u for u, *_ in new] + ([] if first is None else [first]))
-        if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((r for r in rows if r[0] <= mark), key=lambda r: (r[0], r[1]))
-        left = [r for r in rows if r[0] > mark]
+        due, left = [], []
+        for together in self.waiting.get():
+            for r in zip(*together, strict=True):
+                (due if r[0] <= mark else left).append(r)
+        due.sort(key=lambda r: (r[0], r[1]))
         if due:
-            self.waiting.put(left) if left else self.waiting.clear()
-        at, sequence, ended, told = self.clock.get() if self.clock.exists() else (None, None, True, True)
-        out = []
+            self.waiting.put([tuple(list(c) for c in zip(*left, strict=True))]) if left else self.waiting.clear()
+        clock = self.clock.get()
+        at, sequence, ended, told = clock or (None, None, True, True)
+        marks = {k[0]: tuple(v) for k, v in self.marks.iterator()} if due and clock else {}
+        out, changed = [], set()
         for us, n, mechanism, status, percent in due:
             said = (status, percent)
-            if self.marks.containsKey((mechanism,)) and tuple(self.marks.getValue((mechanism,))) == said:
+            if marks.get(mechanism) == said:
                 continue
-            self.marks.updateValue((mechanism,), said)
+            marks[mechanism] = said
+            changed.add(mechanism)
             if not ended and us - at >= self.stall:
                 out.append((sequence, (us - at) / 1e6, False))
             at, sequence, ended, told = us, n, status in TERMINAL, False
@@ -204,9 +212,12 @@ class StallWatch(StatefulProcessor):
             out.append((sequence, (mark - at) / 1e6, True))
             told = True
         if at is not None and mark - at >= self.idle and not left:
-            self.marks.clear()
-            self.clock.clear()
+            if clock:
+                self.marks.clear()
+                self.clock.clear()
         elif at is not None:
+            for m in changed:
+                self.marks.updateValue((m,), marks[m])
             self.clock.update((at, sequence, ended, told))
             # Patience of a running job, then of one that is not heard of again.
             wait = self.stall if not ended and not told else self.idle

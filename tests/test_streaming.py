@@ -68,6 +68,83 @@ def test_stalls_of_quiet_ended_and_resumed_jobs(spark, streamed):
     assert sorted((r.job_id, r.sequence) for r in progress.stalls(whole).collect()) == [("gap", 1), ("quiet", 1)]
 
 
+def test_stalls_call_the_state_a_few_times_whatever_the_events():
+    """Each call is a message to the JVM and back; there were two to three for every event."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows, self.map, self.value = [], {}, None
+
+        def __getattribute__(self, name):
+            if not name.startswith("_") and name not in ("rows", "map", "value"):
+                calls.append(name)
+            return object.__getattribute__(self, name)
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows += rows
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def exists(self):
+            return bool(self.rows or self.map or self.value)
+
+        def get(self):
+            return iter(self.rows) if self.value is None and self.rows else self.value or ()
+
+        def iterator(self):
+            return iter(self.map.items())
+
+        def containsKey(self, k):  # noqa: N802
+            return k in self.map
+
+        def getValue(self, k):  # noqa: N802
+            return self.map[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.map[k] = v
+
+        def update(self, v):
+            self.value = v
+
+        def clear(self):
+            self.rows, self.map, self.value = [], {}, None
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        getMapState = getValueState = getListState  # noqa: N815
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    watch, handle = progress.StallWatch(90.0, 1e6), Handle()
+    watch.init(handle)
+    n = 1000
+    us = [i * 60_000_000 + (i // 100) * 40_000_000 for i in range(n)]
+    part = pd.DataFrame({"us": us, "sequence": range(n), "mechanism": [f"m{i % 2}" for i in range(n)], "status": "running", "percent": [float(i) for i in range(n)]})
+    # Against the order, in two parts; the last two events are beyond the watermark at first.
+    list(watch.handleInputRows(("j",), iter([part[::-1][:400], part[::-1][400:]]), None))
+    got = [r for ms in (us[-3] // 1000, us[-1] // 1000) for d in watch.handleExpiredTimer(("j",), Clock(ms), None) for r in d.itertuples()]
+    assert [(r.sequence, r.stalled_sec, r.open) for r in got] == [(100 * i - 1, 100.0, False) for i in range(1, 10)]
+    assert watch.clock.value == (us[-1], n - 1, False, False) and watch.marks.map == {("m0",): ("running", n - 2.0), ("m1",): ("running", n - 1.0)}
+    assert len(calls) < 30
+
+
 def test_streamed_job_status(spark, streamed):
     def records(rows):
         return spark.createDataFrame(rows, "job_id string, status string, at string, seq long").withColumn("updated_at", F.col("at").cast("timestamp")).drop("at")
